@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, mixing, sharding
 from .common import documents
 
 QUERIES = {
     "op1_sharding": lambda spark, sf_dir: sharding.sharding(documents(spark, sf_dir)),
     "op4_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
+    "op5_bpe": lambda spark, sf_dir: bpe.encode_documents(documents(spark, sf_dir), bpe.default_path(), "digest"),
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE_SQL,
+    "op5_bpe": lambda spark, sf_dir: bpe.encode_documents(documents(spark, sf_dir), bpe.default_path(), "digest"),
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
