@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, mixing, sharding, webp
 from .common import documents
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
     "op5_bpe": lambda spark, sf_dir: bpe.encode_documents(documents(spark, sf_dir), bpe.default_path(), "digest"),
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
+    "op10_media_webp": lambda spark, sf_dir: webp.media_columns(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL = {
