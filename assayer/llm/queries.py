@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, sharding, webp
+from . import bpe, exact_dedup, mixing, ngram_join, sharding, webp
 from .common import documents
 
 QUERIES = {
     "op1_sharding": lambda spark, sf_dir: sharding.sharding(documents(spark, sf_dir)),
     "op4_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
     "op5_bpe": lambda spark, sf_dir: bpe.encode_documents(documents(spark, sf_dir), bpe.default_path(), "digest"),
+    "op6_ngram_jaccard": lambda spark, sf_dir: ngram_join.ngram_join(documents(spark, sf_dir)),
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
     "op10_media_webp": lambda spark, sf_dir: webp.media_columns(documents(spark, sf_dir)),
 }
