@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, ngram_join, sharding, webp
+from . import bpe, exact_dedup, lattice, mixing, ngram_join, sharding, webp
 from .common import documents
 
 QUERIES = {
     "op1_sharding": lambda spark, sf_dir: sharding.sharding(documents(spark, sf_dir)),
+    "op3_lm_scoring": lambda spark, sf_dir: lattice.lm_scores(documents(spark, sf_dir), lattice.default_path()),
     "op4_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
     "op5_bpe": lambda spark, sf_dir: bpe.encode_documents(documents(spark, sf_dir), bpe.default_path(), "digest"),
     "op6_ngram_jaccard": lambda spark, sf_dir: ngram_join.ngram_join(documents(spark, sf_dir)),
