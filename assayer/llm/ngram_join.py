@@ -255,25 +255,32 @@ def ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def near_size(n, m, percent: int = PERCENT):
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+def reachable(p: str, q: str, percent: int = PERCENT):
+    """Whether two documents whose first common shingle is at places `at` of `n` can still reach the overlap.
+
+    Places count from 0 in the order from the shortest list to the longest, those of unshared shingles included. At
+    later common shingles the bound is too low, but a pair only has to be found at its first.
+    """
+    left = F.least(F.expr(f"{p}.n - {p}.at"), F.expr(f"{q}.n - {q}.at"))
+    return left * (100 + percent) >= F.expr(f"({p}.n + {q}.n) * {percent}")
 
 
 def first_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of documents that follow each other in a part of a list, or its first one, and the parts' first ones."""
+    """Pairs of the documents of a part of a list with the one before them and the first two, and among the firsts.
+
+    Documents with the fewest shingles of their own come first: in a group of near copies, those from which most
+    others differ least.
+    """
     parts = entries.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / PART)))
+    parts = parts.select("list", "part", "length", F.struct("alone", "node", "n", "at").alias("x"))
 
     def linked(rows: DataFrame, keys: list[str]) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("n", "node")
-        met = rows.select("list", "part", "node", "n", F.lag(F.struct("node", "n")).over(w).alias("before"),
-                          F.first(F.struct("node", "n")).over(w).alias("first"))
-        pair = F.explode(F.array("before", "first")).alias("other")
-        return met.where("before IS NOT NULL").select("node", "n", pair).where(
-            near_size(F.col("n"), F.col("other.n")) & (F.col("node") != F.col("other.node"))
-        ).select(*ordered(F.col("node"), F.col("other.node")))
-
-    heads = parts.where(F.col("length") > PART).groupBy("list", "part").agg(F.min(F.struct("n", "node")).alias("x"))
-    heads = heads.select("list", "part", "x.n", "x.node")
+        w = Window.partitionBy(*keys).orderBy("x")
+        met = rows.select("x", F.lag("x").over(w).alias("before"), F.first("x").over(w).alias("one"), F.nth_value("x", 2).over(w).alias("two"))
+        pairs = met.where("before IS NOT NULL").select("x", F.explode(F.array_distinct(F.array("before", "one", "two"))).alias("y"))
+        return pairs.where("y IS NOT NULL AND x.node <> y.node").where(reachable("x", "y")).select(*ordered(F.col("x.node"), F.col("y.node")))
+
+    heads = parts.where(F.col("length") > PART).groupBy("list", "part").agg(F.min("x").alias("x"))
     return linked(parts, ["list", "part"]).unionByName(linked(heads, ["list"])).distinct()
 
 
@@ -307,17 +314,23 @@ def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame) -> DataFrame:
     """Links that connect all documents that are connected: (a, b) of nodes."""
-    merged = F.explode(F.arrays_zip(F.expr("slice(shared, 1, size(lengths))").alias("list"), "lengths")).alias("x")
-    entries = sets.select("node", "n", merged).select("node", "n", F.col("x.list").alias("list"), F.col("x.lengths").alias("length"))
+    merged = F.posexplode(F.arrays_zip(F.expr("slice(shared, 1, size(lengths))").alias("list"), "lengths")).alias("k", "x")
+    alone = (F.col("n") - F.size("shared")).alias("alone")
+    entries = sets.select("node", "n", alone, merged).select(
+        "node", "n", "alone", (F.col("alone") + F.col("k")).alias("at"), F.col("x.list").alias("list"), F.col("x.lengths").alias("length"))
     tried = checkpointed(first_pairs(entries))
     found = checkpointed(probe(tried, sets))
     roots = components(found)
-    placed = checkpointed(entries.join(roots, "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("root")))
+    placed = checkpointed(entries.join(roots, "node", "left").select("list", "node", "n", "at", F.coalesce("root", "node").alias("root")))
     mixed = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = placed.join(mixed.select("list"), "list")
+    own = Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rest = placed.join(mixed.select("list"), "list").withColumn("before", F.collect_list("list").over(own))
+    rest = checkpointed(rest)
     p, q = rest.alias("p"), rest.alias("q")
-    open_pairs = p.join(q, (F.col("p.list") == F.col("q.list")) & (F.col("p.root") < F.col("q.root")) & near_size(F.col("p.n"), F.col("q.n")))
-    open_pairs = open_pairs.select(*ordered(F.col("p.node"), F.col("q.node"))).distinct().join(tried, ["a", "b"], "left_anti")
+    first = ~F.arrays_overlap("p.before", "q.before")  # a pair is found once, in its first list
+    apart = (F.col("p.list") == F.col("q.list")) & (F.col("p.root") < F.col("q.root"))
+    open_pairs = p.join(q, apart & reachable("p", "q") & first).select(*ordered(F.col("p.node"), F.col("q.node")))
+    open_pairs = open_pairs.join(tried, ["a", "b"], "left_anti")
     return found.unionByName(checkpointed(probe(open_pairs, sets)))
 
 
