@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lattice, mixing, ngram_join, sharding, toxicity, webp
+from . import bpe, cotraining, exact_dedup, lattice, line_dedup, mixing, ngram_join, sharding, toxicity, webp
 from .common import documents
 
 
@@ -11,12 +11,14 @@ def labels(spark, sf_dir):
 
 QUERIES = {
     "op1_sharding": lambda spark, sf_dir: sharding.sharding(documents(spark, sf_dir)),
+    "op2_quality_classifier": lambda spark, sf_dir: cotraining.quality(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op3_lm_scoring": lambda spark, sf_dir: lattice.lm_scores(documents(spark, sf_dir), lattice.default_path()),
     "op4_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
     "op5_bpe": lambda spark, sf_dir: bpe.encode_documents(documents(spark, sf_dir), bpe.default_path(), "digest"),
     "op6_ngram_jaccard": lambda spark, sf_dir: ngram_join.ngram_join(documents(spark, sf_dir)),
     "op7_toxicity": lambda spark, sf_dir: toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
+    "op9_line_dedup": lambda spark, sf_dir: line_dedup.line_report(documents(spark, sf_dir)),
     "op10_media_webp": lambda spark, sf_dir: webp.media_columns(documents(spark, sf_dir)),
 }
 
