@@ -1,15 +1,54 @@
-"""A corpus pipeline: toxicity, exact and near copies, mixing to weights, BPE encoding."""
+"""A corpus pipeline: toxicity, exact copies, near copies, mixing sources to weights, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
+columns of the documents; the last one returns the digests of every row's tokens.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from assayer.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from assayer.llm.common import shared_dir
+
+
+def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_copies(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, bpe.default_path(), "digest")
+
+
+STAGES = [
+    ("toxicity", ordinary), ("exact dedup", distinct), ("n-gram Jaccard join", dissimilar),
+    ("mixing", mixed), ("BPE encoding", encoded),
+]
+
+#: Neither the classifier nor the merges of the tokenizer can be put in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents; between them rows are written to the shared folder and read again."""
+    shared_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
