@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import thresholds as T
-from ..operators import catalog, geometry, kernels, library, logs, quality
+from ..operators import catalog, geometry, kernels, library, logs, marks, quality
 from ..streaming import progress as streaming
 
 QUERIES: dict = {}
@@ -505,6 +505,29 @@ def split_region(spark, sf_dir):
     return geometry.split_sheets(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sheet"), grid.alias("gray")), least=16)
 
 
+@query("edge_marks")
+def edge_marks(spark, sf_dir):
+    """Pictures drawn from embeddings: a gradient with noise, and for two of three a dark bar with letters at an edge."""
+
+    def draw(batches):
+        import numpy as np
+
+        for pdf in batches:
+            out = []
+            for k, e in zip(pdf["picture"], pdf["embedding"], strict=True):
+                noise = np.resize(np.asarray(e, float), (220, 240)) * 60
+                rgb = np.clip(np.linspace(90, 170, 240)[None] + noise, 60, 230)[..., None].repeat(3, 2)
+                if k % 3:
+                    y = 2 if k % 3 == 1 else 208
+                    rgb[y : y + 10, 10:70] = 8
+                    rgb[y + 3 : y + 7, 14:66:4] = 240
+                out.append(rgb.astype(np.uint8).tobytes())
+            yield pdf[["picture"]].assign(w=240, h=220, rgb=out)
+
+    source = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("picture"), "embedding")
+    return marks.detect(source.mapInPandas(draw, "picture long, w int, h int, rgb binary"))
+
+
 # Logs.
 
 LINES_SQL = """g AS (SELECT user_id AS job, event_id AS line_no, CASE event_type WHEN 'signup' THEN '[main] loading VAE' WHEN 'view' THEN '[extract] image a/b' || event_id || '.png: ok'
