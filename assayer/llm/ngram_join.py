@@ -371,8 +371,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def repeated(classes: DataFrame, seen: DataFrame) -> bool:
     """Whether some class's first row comes more than once, so that its text was read more than once."""
-    first = seen.join(classes.where("open AND copies > 1"), "digest", "left_semi").groupBy("digest", "doc_id").count()
-    return not first.where("count > 1").isEmpty()
+    twice = seen.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    first = classes.where("open AND copies > 1").select("digest", F.col("rep").alias("doc_id"))
+    same = (twice["digest"] == first["digest"]) & twice["doc_id"].eqNullSafe(first["doc_id"])
+    return not twice.join(first, same, "left_semi").isEmpty()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
