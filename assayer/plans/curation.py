@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import thresholds as T
-from ..operators import catalog, geometry, kernels, library, logs, marks, quality
+from ..operators import catalog, geometry, kernels, library, logs, marks, quality, selection
 from ..streaming import progress as streaming
 
 QUERIES: dict = {}
@@ -482,6 +482,26 @@ def plausible_marks(spark, sf_dir):
     return pixel_boxes(spark, sf_dir).where(X.plausible_mark(F.struct(*geometry.BOX), F.lit(1200), F.lit(1200))).select("page", "id")
 
 
+@query("topmost_box", f"""WITH {BOX_SQL}, p AS (SELECT o_orderkey AS page, o_custkey AS point, (o_orderkey % 100) / 100 AS x, (o_custkey % 100) / 100 AS y FROM orders)
+SELECT p.page, p.point, max(b.id) AS hit FROM p LEFT JOIN b ON p.page = b.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL""")
+def topmost_box(spark, sf_dir):
+    at = lambda c: ((F.col(c) % 100) / 100)
+    points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("point"), at("o_orderkey").alias("x"), at("o_custkey").alias("y"))
+    return selection.hit(points, boxes(spark, sf_dir).withColumn("ord", F.col("id")), ["page"])
+
+
+@query("default_method", "WITH m AS (SELECT l_orderkey AS sheet, l_linenumber AS ord, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT sheet, ord, n AS count FROM m QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY (n >= 2) DESC, ord) = 1")
+def default_method(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("ord")).agg(F.count("*").alias("count"))
+    return selection.default_method(found, ["sheet"])
+
+
+@query("recommended", f"WITH {ITEMS_SQL} SELECT slug, file, pos % 3 = 0 AS picked, CASE WHEN kind = 'video' THEN enabled ELSE pos % 3 = 0 END AS enabled FROM i")
+def recommended(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    return selection.recommended(rows, rows.where("pos % 3 = 0"), ["slug", "file"]).select("slug", "file", "picked", "enabled")
+
+
 @query("reading_order")
 def reading_order(spark, sf_dir):
     return geometry.reading_order(pixel_boxes(spark, sf_dir).withColumn("ord", F.col("id")), ["page"])
