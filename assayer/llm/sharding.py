@@ -85,3 +85,22 @@ def sharding(docs: DataFrame, shards: int = 24) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "source",
     )
+
+
+#: 3988292384 is the polynomial of CRC-32, bits reversed; the table of its 256 remainders is made by the rule.
+ORACLE_SQL = r"""
+WITH bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i)),
+rest AS (SELECT list(c ORDER BY i) AS t FROM bits),
+d AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS stratum, strlen(coalesce(text, '')) + 8 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+  FROM documents, rest
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM d
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * k - 1) / (2 * n), stratum, h, doc_id, text_crc32) - 1 AS place, count(*) OVER () AS every FROM r
+), s AS (SELECT *, (place * 24 // every)::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, place - (shard * every + 23) // 24 AS slot, NULL::INTEGER AS grown_shard, source FROM s
+"""
