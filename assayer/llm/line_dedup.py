@@ -7,10 +7,17 @@ aligned by patience diff: lines that are unique in both and keep their order are
 done again, and equal lines next to anchors are taken in. Runs of aligned lines that follow each other in both
 documents are blocks; blocks of MIN_WORDS words or more are deleted from the later document. The first document
 that has a line is never the later one of its pairs, so one copy of every line stays.
+
+Two later documents may share a block whose lines each came first in documents of their own. With `runs`, the
+shortest runs of shared lines that hold MIN_WORDS words lead to their own first holders as well, and are anchors of
+the pair, so that a block that is elsewhere in the first holder is found too: every block that an alignment with any
+earlier document finds is made of such runs. Pairs stay as many as lines at most.
 """
 
 from __future__ import annotations
 
+import hashlib
+from array import array
 from bisect import bisect_left
 
 import pyarrow as pa
@@ -79,7 +86,65 @@ def blocks(first: list[tuple[int, int, int]], later: list[tuple[int, int, int]],
     return found + (run if words >= least else [])
 
 
-def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def shortest_runs(lines: list[tuple[int, int, int]], least: int) -> dict[tuple[int, ...], list[int]]:
+    """The runs of lines that follow each other and hold `least` words, but wouldn't without their first or their last line.
+
+    Gives the places of each by its hashes, of runs that repeat those of all. Lines are (place, hash, words).
+    """
+    out: dict[tuple[int, ...], list[int]] = {}
+
+    def add(at: int, to: int) -> None:
+        out.setdefault(tuple(h for _, h, _ in lines[at:to]), []).extend(p for p, _, _ in lines[at:to])
+
+    stretch = 0
+    while stretch < len(lines):
+        end = stretch + 1
+        while end < len(lines) and lines[end][0] == lines[end - 1][0] + 1:
+            end += 1
+        at, words = stretch, 0
+        for to in range(stretch, end):  # the shortest that end here
+            words += lines[to][2]
+            while words - lines[at][2] >= least and at < to:
+                words, at = words - lines[at][2], at + 1
+            if words >= least and lines[to][2]:
+                add(at, to + 1)
+        at, words = end - 1, 0
+        for start in range(end - 1, stretch - 1, -1):  # the shortest that start here
+            words += lines[start][2]
+            while words - lines[at][2] >= least and at > start:
+                words, at = words - lines[at][2], at - 1
+            if words >= least and lines[start][2]:
+                add(start, at + 1)
+        stretch = end
+    return out
+
+
+def anchored(first: list[tuple[int, int, int]], later: list[tuple[int, int, int]], least: int) -> list[int]:
+    """The places of blocks(), and those of the shortest runs that both documents have, wherever they are."""
+    held, found = shortest_runs(first, least), set(blocks(first, later, least))
+    return sorted(found.union(*(places for run, places in shortest_runs(later, least).items() if run in held)))
+
+
+def run_pairs(lists: DataFrame, least: int) -> DataFrame:
+    """Pairs (first, row) of the first holder of each shortest run and every later document that has it."""
+
+    def run(batches):
+        for b in batches:
+            keys = [
+                [int.from_bytes(hashlib.blake2b(array("q", k), digest_size=8).digest(), "little", signed=True) for k in
+                 shortest_runs([tuple(y.values()) for y in x.as_py()], least)] for x in b.column("lines")]
+            columns = [b.column(c) for c in ("row", "doc_id", "digest")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "digest", "runs"])
+
+    found = lists.select("row", "doc_id", "digest", "lines").mapInArrow(run, "row long, doc_id long, digest binary, runs array<long>")
+    found = checkpointed(found.select("row", "doc_id", "digest", F.explode("runs").alias("run")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row")
+    met = found.groupBy("run").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("times"))
+    firsts = checkpointed(met.where("low.row <> high.row").select("run", F.col("low.row").alias("first"), "times"))
+    return heavy_split(found.select("row", "run"), firsts, "run", "times", found.count()).where("first <> row").select("first", "row")
+
+
+def deletions(docs: DataFrame, least: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """row, doc_id, digest, nth and removed (places, null if none) of rows (doc_id, text)."""
     text = F.col("text")
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # before lines are rows
@@ -91,16 +156,19 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row")
     met = full.groupBy("hash").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("times"))
     firsts = checkpointed(met.where("low.row <> high.row").select("hash", F.col("low.row").alias("first"), "times"))
-    shared = checkpointed(heavy_split(full, firsts, "hash", "times", full.count()).select("row", "place", "hash", "words", "first"))
+    shared = checkpointed(heavy_split(full, firsts, "hash", "times", full.count()).select("row", "doc_id", "digest", "place", "hash", "words", "first"))
     pairs = shared.where("first <> row").select("first", "row").distinct()
-    lists = shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "hash", "words"))).alias("lines"))
-    lists = checkpointed(lists)
+    lines_of = F.sort_array(F.collect_list(F.struct("place", "hash", "words"))).alias("lines")
+    lists = checkpointed(shared.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"), lines_of))
+    if runs:
+        pairs = pairs.unionByName(run_pairs(lists, least)).distinct()
+    compared = anchored if runs else blocks
     both = pairs.join(lists.select(F.col("row").alias("first"), F.col("lines").alias("a")), "first").join(lists, "row")
 
     def run(batches):
         for b in batches:
             tuples = lambda x: [tuple(y.values()) for y in x.as_py()]
-            out = [blocks(tuples(x), tuples(y), least) for x, y in zip(b.column("a"), b.column("lines"), strict=True)]
+            out = [compared(tuples(x), tuples(y), least) for x, y in zip(b.column("a"), b.column("lines"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.list_(pa.int32()))], names=["row", "removed"])
 
     removed = both.select("row", "a", "lines").mapInArrow(run, "row long, removed array<int>").where("size(removed) > 0")
@@ -110,14 +178,15 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return known.withColumn("nth", F.row_number().over(same)).join(removed, "row", "left")
 
 
-def line_dedup(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """doc_id, text (without the deleted lines), n_lines, n_removed and removed (places from 0) of every row.
 
     Lines end at "\\n"; blank ones are never deleted. Documents are ordered by identifier (null last), then by text; of
     rows that repeat, one counts as the first. A null text counts as one empty line. Other columns are not read.
+    With `runs`, documents meet the first holders of shared runs too, not only those of single lines.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    found = deletions(rows, least).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("nth").alias("_nth"), "removed")
+    found = deletions(rows, least, runs).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("nth").alias("_nth"), "removed")
     keyed = rows.withColumn("_d", F.unhex(F.sha2("text", 256)))
     keyed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_d").orderBy("doc_id")))
     same = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_d"] == found["_digest"]) & (keyed["_k"] == found["_nth"])
@@ -131,4 +200,4 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
 
 def line_report(docs: DataFrame) -> DataFrame:
     """The result as digests: doc_id, n_lines, n_removed, removed, text_sha256."""
-    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
+    return line_dedup(docs, runs=True).select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))

@@ -62,6 +62,31 @@ def test_one_copy_of_every_line_stays(spark):
     assert left >= {x for _, t in rows for x in t.split("\n")}
 
 
+def all_pairs(rows, least):
+    """The places that alignments of every document with every earlier one delete."""
+    lists = [[(p, x, len(x.split())) for p, x in enumerate(t.split("\n")) if x.strip()] for _, t in rows]
+    return [set().union(*(line_dedup.blocks(a, lists[k], least) for a in lists[:k])) for k in range(len(rows))]
+
+
+def test_a_block_whose_lines_came_first_elsewhere(spark):
+    one, two = "one line of seven words is here", "another line of seven words is here"
+    rows = [(1, f"{one}\nown text"), (2, f"own words\n{two}"), (3, f"{one}\n{two}\nthird"), (4, f"fourth\n{one}\n{two}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.line_report(df).collect()} == {1: [], 2: [], 3: [], 4: [1, 2]}
+
+
+def test_nothing_of_all_pairs_is_left(spark):
+    rng = random.Random(4)
+    lines = [f"line {k} has six words here" for k in range(8)]
+    rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 7)))) for k in range(60)]
+    got = {r.doc_id: set(r.removed) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (whole, (_, text)) in enumerate(zip(all_pairs(rows, 10), rows, strict=True)):
+        assert got[k] >= whole
+        mine, earlier = text.split("\n"), ["\n" + t + "\n" for _, t in rows[:k]]
+        for p in got[k] - whole:  # moved blocks: an earlier document has the line beside its neighbour
+            assert any("\n" + "\n".join(mine[q : q + 2]) + "\n" in t for q in (p - 1, p) if 0 <= q < len(mine) - 1 for t in earlier)
+
+
 def test_odd_rows(spark, odd, none):
     got = line_dedup.line_report(odd).collect()
     assert len(got) == odd.count()
