@@ -41,6 +41,23 @@ def test_pseudo_labels_help_the_other_view():
     assert right(model.page) > right(alone) + 0.02
 
 
+def test_rows_beyond_the_labelled_sample_take_part(spark, monkeypatch):
+    """The sample bounds labelled rows only: all unlabelled rows are in the pool, and the pool is that of rows at hand."""
+    data, seen = rows(), []
+    docs = spark.createDataFrame([r[:5] for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in data if r[0] % 3], "doc_id long, quality int")
+    inner = cotraining.co_train
+    monkeypatch.setattr(cotraining, "co_train", lambda *a: seen.append(a) or inner(*a))
+    model = cotraining.train(docs, labels, sample=150)
+    views, y, apart, free = seen[0]
+    assert len(y) == 150
+    assert free.total(lambda v, ties: np.array([float(len(ties))]))[0] == 200
+    at_hand = cotraining.Rows(cotraining.unpacked(free.rows.select("views").toArrow().column(0).combine_chunks()))
+    at_hand.ties = np.array([r.tie for r in free.rows.select("tie").collect()])
+    other = inner(views, y, apart, at_hand)
+    assert np.allclose(model.text, other.text) and np.allclose(model.page, other.page)
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (6, None), (99, 0)], "doc_id long, quality int")
     got = cotraining.quality(odd, labels).collect()
