@@ -25,6 +25,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_sharding": sharding.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
-    "op5_bpe": lambda spark, sf_dir: bpe.encode_documents(documents(spark, sf_dir), bpe.default_path(), "digest"),
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -65,3 +65,10 @@ def test_documents(spark, odd, none):
     assert bpe.encode_documents(none, PATH, "digest").count() == 0
     pairs = bpe.decode_documents(bpe.encode_documents(odd, PATH, leaf=1000), PATH).collect()
     assert sorted(map(str, pairs)) == sorted(str(type(pairs[0])(doc_id=r.doc_id, text=r.text or "")) for r in odd.collect())
+
+
+def test_oracle_entries_are_sql():
+    import __spark_entry__
+
+    sql = __spark_entry__.oracle_sql()
+    assert all(isinstance(x, str) for x in sql.values()) and "op5_bpe" not in sql
