@@ -17,7 +17,10 @@ def state(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links; root is the smallest node of its component."""
+    """(node, root) for every node of the links; root is the smallest node of its component.
+
+    Raises an error if the last of the rounds still changed something, as roots may not be final then.
+    """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     edges = checkpointed(links.select(u, v).where("u <> v").distinct())
     before = state(edges)
@@ -38,5 +41,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components still changed after {rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

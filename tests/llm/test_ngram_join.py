@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -86,3 +87,9 @@ def test_components(spark):
 def test_shingle_counts(words):
     h = ngram_join.shingles(" \t".join(words), ngram_join.WordHashes())
     assert len(h) == brute([(1, " ".join(words))])[0][1]
+
+
+def test_components_that_did_not_converge_are_an_error(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1).count()
