@@ -32,6 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A name for a column of our own that none of the frame's columns has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

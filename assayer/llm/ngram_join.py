@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, heavy_split, text_of
+from .common import SPACE, WORD, checkpointed, heavy_split, text_of, unused
 from .components import components
 
 #: Words of a shingle, and the similarity in percent from which two documents are linked.
@@ -37,17 +37,19 @@ WORDS, PERCENT = 5, 75
 #: Shingles and documents of a chunk; text that one slice of the hash range stands for; entries of a part of a list.
 CHUNK, CHUNK_DOCS, SLICE_BYTES, PART = 1_000_000, 32_000, 16 << 20, 256
 MANY = 65_535  # instead of a document's number: several documents of the chunk
-REMEMBERED = 1_000_000
-BATCH_ROWS = 1024
+#: Words remembered by a worker; earlier open lists that an entry names; entries of a list that one task pairs with all others.
+REMEMBERED, EARLIER, SIDE = 200_000, 64, 4096
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:  # a cache of long words would have no bound in bytes
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -74,13 +76,19 @@ def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def starts(slices: int) -> np.ndarray:
-    return np.array([k * 2**64 // slices for k in range(slices)], np.uint64)
+def slice_of(values: np.ndarray, slices: int) -> np.ndarray:
+    """The slices of the hash range that hashes belong to; they ascend with the hashes."""
+    return ((values >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(part: np.ndarray, start: np.uint64) -> bytes:
+def start_of(slice_no: int, slices: int) -> int:
+    """The smallest hash of a slice."""
+    return -(-(slice_no << 32) // slices) << 32
+
+
+def packed(part: np.ndarray, start: int) -> bytes:
     """40 bits of each hash behind the start of its slice: enough to count by, as it only errs to the safe side."""
-    short = (part - start) >> np.uint64(8)
+    short = (part - np.uint64(start)) >> np.uint64(8)
     return (short & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (short >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
@@ -89,19 +97,29 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u4", n).astype(np.uint64) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-SENT = "slice int, chunk long, hashes binary, which binary, head binary"
+SENT = "slice long, chunk long, hashes binary, which binary, head binary"
+
+
+def cuts(values: np.ndarray, slices: int) -> list[tuple[int, int, int]]:
+    """(slice, from, to) of sorted hashes, for the slices that have any."""
+    if not len(values):
+        return []
+    at = slice_of(values, slices)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return list(zip(at[first].tolist(), first.tolist(), [*first[1:].tolist(), len(values)], strict=True))
 
 
 def send(chunk: int, values: np.ndarray, which: np.ndarray, head, slices: int) -> pa.RecordBatch:
-    """A chunk's rows to the slices; `head` stays with the chunk and travels with one of them."""
-    cuts = np.append(np.searchsorted(values, starts(slices)), len(values))
-    rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a] or [(chunk % slices, 0, 0)]
-    first = starts(slices)
+    """A chunk's rows to the slices, and its head, which only the chunk needs again, as a row of its own.
+
+    A head's key is a negative number that no other row has, so heads spread over all tasks like slices.
+    """
+    rows = cuts(values, slices)
     return pa.RecordBatch.from_arrays([
-        pa.array([k for k, *_ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
-        pa.array([packed(values[a:b], first[k]) for k, a, b in rows], pa.binary()),
-        pa.array([which[a:b].tobytes() for _, a, b in rows], pa.binary()),
-        pa.array([pickle.dumps(head)] + [None] * (len(rows) - 1), pa.binary()),
+        pa.array([k for k, *_ in rows] + [-1 - chunk], pa.int64()), pa.array([chunk] * (len(rows) + 1), pa.int64()),
+        pa.array([packed(values[a:b], start_of(k, slices)) for k, a, b in rows] + [b""], pa.binary()),
+        pa.array([which[a:b].tobytes() for _, a, b in rows] + [b""], pa.binary()),
+        pa.array([None] * len(rows) + [pickle.dumps(head)], pa.binary()),
     ], names=["slice", "chunk", "hashes", "which", "head"])
 
 
@@ -218,17 +236,18 @@ def shared_lists(texts: DataFrame, slices: int) -> DataFrame:
             where.append(several.astype("<u4").tobytes())
             out.append(total[a:b][several].astype("<u4").tobytes())
         return pa.table({
-            "slice": table.column("slice").cast(pa.int32()), "chunk": chunk, "at": pa.array(where, pa.binary()),
+            "slice": table.column("slice"), "chunk": chunk, "at": pa.array(where, pa.binary()),
             "n": pa.array(out, pa.binary()), "head": table.column("head").cast(pa.binary()),
         })
 
     def finish(table: pa.Table) -> pa.Table:
         rows = pickle.loads(next(x.as_py() for x in table.column("head") if x.is_valid))
         values = np.unique(np.concatenate([h for _, h in rows]))
-        begin = np.searchsorted(values, starts(slices))
+        begin = {k: a for k, a, _ in cuts(values, slices)}
         length = np.ones(len(values), np.int64)
         for k, at, n in zip(*(table.column(c) for c in ("slice", "at", "n")), strict=True):
-            length[begin[k.as_py()] + np.frombuffer(at.as_py(), "<u4").astype(int)] = np.frombuffer(n.as_py(), "<u4")
+            if k.as_py() >= 0:
+                length[begin[k.as_py()] + np.frombuffer(at.as_py(), "<u4").astype(int)] = np.frombuffer(n.as_py(), "<u4")
         nodes, sizes, shared, lengths = [], [], [], []
         for node, h in rows:
             own = length[np.searchsorted(values, h)]
@@ -244,7 +263,7 @@ def shared_lists(texts: DataFrame, slices: int) -> DataFrame:
         })
 
     counted = texts.mapInArrow(read, SENT).groupBy("slice").applyInArrow(
-        count, "slice int, chunk long, at binary, n binary, head binary")
+        count, "slice long, chunk long, at binary, n binary, head binary")
     return counted.groupBy("chunk").applyInArrow(finish, "node binary, n long, shared array<long>, lengths array<long>")
 
 
@@ -265,23 +284,30 @@ def reachable(p: str, q: str, percent: int = PERCENT):
     return left * (100 + percent) >= F.expr(f"({p}.n + {q}.n) * {percent}")
 
 
-def first_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of the documents of a part of a list with the one before them and the first two, and among the firsts.
+def first_pairs(entries: DataFrame, longest: int) -> DataFrame:
+    """Pairs of the documents of a part of a list with the one before them and the first two; the first of each part stands
+    for it in a part of the next level, until a level has one part. `longest` is the length of the longest list.
 
     Documents with the fewest shingles of their own come first: in a group of near copies, those from which most
     others differ least.
     """
-    parts = entries.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / PART)))
-    parts = parts.select("list", "part", "length", F.struct("alone", "node", "n", "at").alias("x"))
 
-    def linked(rows: DataFrame, keys: list[str]) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("x")
+    def linked(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("list", "part").orderBy("x")
         met = rows.select("x", F.lag("x").over(w).alias("before"), F.first("x").over(w).alias("one"), F.nth_value("x", 2).over(w).alias("two"))
         pairs = met.where("before IS NOT NULL").select("x", F.explode(F.array_distinct(F.array("before", "one", "two"))).alias("y"))
         return pairs.where("y IS NOT NULL AND x.node <> y.node").where(reachable("x", "y")).select(*ordered(F.col("x.node"), F.col("y.node")))
 
-    heads = parts.where(F.col("length") > PART).groupBy("list", "part").agg(F.min("x").alias("x"))
-    return linked(parts, ["list", "part"]).unionByName(linked(heads, ["list"])).distinct()
+    parts = entries.withColumn("parts", F.ceil(F.col("length") / PART))
+    rows = parts.select("list", F.pmod(F.xxhash64("node"), "parts").alias("part"), "parts", F.struct("alone", "node", "n", "at").alias("x"))
+    found = linked(rows)
+    while longest > PART:
+        longest = -(-longest // PART)
+        heads = rows.where("parts > 1").groupBy("list", "part", "parts").agg(F.min("x").alias("x"))
+        fewer = F.ceil(F.col("parts") / PART)
+        rows = heads.select("list", F.pmod(F.xxhash64("x.node"), fewer).alias("part"), fewer.alias("parts"), "x")
+        found = found.unionByName(linked(rows))
+    return found.distinct()
 
 
 def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -318,36 +344,39 @@ def links(sets: DataFrame) -> DataFrame:
     alone = (F.col("n") - F.size("shared")).alias("alone")
     entries = sets.select("node", "n", alone, merged).select(
         "node", "n", "alone", (F.col("alone") + F.col("k")).alias("at"), F.col("x.list").alias("list"), F.col("x.lengths").alias("length"))
-    tried = checkpointed(first_pairs(entries))
+    longest = sets.select(F.max(F.array_max("lengths"))).first()[0] or 0
+    tried = checkpointed(first_pairs(entries, longest))
     found = checkpointed(probe(tried, sets))
     roots = components(found)
     placed = checkpointed(entries.join(roots, "node", "left").select("list", "node", "n", "at", F.coalesce("root", "node").alias("root")))
-    mixed = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    own = Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rest = placed.join(mixed.select("list"), "list").withColumn("before", F.collect_list("list").over(own))
+    mixed = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
+    sides = F.ceil(F.col("m") / SIDE)
+    own = Window.partitionBy("node").orderBy("at").rowsBetween(-EARLIER, -1)
+    rest = placed.join(mixed.select("list", sides.alias("sides")), "list").withColumn("before", F.collect_list("list").over(own))
     rest = checkpointed(rest)
-    p, q = rest.alias("p"), rest.alias("q")
-    first = ~F.arrays_overlap("p.before", "q.before")  # a pair is found once, in its first list
-    apart = (F.col("p.list") == F.col("q.list")) & (F.col("p.root") < F.col("q.root"))
-    open_pairs = p.join(q, apart & reachable("p", "q") & first).select(*ordered(F.col("p.node"), F.col("q.node")))
+    # One side of a long list is dealt to several tasks, the other goes to each of them.
+    p = rest.withColumn("side", F.pmod(F.xxhash64("node"), "sides")).alias("p")
+    q = rest.withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1))).alias("q")
+    # A pair counts in its first list; where more than EARLIER lists come before, it may be found again, hence distinct().
+    first = ~F.arrays_overlap("p.before", "q.before")
+    apart = (F.col("p.list") == F.col("q.list")) & (F.col("p.side") == F.col("q.side")) & (F.col("p.root") < F.col("q.root"))
+    open_pairs = p.join(q, apart & reachable("p", "q") & first).select(*ordered(F.col("p.node"), F.col("q.node"))).distinct()
     open_pairs = open_pairs.join(tried, ["a", "b"], "left_anti")
     return found.unionByName(checkpointed(probe(open_pairs, sets)))
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+def normal_digest(text_col: str):
+    """16 bytes that equal sequences of lower-cased words share."""
+    lower = F.translate(text_of(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.unhex(F.substring(F.sha2(F.trim(F.regexp_replace(lower, SPACE, " ")), 256), 1, 32))
 
-    A text of fewer than WORDS words is one shingle as a whole; one without words, or null, has none and is linked
-    with nothing. component_id is the smallest identifier that links lead to; rows without identifier take part and
-    have a null one only where no other row of the component has one. Repeated rows are alike.
-    """
+
+def joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest, n of every row, and of every digest with words: digest, copies, n_shingles, rep (smallest identifier
+    of its rows) and group (the digest that stands for its component)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     text = text_of(text_col)
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.trim(F.regexp_replace(lower, SPACE, " "))
-    digest = F.unhex(F.substring(F.sha2(plain, 256), 1, 32))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), text.alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal_digest(text_col).alias("digest"), text.alias("text"))
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SLICE_BYTES)
 
@@ -358,13 +387,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = (keyed["digest"] == chosen["_d"]) & keyed["doc_id"].eqNullSafe(chosen["rep"])
     sets = checkpointed(shared_lists(keyed.join(chosen, same, "left_semi").select("digest", "text"), slices))
     sets = checkpointed(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "shared", "lengths")))) if repeated(classes, seen) else sets
-    roots = checkpointed(components(links(sets)))
-    placed = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").where("n_shingles > 0")
-    smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = placed.where("root IS NOT NULL").join(smallest, "root").select("digest", "copies", "n_shingles", "component_id")
-    alone = placed.where("root IS NULL").select("digest", "copies", "n_shingles", F.col("rep").alias("component_id"))
+    roots = components(links(sets))
+    placed = classes.where("n_shingles > 0").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    return seen, checkpointed(placed.select("digest", "copies", "n_shingles", "rep", F.coalesce("root", "digest").alias("group")))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row.
+
+    A text of fewer than WORDS words is one shingle as a whole; one without words, or null, has none and is linked
+    with nothing. component_id is the smallest identifier that links lead to; rows without identifier take part and
+    have a null one only where no other row of the component has one. Repeated rows are alike. Texts of any length
+    are read whole, an empty table gives an empty result, and other columns of `docs` are not read.
+    """
+    seen, placed = joined(docs, id_col, text_col)
+    smallest = checkpointed(placed.groupBy("group").agg(F.min("rep").alias("component_id"), F.count("*").alias("_m")))
+    known = heavy_split(placed, smallest, "group", "_m", placed.count()).select("digest", "copies", "n_shingles", "component_id")
     full = seen.where("n > 0").select("doc_id", "digest")
-    linked = heavy_split(full, known.unionByName(alone), "digest", "copies", seen.count())
+    linked = heavy_split(full, known, "digest", "copies", seen.count())
     empty = seen.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
@@ -378,7 +418,20 @@ def repeated(classes: DataFrame, seen: DataFrame) -> bool:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: that with the smallest identifier (null only where all are null)."""
-    kept = ngram_join(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    """One document of each component stays, that with the smallest identifier (null last), and all without words.
+
+    Columns keep their names and values, whatever they are called. Of rows that repeat an identifier and a text one
+    stays. An empty table gives an empty result.
+    """
+    seen, placed = joined(docs, id_col, text_col)
+    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")
+    first = checkpointed(placed.groupBy("group").agg(F.min(order).alias("x")).select(F.col("x.digest").alias("digest"), F.col("x.rep").alias("rep")))
+    d, i, k = (unused(docs, c) for c in ("digest", "id", "nth"))
+    chosen = first.select(F.col("digest").alias(d), F.col("rep").alias(i))
+    words = docs.where(F.regexp_count(text_of(text_col), F.lit(WORD)) > 0).withColumn(d, normal_digest(text_col))
+    same = (words[d] == chosen[d]) & words[id_col].cast("long").eqNullSafe(chosen[i])
+    kept = words.join(chosen, same, "left_semi")
+    rows = seen.join(first, (seen["digest"] == first["digest"]) & seen["doc_id"].eqNullSafe(first["rep"]), "left_semi")
+    if rows.count() > first.count():  # some row repeats both, so one of them has to be told apart
+        kept = kept.withColumn(k, F.row_number().over(Window.partitionBy(id_col, d).orderBy(id_col))).where(F.col(k) == 1)
+    return kept.select(*docs.columns).unionByName(docs.where(F.regexp_count(text_of(text_col), F.lit(WORD)) == 0))
