@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_parts, kept_for, text_of
 
 #: Characters of a leaf of the tree, and bytes of a run that is encoded at once.
 LEAF, RUN = 32_768, 2_048
-#: Pre-tokens remembered by a worker.
-REMEMBERED = 400_000
-#: Rows that go to a Python worker at once; texts may be long.
-BATCH_ROWS = 512
+#: Pre-tokens remembered by a worker, and the most characters of one.
+REMEMBERED, LONGEST = 200_000, 64
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -93,9 +91,10 @@ class ByteBpe:
             if len(raw) > self.run:
                 return tuple(self.run_tokens("".join(self.letters[b] for b in raw)))
             found = tuple(self.plain.encode(part, add_special_tokens=False).ids)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[part] = found
+            if len(part) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[part] = found
         return found
 
     def run_tokens(self, letters: str) -> list[int]:
@@ -202,9 +201,8 @@ class ByteBpe:
         )
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, leaf: int = LEAF) -> ByteBpe:
-    return ByteBpe(path, leaf)
+    return kept_for(("bpe", path, leaf), lambda: ByteBpe(path, leaf))
 
 
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -226,7 +224,6 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
     A null text counts as empty, and an empty one has no tokens. Repeated rows give repeated results; other
     columns are not read. Rows of more than `leaf` characters are cut into leaves that any executor encodes.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"),
         F.monotonically_increasing_id().alias("row"),
@@ -235,10 +232,9 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
 
     def whole(batches):
         bpe = encoder(path, leaf)
-        for b in batches:
-            if b.num_rows:
-                texts = (x.as_py() for x in b.column("text"))
-                yield rows_of(bpe, ((i, bpe.encode(t)) for i, t in zip(b.column("doc_id").to_pylist(), texts, strict=True)), emit)
+        for b in in_parts(batches):
+            texts = (x.as_py() for x in b.column("text"))
+            yield rows_of(bpe, ((i, bpe.encode(t)) for i, t in zip(b.column("doc_id").to_pylist(), texts, strict=True)), emit)
 
     def cut(batches):
         bpe = encoder(path, leaf)
@@ -255,7 +251,7 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
 
     def encode_leaves(batches):
         bpe = encoder(path, leaf)
-        for b in batches:
+        for b in in_parts(batches, 64):
             lengths, counts, ids = [], [], []
             for k, text in zip(b.column("added").to_pylist(), b.column("text").to_pylist(), strict=True):
                 f = Fragment([text], [(bpe.added[text],)]) if k % 2 else bpe.fragment(text)
@@ -291,7 +287,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def decode(batches):
         bpe = encoder(path)
-        for b in batches:
+        for b in in_parts(batches):
             texts = [bpe.decode(x.as_py() or []) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

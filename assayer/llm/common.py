@@ -32,6 +32,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_parts(batches, rows: int = 512):
+    """Arrow batches cut to at most so many rows, so that what is made of their texts at once stays small. Spark itself
+    bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch), so no setting of the session is changed."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+_kept: list = [None, None]
+
+
+def kept_for(key, make):
+    """What a Python worker keeps from batch to batch: one thing, so that a worker that goes on to another operator, or to
+    another model, gives up what it kept before."""
+    if _kept[0] != key:
+        _kept[:] = None, None
+        _kept[:] = key, make()
+    return _kept[1]
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A name for a column of our own that none of the frame's columns has, whatever their case."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_crc, id_crc_col, id_text, seeded_hash, text_of
+from .common import checkpointed, id_crc, id_crc_col, in_parts, id_text, seeded_hash, text_of
 from .toxicity import fit
 
 #: Labels of rows with crc32(doc_id) mod FOLDS = HELD are never read.
@@ -33,7 +33,6 @@ SAMPLE = 8_000
 ROUNDS, SHARE = 5, 0.05
 #: Buckets of the hashed source and language.
 SOURCES, LANGUAGES = 64, 16
-BATCH_ROWS = 512
 #: Bins of margins, so many to each side of 0 and so many to a unit; sums of so many partitions go to the driver at once.
 BINS, PER_UNIT, PARTS = 2048, 64, 64
 
@@ -245,7 +244,7 @@ def pool_of(docs: DataFrame, known: DataFrame) -> Spread:
     """All rows of documents that have an identifier but no label."""
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             pages = zip(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)
             out = [packed(text_view(t.as_py()), page_view(*p)) for t, p in zip(b.column("text"), pages, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "views"])
@@ -290,12 +289,11 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     classes every score is the class there is (0 without any). Repeated rows are scored alike.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     shared = spark.sparkContext.broadcast(train(rows, labels, sample))
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             pages = zip(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)
             scores = [shared.value.score(text_view(t.as_py()), page_view(*p)) for t, p in zip(b.column("text"), pages, strict=True)]
             held = [id_crc(i) % FOLDS == HELD for i in b.column("doc_id").to_pylist()]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -27,8 +28,8 @@ from .common import BROADCAST_ROWS, checkpointed, id_crc, id_crc_col, text_of
 FOLDS, HELD, MARK = 7, 2, "▁"
 #: Rounds of expectation, and what every piece counts besides.
 ROUNDS, PRIOR = 2, 0.1
-#: Longer words are solved one by one; words of a batch; words counted at once in a worker; rows sent to it at once.
-LONG, BATCH, COUNTED, BATCH_ROWS = 48, 20_000, 300_000, 512
+#: Longer words are solved one by one; words of a batch; words and bytes counted at once in a worker; rows it gives at once.
+LONG, BATCH, COUNTED, COUNTED_BYTES, GIVEN = 48, 20_000, 300_000, 64 << 20, 50_000
 LN10 = math.log(10)
 #: Not a character: stands for a mark that occurs inside a word, which only bytes can spell.
 NONE = 0x110000
@@ -52,6 +53,11 @@ class Unigram:
     def longest(self) -> int:
         return max(map(len, self.pieces))
 
+    @functools.cached_property
+    def begins(self) -> set[str]:
+        """What longer pieces begin with."""
+        return {p[:k] for p in self.pieces for k in range(1, len(p))}
+
     @functools.cached_property
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes of the pieces, and which piece each is."""
@@ -160,36 +166,50 @@ class Solver:
         return forward[:, n]
 
     def one(self, word: str, weight: float | None = None) -> float:
-        """The same for one word, of any length."""
-        text = MARK + word.replace(MARK, "\0" if "\0" not in word else "￾")
-        spelt = [MARK.encode()] + [c.encode() for c in word]
-        single = [sum(float(self.m.bytes[b]) for b in s) for s in spelt]
-        n, find, longest = len(text), self.m.index.get, self.m.longest
-        arcs: list[list[tuple[int, float, int]]] = []
+        """The same for one word, of any length: arcs are found again where they are needed, so the memory is two numbers a
+        character while pieces are counted, and a few places before the current one otherwise."""
+        text = MARK + word.replace(MARK, "\0" if "\0" not in word else "\ufffe")
+        n, width = len(text), self.m.longest + 1
+        forward = array("d", [-math.inf]) * (n + 1 if weight is not None else min(width, n + 1))
+        size = len(forward)
+        forward[0] = 0.0
         for i in range(n):
-            found = [(j, k) for j in range(i + 1, min(n, i + longest) + 1) if (k := find(text[i:j])) is not None]
-            arcs.append([(j, float(self.m.logs[k]), k) for j, k in found] + ([(i + 1, single[i], -1)] if i else []))
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        forward = [0.0] * (n + 1)
-        for i in range(n + 1):
-            forward[i] = log_sum(into[i]) if i else 0.0
-            into[i] = []
-            if i < n:
-                for j, log, _ in arcs[i]:
-                    into[j].append(forward[i] + log)
+            here = forward[i % size]
+            if size <= n:
+                forward[i % size] = -math.inf  # this cell is the place's that a piece from the next one may reach
+            for j, log, _ in self.ways(text, word, i):
+                forward[j % size] = log_add(forward[j % size], here + log)
+        whole = forward[n % size]
         if weight is not None:
-            backward = [0.0] * (n + 1)
-            scale = math.log(weight) - forward[n]
+            backward = array("d", [-math.inf]) * (n + 1)
+            backward[n], scale = 0.0, math.log(weight) - whole
             for i in range(n - 1, -1, -1):
-                backward[i] = log_sum([log + backward[j] for j, log, _ in arcs[i]])
-                for j, log, k in arcs[i]:
+                found = self.ways(text, word, i)
+                for j, log, _ in found:
+                    backward[i] = log_add(backward[i], log + backward[j])
+                for j, log, k in found:
                     share = math.exp(min(700.0, forward[i] + log + backward[j] + scale))
                     if k >= 0:
                         self.pieces[k] += share
                     else:
-                        for b in spelt[i]:
+                        for b in word[i - 1].encode():
                             self.bytes[b] += share
-        return forward[n]
+        return whole
+
+    def ways(self, text: str, word: str, i: int) -> list[tuple[int, float, int]]:
+        """(to, log, piece or -1 for bytes) of the arcs that leave a place of the marked word."""
+        find, begins, logs = self.m.index.get, self.m.begins, self.m.logs
+        out = []
+        for j in range(i + 1, min(len(text), i + self.m.longest) + 1):
+            piece = text[i:j]
+            k = find(piece)
+            if k is not None:
+                out.append((j, float(logs[k]), k))
+            if piece not in begins:
+                break
+        if i:
+            out.append((i + 1, sum(float(self.m.bytes[b]) for b in word[i - 1].encode()), -1))
+        return out
 
     def words(self, words: list[str], weights: np.ndarray | None = None) -> np.ndarray:
         """Natural logs of the words' marginal probabilities."""
@@ -212,11 +232,9 @@ class Solver:
         return out
 
 
-def log_sum(logs: list[float]) -> float:
-    if not logs:
-        return -math.inf
-    top = max(logs)
-    return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in logs))
+def log_add(a: float, b: float) -> float:
+    low, high = (a, b) if a < b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -245,9 +263,11 @@ def count_words(docs: DataFrame) -> DataFrame:
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 (held if id_crc(doc_id) % FOLDS == HELD else learnt).update(words_of(text.as_py()))
-                if len(learnt) + len(held) > COUNTED:
+                size += len(text.as_py())
+                if len(learnt) + len(held) > COUNTED or size > COUNTED_BYTES:
                     yield flush()
                     learnt.clear(), held.clear()
+                    size = 0
         if learnt or held:
             yield flush()
 
@@ -255,15 +275,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"), F.sum("everywhere").alias("everywhere"))
 
 
+def gathered(batches):
+    """Batches put together to about BATCH rows: words of a length are solved at once."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= BATCH:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def expect(counts: DataFrame, model: Unigram, documents: int) -> Unigram:
     """One round: the pieces' expected counts over all training words, with the prior, as the new probabilities."""
     shared = counts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         solver = Solver(shared.value, True)
-        for b in batches:
-            if b.num_rows:
-                solver.words(b.column("word").to_pylist(), b.column("c").to_numpy().astype(float))
+        for t in gathered(batches):
+            solver.words(t.column("word").to_pylist(), t.column("c").to_numpy().astype(float))
         both = np.concatenate([solver.pieces, solver.bytes])
         ids = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(both[ids])], names=["id", "n"])
@@ -291,7 +323,7 @@ def solve(counts: DataFrame, model: Unigram) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in gathered(batches):
             logs = Solver(shared.value).words(b.column("word").to_pylist()) / LN10
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logs, pa.float64())], names=[*b.schema.names, "log10"])
 
@@ -305,19 +337,17 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     A null text is empty: it has the end as its only token. Rows without identifier are learnt from. Repeated rows
-    count and are scored each. Without training documents the file's own weights are used.
+    count and are scored each. Without training documents the file's own weights are used. Texts and words of any
+    length are read whole, an empty table gives an empty result, and other columns of `docs` are not read.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     counts = checkpointed(count_words(rows))
     n, v, every = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("everywhere")).first()
     ends = rows.where(id_crc_col() % FOLDS != HELD).count()
     n, v = (n or 0) + ends, v + (ends > 0)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     model = train(counts, ends, path)
     solved = checkpointed(solve(counts, model))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     whole = math.log10(n + v + 1)
     least = (every or 0) // BROADCAST_ROWS + 1  # so many words are at least this common: BROADCAST_ROWS at most
@@ -331,8 +361,9 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         common, end_base, end = shared.value
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
         names = [x.split()[0] for x in ROWS.split(", ")]
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        out = []
         for b in batches:
-            out = []
             for row, doc_id, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 words = words_of(text.as_py())
                 base, score, known = end_base, end, int(ends > 0)
@@ -340,14 +371,17 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     found = common.get(w)
                     if found is None:
                         out.append((row, None, None, None, None, None, None, w.decode(), k))
+                        if len(out) >= GIVEN:
+                            yield batch(out)
+                            out = []
                     else:
                         base += k * found[0]
                         score += k * found[1]
                         known += k * found[2]
                 # A word no text has keeps these rows apart in the join.
                 out.append((row, doc_id, id_crc(doc_id) % FOLDS == HELD, len(words) + 1, known, base, score, f" {row}", None))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        if out:
+            yield batch(out)
 
     found = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(read, ROWS)
     rare = solved.where(F.col("everywhere") < least).select("word", "c", "log10")

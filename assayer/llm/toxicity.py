@@ -1,180 +1,150 @@
-"""Toxicity by compression distance: the lengths that two zstandard dictionaries give to windows of a text.
-
-Training works on a bounded, documented sample of labelled rows. The ordinary dictionary is trained on windows of
-ordinary documents. The toxic one is trained on passages of toxic documents: most of such a document is ordinary
-prose, so the passages are the stretches that recur in toxic documents, in ever different surroundings, beyond what
-their share among all documents explains (a likelihood-ratio test at a level that the number of words sets). When a
-length is measured for toxic, these passages are laid before the ordinary dictionary, so the two lengths of a window
-only differ where toxic passages explain it better, and ordinary prose cancels out.
-
-A text is read in coarse windows of WINDOW words; where the toxic length is the smaller one, the words are measured as
-windows of their own, repeated so that the frame's fixed cost doesn't hide the difference. A word whose toxic
-length is as small as that of the passages themselves is a full match, another with a gain a partial one. Their
-numbers and gains enter a logistic threshold that is fitted on labelled rows that trained no dictionary, if
-there are enough.
+"""Toxicity by compression distance: the lengths that two separate zstandard dictionaries give to windows of a text.
+
+Training works on a bounded, documented sample of labelled rows. A window is a run of letters and digits, measured
+REPEATS times over, so that a frame's fixed cost doesn't hide what a dictionary explains. The ordinary dictionary is
+trained on windows of ordinary documents, the toxic one on windows of toxic documents. As most of a toxic document is
+ordinary prose too, windows that ordinary documents have as well, by their share, train nothing toxic.
+
+Thresholds are calibrated on the joint histogram of a window's size and of the bytes that either dictionary saves: each
+cell tells how many times as often toxic documents fill it as ordinary ones do. For that, the windows of one half of the
+toxic documents are measured by a dictionary of the other half, and those of ordinary documents that trained nothing.
+Of a text, the numbers of windows whose cells reach 1.5, 3, 6 and 12 times enter a logistic function, fitted on labelled
+rows that trained no dictionary, if there are enough of them.
 """
 
 from __future__ import annotations
 
-import functools
 import math
+import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, id_crc_col, id_text, seeded_hash, text_of
+from .common import id_crc, id_crc_col, id_text, kept_for, seeded_hash, text_of
 
 #: Labels of rows with crc32(doc_id) mod FOLDS = HELD are never read.
 FOLDS, HELD = 5, 0
-#: At most so many labelled rows are learnt from, those with the smallest seeded hash.
-SAMPLE = 8_000
-#: Words of a coarse window, repeats in a fine one, sizes of the dictionaries, and the level of the search.
-WINDOW, REPEATS, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16, 4, 110 << 10, 4 << 10, 12
-#: Ordinary windows that train the dictionary; how much likelier a toxic passage has to be; least surroundings.
-ORDINARY_WINDOWS, LIFT, SURROUNDINGS = 100_000, 20, 3
-#: Characters of the beginnings of words that count as stretches.
-SHORTEST, LONGEST = 4, 10
+#: At most so many labelled rows, and bytes of their texts, are learnt from, those with the smallest seeded hash.
+SAMPLE, SAMPLE_BYTES = 8_000, 32 << 20
+#: How often a window is repeated when it is measured, the sizes of the dictionaries, and how deep zstandard searches.
+REPEATS, ORDINARY_BYTES, TOXIC_BYTES, SEARCH = 4, 110 << 10, 4 << 10, 6
+#: Documents of a half that have a window, and how much larger their share has to be, for it to train the toxic dictionary.
+RECURRING, CONTRAST = 2, 6
+#: Surplus from which windows are counted; sizes and savings from which cells aren't told apart.
+GAINS, MOST = (1.5, 3, 6, 12), 16
 #: Rows of each class that a separate calibration takes.
 APART = 30
-MARKS = b".,!?;:"
-REMEMBERED, BATCH_ROWS = 400_000, 512
+#: Windows whose lengths a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 200_000, 32
+
+WINDOW = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
-    full: int
+    times: np.ndarray
     weights: tuple[float, ...]
     trained: bool = True
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def windows(text: str) -> list[bytes]:
+    return WINDOW.findall(text.encode().lower())
+
 
+def coder(content: bytes):
+    """The length that a dictionary gives to a window."""
+    import zstandard as z
 
-def spaced(words: list[bytes]) -> bytes:
-    return b" " + b" ".join(words) + b" "
+    d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    p = z.ZstdCompressionParameters(
+        window_log=18, chain_log=16, hash_log=16, search_log=SEARCH, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY2,
+        format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
+    if content:
+        d.precompute_compress(compression_params=p)
+    compress = z.ZstdCompressor(dict_data=d, compression_params=p).compress
+    return lambda window: len(compress((b" " + window) * REPEATS + b" "))
 
 
 class Distance:
-    """Gains of the toxic dictionary over the ordinary one."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes, full: int):
-        self.full = full
-        self.short, self.long = self.coder(toxic + ordinary), self.coder(ordinary)
-        self.known: dict[bytes, tuple[int, int]] = {}
-
-    @staticmethod
-    def coder(content: bytes):
-        import zstandard as z
-
-        d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-        p = z.ZstdCompressionParameters.from_level(
-            LEVEL, source_size=64, dict_size=len(content), format=z.FORMAT_ZSTD1_MAGICLESS,
-            write_content_size=0, write_dict_id=0, write_checksum=0)
-        if content:
-            d.precompute_compress(compression_params=p)
-        return z.ZstdCompressor(dict_data=d, compression_params=p).compress
-
-    def word(self, word: bytes) -> tuple[int, int]:
-        """Gain and toxic length of a word as a window of its own."""
-        found = self.known.get(word)
+    """How much likelier the lengths that both dictionaries give to a window are in a toxic document."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, times: np.ndarray):
+        self.ordinary, self.toxic, self.times = Lengths(ordinary), Lengths(toxic), times.tolist()
+        self.known: dict[bytes, float] = {}
+
+    def surplus(self, window: bytes) -> float:
+        found = self.known.get(window)
         if found is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            window = (b" " + word) * REPEATS + b" "
-            toxic = len(self.short(window))
-            self.known[word] = found = (len(self.long(window)) - toxic, toxic)
+            ordinary, toxic = (min(max(x.fixed + len(window) - x.length(window), 0), MOST - 1) for x in (self.ordinary, self.toxic))
+            found = self.times[(min(len(window), MOST - 1) * MOST + ordinary) * MOST + toxic]
+            if len(window) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[window] = found
         return found
 
     def features(self, text: str) -> list[float]:
-        words = words_of(text)
-        full = partial = gained = most = 0
-        for k in range(0, len(words), WINDOW):
-            part = words[k : k + WINDOW]
-            window = spaced(part)
-            if len(self.long(window)) <= len(self.short(window)):
-                continue
-            for w in part:
-                gain, toxic = self.word(w.strip(MARKS))
-                if gain > 0:
-                    most = max(most, gain)
-                    if toxic <= self.full:
-                        full, gained = full + 1, gained + gain
-                    elif gain > 1:
-                        partial += 1
-        return [1.0, math.log1p(full), math.log1p(gained), math.log1p(partial), math.log1p(most), math.log1p(len(words) / WINDOW) / 4]
-
-
-def surplus(a: int, n: int, b: int, m: int) -> float:
-    """Likelihood ratio of a in n against b in m."""
-    total, both = 0.0, (a + b) / (n + m)
-    for seen, expected in ((a, n * both), (b, m * both), (n - a, n - n * both), (m - b, m - m * both)):
-        if seen > 0:
-            total += seen * math.log(seen / expected)
-    return 2 * total
-
-
-def stretches(word: bytes) -> list[bytes]:
-    """A word between spaces, and how it begins."""
-    text = word.decode()
-    begins = [b" " + text[:n].encode() for n in range(SHORTEST, min(len(text), LONGEST) + 1)]
-    return [b" " + word + b" ", *begins]
-
-
-def passages(rows: list[tuple[str, int]]) -> dict[bytes, int]:
-    """Stretches that mark toxic documents, with the number of these."""
-    toxic, ordinary, around, n = Counter(), Counter(), defaultdict(set), [0, 0]
-    each = [([w.strip(MARKS) for w in words_of(t)], y) for t, y in rows if y]
-    for words, _ in each:
-        toxic.update({x for w in set(words) if w for x in stretches(w)})
-    level = 2 * math.log(max(2, len(toxic)))
-    toxic = Counter({x: k for x, k in toxic.items() if k >= SURROUNDINGS})
-    for text, label in rows:
-        n[label] += 1
-        if not label:
-            found = {x for w in {w.strip(MARKS) for w in words_of(text)} if w for x in stretches(w)}
-            ordinary.update(x for x in found if x in toxic)
-    likely = {
-        x for x, k in toxic.items() if k * n[0] > LIFT * ordinary[x] * n[1] and surplus(k, n[1], ordinary[x], n[0]) >= level
-    }
-    for words, _ in each:
-        for a, w, b in zip([b"", *words], words, [*words[1:], b""], strict=False):
-            for x in stretches(w) if w else ():
-                if x in likely and len(around[x]) < toxic[x]:
-                    around[x].add((a, b))
-    chosen = {x for x in likely if len(around[x]) >= max(SURROUNDINGS, toxic[x] / 2)}
-    out = {}
-    for x in sorted(chosen, key=len):
-        shorter = [p for p in out if x.startswith(p)]
-        if any(toxic[p] >= 2 * toxic[x] for p in shorter):
-            continue  # how the word begins says it already
-        for p in shorter:
-            if toxic[p] < 1.25 * toxic[x]:
-                del out[p]  # hardly ever begins another word
-        out[x] = toxic[x]
-    return out
-
-
-def dictionary(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the distinct samples themselves where they are too few to train one."""
+        found = windows(text)
+        times = np.fromiter(map(self.surplus, found), float, len(found))
+        return [1.0, *(math.log1p((times >= least).sum()) for least in GAINS), math.log1p(len(found)) / 4]
+
+
+def trained(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary that zstandard trains on samples, in an order that only depends on them."""
     import zstandard as z
 
+    dealt = sorted(samples, key=lambda x: (zlib.crc32(x), x))
     try:
-        return z.train_dictionary(size, samples).as_bytes()
+        return z.train_dictionary(size, [b" " + x + b" " for x in dealt], k=16, d=6, steps=4).as_bytes()
     except z.ZstdError:
-        return b"".join(dict.fromkeys(samples))[:size]
+        return recurring(size, samples)  # too few or too short ones
+
+
+def recurring(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary of the samples that come most often, these last, where they are nearest to what is compressed."""
+    times = Counter(samples)
+    content = b"".join(b" " + x for x in sorted(times, key=lambda x: (times[x], x)))
+    return content[-size:] + b" " if content else b""
+
 
+def of_documents(texts: list[str]) -> list[bytes]:
+    """The distinct windows of each text."""
+    return [w for t in texts for w in sorted(set(windows(t)))]
 
-def dealt(items: list[bytes]) -> list[bytes]:
-    """In an order that only depends on the items."""
-    return sorted(items, key=lambda x: (zlib.crc32(x), x))
+
+class Lengths:
+    """Lengths that one dictionary gives to windows."""
+
+    def __init__(self, content: bytes):
+        self.length = coder(content)
+        strange = bytes(range(1, 9))
+        self.fixed = self.length(strange) - len(strange)  # of a window that the dictionary doesn't know
+
+    def saved(self, found: list[bytes]) -> np.ndarray:
+        """Bytes of each window that the dictionary explains; each distinct window is measured once."""
+        known = {w: self.fixed + len(w) - self.length(w) for w in set(found)}
+        return np.clip(np.fromiter(map(known.__getitem__, found), int, len(found)), 0, MOST - 1)
+
+
+def cells(found: list[bytes], ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    size = np.minimum(np.fromiter(map(len, found), int, len(found)), MOST - 1)
+    return (size * MOST + ordinary) * MOST + toxic
+
+
+def surplus(own: list[bytes], own_saved: np.ndarray, back: list[bytes], back_saved: np.ndarray, toxic: bytes) -> np.ndarray:
+    """How many times as often toxic documents fill each cell of lengths; 0 where the toxic dictionary saves no more."""
+    lengths = Lengths(toxic)
+    rate = np.bincount(cells(own, own_saved, lengths.saved(own)), minlength=MOST**3) / max(1, len(own))
+    usual = (np.bincount(cells(back, back_saved, lengths.saved(back)), minlength=MOST**3) + 3) / max(1, len(back))
+    cell = np.arange(MOST**3)
+    return np.where(cell % MOST > cell // MOST % MOST + 1, rate / usual, 0.0)
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> np.ndarray:
@@ -199,21 +169,22 @@ def learn(rows: list[tuple[int, str, int]]) -> Model:
         taught = [r for r in rows if id_crc(r[0]) // FOLDS % 4]
     else:
         taught = apart = rows
-    marks = passages([(t, y) for _, t, y in taught])
-    if not marks:
-        return Model(b"", b"", 0, (), False)
-    marked = Counter(
-        w for _, t, y in taught if y for w in (w.strip(MARKS) for w in words_of(t)) if w and any(x in marks for x in stretches(w))
-    )
-    toxic = dictionary(TOXIC_BYTES, dealt([b" " + w + b" " for w, k in marked.items() for _ in range(min(k, 200))]))
-    windows = (spaced(w[k : k + 8]) for _, t, y in taught if not y for w in [words_of(t)] for k in range(0, len(w), 8))
-    windows = dealt(list(dict.fromkeys(windows)))[:ORDINARY_WINDOWS]
-    ordinary = dictionary(ORDINARY_BYTES, windows)
-    lengths = [len(Distance(ordinary, toxic, 0).short((b" " + w) * REPEATS + b" ")) for w in marked]
-    full = int(np.median(lengths))
-    distance = Distance(ordinary, toxic, full)
+    part = lambda label, k, n: of_documents([t for i, t, y in taught if y == label and id_crc(i) // 20 % n in k])
+    ordinary = trained(ORDINARY_BYTES, part(0, (0, 1), 3))
+    by_ordinary = Lengths(ordinary)
+    back, halves = part(0, (2,), 3), [part(1, (0,), 2), part(1, (1,), 2)]
+    back_saved, usual, chosen = by_ordinary.saved(back), Counter(back), []
+    for own in halves:
+        seen, share = Counter(own), len(own) / max(1, len(back))
+        chosen.append([w for w in own if seen[w] >= max(RECURRING, CONTRAST * share * (usual[w] + 1))])
+    if not any(chosen):
+        return Model(b"", b"", np.zeros(0), (), False)
+    toxic = recurring(TOXIC_BYTES, chosen[0] + chosen[1])
+    crossed = [surplus(h, by_ordinary.saved(h), back, back_saved, recurring(TOXIC_BYTES, other)) for h, other in zip(halves, chosen[::-1], strict=True)]
+    times = (crossed[0] + crossed[1]) / 2
+    distance = Distance(ordinary, toxic, times)
     x = np.array([distance.features(t) for _, t, _ in apart])
-    return Model(ordinary, toxic, full, tuple(fit(x, np.array([y for *_, y in apart], float))))
+    return Model(ordinary, toxic, times, tuple(fit(x, np.array([y for *_, y in apart], float))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,34 +193,31 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     order = seeded_hash(41, id_text())
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy(order, "doc_id").limit(sample)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy(order, "doc_id", "text").limit(sample)
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).drop("so_far")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return learn([(r.doc_id, r.text, r.toxic) for r in labelled(docs, labels, sample).collect()])
 
 
-@functools.lru_cache(maxsize=2)
-def distance_of(ordinary: bytes, toxic: bytes, full: int) -> Distance:
-    return Distance(ordinary, toxic, full)
-
-
 def score(model: Model, text: str) -> float:
     """0 to 1; without a trained model every text is ordinary."""
     if not model.trained:
         return 0.0
-    x = distance_of(model.ordinary, model.toxic, model.full).features(text)
+    x = kept_for(("toxicity", model.ordinary, model.toxic), lambda: Distance(model.ordinary, model.toxic, model.times)).features(text)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(model.weights, x, strict=True))))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Null texts count as empty. Rows that repeat are scored alike. Labels of documents that aren't in the table teach
-    nothing; without toxic labels, or without passages that mark them, every score is 0.
+    Null texts count as empty. Rows that repeat are scored alike, texts of any length are read whole, and other columns
+    of `docs` are not read. Labels of documents that aren't in the table teach nothing; without toxic labels, or
+    without windows that only toxic documents have, every score is 0. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     shared = spark.sparkContext.broadcast(train(docs, labels, sample))
 
     def run(batches):
@@ -266,9 +234,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
+    """The documents that aren't predicted toxic, with all their columns and values, whatever they are called."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     shared = spark.sparkContext.broadcast(train(docs, labels, sample))
 
     def run(batches):

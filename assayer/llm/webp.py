@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_parts, text_of
 
 #: Fixed values of the format.
 SIGNATURE = 0x2F
@@ -31,7 +31,6 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 
 #: A payload is filled up with FILL to a multiple of BLOCK bytes: rows of PIXELS pixels of three samples.
 BLOCK, FILL, PIXELS = 576, b"\xff", 192
-BATCH_ROWS = 512
 
 #: The longest copy, and the sizes of the colour cache (in bits) that compress_stream tries.
 MOST_LENGTH, CACHES = 4096, (0, 6, 9)
@@ -748,7 +747,6 @@ DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tai
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("payload"))
 
 
@@ -756,7 +754,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_bytes and media (WebP bytes) of every row; null texts count as empty."""
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             payloads = b.column("payload").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(map(len, payloads), pa.int64()), pa.array([store(p, compress_stream) for p in payloads], pa.binary())],
@@ -779,7 +777,7 @@ def read_media(media: DataFrame) -> DataFrame:
 
     def run(batches):
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-        for b in batches:
+        for b in in_parts(batches, 64):
             files = zip(b.column("doc_id").to_pylist(), b.column("media"), strict=True)
             rows = [r for i, m in files if m.is_valid for r in one(i, m.as_py())]
             columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -806,10 +804,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                rows = [row(i, p.as_py()) for i, p in zip(b.column("doc_id").to_pylist(), b.column("payload"), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), COLUMNS, strict=True)], schema=COLUMNS)
+        for b in in_parts(batches):
+            rows = [row(i, p.as_py()) for i, p in zip(b.column("doc_id").to_pylist(), b.column("payload"), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), COLUMNS, strict=True)], schema=COLUMNS)
 
     return texts(docs, id_col, text_col).mapInArrow(run, DDL)

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -85,3 +86,14 @@ def test_held_out_text_is_likelier_than_by_the_files_weights(spark):
     held = [r.text for r in rows.collect() if lattice.id_crc(r.doc_id) % 7 == 2][:5]
     plain = lattice.load(lattice.default_path())
     assert sum(lattice.document_log10(model, t[:2000]) for t in held) > sum(lattice.document_log10(plain, t[:2000]) for t in held)
+
+
+def test_long_words_in_bounded_memory():
+    word = "abc" * 30_000
+    tracemalloc.start()
+    got = lattice.Solver(TOY).one(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    assert got == pytest.approx(float(lattice.Solver(TOY).same_length([word[:3000]])[0]) * 30, rel=0.01)
+    assert lattice.Solver(TOY).one(word[:3000]) == pytest.approx(float(lattice.Solver(TOY).same_length([word[:3000]])[0]))

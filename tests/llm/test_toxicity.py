@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -49,3 +50,38 @@ def test_model_scores_are_probabilities():
     assert model.trained and toxicity.score(model, "") < 0.5
     assert toxicity.score(model, "there on grunthead an vilesnout the") > 0.5
     assert toxicity.score(model, "there" * 50_000) == pytest.approx(toxicity.score(model, "there" * 50_000))
+
+
+def test_lengths_against_plain_compression():
+    import zstandard as z
+
+    rng = random.Random(5)
+    rows = [(k, invented(rng, k % 3 == 0), int(k % 3 == 0)) for k in range(400)]
+    model = toxicity.learn(rows)
+    text = "There wretchling, on ThereanIN éa 12 vilesnout. there"
+    found = [w.encode() for w in "there wretchling on thereanin éa 12 vilesnout there".split()]
+    assert toxicity.windows(text) == found
+
+    def length(content, window):
+        p = z.ZstdCompressionParameters(
+            window_log=18, chain_log=16, hash_log=16, search_log=6, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY2,
+            format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
+        d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=p)
+        return len(z.ZstdCompressor(dict_data=d, compression_params=p).compress((b" " + window) * 4 + b" "))
+
+    strange = bytes(range(1, 9))
+    saved = lambda c, w: min(max(length(c, strange) - 8 + len(w) - length(c, w), 0), 15)
+    times = [model.times[(min(len(w), 15) * 16 + saved(model.ordinary, w)) * 16 + saved(model.toxic, w)] for w in found]
+    counts = [sum(t >= least for t in times) for least in (1.5, 3, 6, 12)]
+    x = [1.0, *(math.log1p(c) for c in counts), math.log1p(len(found)) / 4]
+    assert toxicity.score(model, text) == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, x, strict=True)))))
+    assert counts[0] >= 2 and min(counts) >= 1
+    assert model.ordinary != model.toxic
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('x', 1000) AS text")
+    labels = spark.range(60).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10_500)
+    assert toxicity.labelled(docs, labels).count() == 10
