@@ -74,6 +74,11 @@ def id_text(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
 
 
+def own_text(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The identifier as text; rows without one go by a digest of their text instead, so that they don't share a draw."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(text_of(text_col).cast("binary"))))
+
+
 def seeded_hash(seed: int, *parts: Column) -> Column:
     """60 uniform bits of the parts and the seed, the same in any engine that has MD5."""
     text = F.concat_ws(":", F.lit(str(seed)), *parts)

@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star rounds.
 
-No round gathers a component: each is a minimum per node (folded before it is moved) and a join back on the node,
-and rounds are cut by reliable checkpoints. Chains shrink by a constant factor a round.
+No round gathers a component: each is a minimum per node (folded before it is moved) and a join back on the node, of
+which hubs are broadcast, and rounds are cut by reliable checkpoints. Chains shrink by a constant factor a round.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, heavy_split
 
 
 def state(edges: DataFrame) -> tuple:
@@ -28,11 +28,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).select("u", F.least("u", "least").alias("m"), "n")
+        large = heavy_split(both, least, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every node points down after the large one, so its neighbours are its smaller ones.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        large = checkpointed(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = heavy_split(large, low, "u", "n", large.count())
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )

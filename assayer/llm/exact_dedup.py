@@ -11,10 +11,10 @@ digests would hide different texts and the run fails.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, heavy_split, text_of
+from .common import SPACE, checkpointed, heavy_split, text_of, unused
 
 
 def normalised(column: str = "text"):
@@ -80,22 +80,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), F.lit(True).alias("_keep")
-    )
-    keyed = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
-    same = keyed[id_col].eqNullSafe(kept["_keep_id"]) & (keyed["_sha"] == kept["_keep_sha"])
-    joined = keyed.join(kept, same, "left_semi")
-    return first_of_each(joined, [id_col, "_sha"]).select(*docs.columns)
-
+    """The documents that stay, with all their columns and values, whatever they are called.
 
-def first_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One of the rows that agree in the keys (whole rows that repeat)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(*keys)
-    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    Of rows that repeat an identifier and a text one stays. An empty table gives an empty result.
+    """
+    sha, i, nth = (unused(docs, c) for c in ("sha", "id", "nth"))
+    same_id = exact_dedup(docs, id_col, text_col).where("doc_id <=> keep_id")
+    firsts = checkpointed(same_id.select("doc_id", "text_sha256", "kept"))
+    chosen = firsts.where("kept").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(sha))
+    keyed = docs.withColumn(sha, F.sha2(normalised(text_col), 256))
+    left = keyed.join(chosen, (keyed[sha] == chosen[sha]) & keyed[id_col].cast("long").eqNullSafe(chosen[i]), "left_semi")
+    if firsts.count() > chosen.count():  # some row repeats both, so one of them has to be told apart
+        left = left.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, sha).orderBy(id_col))).where(F.col(nth) == 1)
+    return left.select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, checkpointed, id_text, seeded_hash, text_of
+from .common import BROADCAST_ROWS, WORD, checkpointed, heavy_split, own_text, seeded_hash, text_of, unused
 
 #: 60 bits of the hash.
 HASH_RANGE = float(1 << 60)
@@ -52,48 +52,57 @@ def source_targets(
     return level.withColumn("target", target).select("_stratum", "source_size", "target", rate.alias("rate"))
 
 
-def with_targets(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Join on _stratum. The sources are broadcast if they are few; else every source's rows are salted."""
-    targets = checkpointed(source_targets(sizes))
-    if targets.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(targets), "_stratum")
-    salts = 64
-    spread = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(
-        spread, ["_stratum", "_salt"]
-    ).drop("_salt")
+def with_targets(rows: DataFrame, sizes: DataFrame, key: str = "_stratum") -> DataFrame:
+    """Join with the sources' targets on the key. `sizes` is (_stratum, source_size, n), n rows each.
+
+    Sources are broadcast if they are BROADCAST_ROWS at most; else those with most rows are (heavy_split), and no
+    source of the others is large.
+    """
+    sizes = checkpointed(sizes)
+    targets = source_targets(sizes.select("_stratum", "source_size")).join(sizes.select("_stratum", "n"), "_stratum")
+    targets = checkpointed(targets.withColumnRenamed("_stratum", key))
+    sources, total = targets.agg(F.count("*"), F.sum("n")).first()
+    if sources <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(targets), key)
+    return heavy_split(rows, targets, key, "n", total)
 
 
-def copies(seed: int, id_col: str = "doc_id"):
+def copies(seed: int, rate, id_col: str = "doc_id", text_col: str = "text"):
     """floor(rate) and one Bernoulli copy for the fraction."""
-    extra = seeded_hash(seed, id_text(id_col)) / F.lit(HASH_RANGE) < F.col("rate") - F.floor("rate")
-    return (F.floor("rate") + F.when(extra, 1).otherwise(0)).cast("int")
+    extra = seeded_hash(seed, own_text(id_col, text_col)) / F.lit(HASH_RANGE) < rate - F.floor(rate)
+    return (F.floor(rate) + F.when(extra, 1).otherwise(0)).cast("int")
 
 
 def mixing(docs: DataFrame, seed: int = 23) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row; null texts have size 0.
 
-    Rows that repeat an identifier share its draw. A source without words has a target of 0 and gives nothing;
-    a null source is the last one. An empty table gives an empty result.
+    Rows that repeat an identifier share its draw; rows without one are drawn by their text. A source without words
+    has a target of 0 and gives nothing; a null source is the last one. Texts of any length are read whole, an empty
+    table gives an empty result, and other columns of `docs` are not read.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), stratum().alias("_stratum"), words().alias("size")
-    )
-    rows = checkpointed(rows)
-    sizes = rows.groupBy("_stratum").agg(F.sum("size").alias("source_size"))
-    return with_targets(rows, sizes).withColumn("copies", copies(seed)).select(
+    draw = seeded_hash(seed, own_text()) / F.lit(HASH_RANGE)
+    rows = checkpointed(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), stratum().alias("_stratum"), words().alias("size"), draw.alias("_draw")))
+    sizes = rows.groupBy("_stratum").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    rate = F.col("rate")
+    taken = (F.floor(rate) + F.when(F.col("_draw") < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    return with_targets(rows, sizes).withColumn("copies", taken).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
 def mix(docs: DataFrame, seed: int = 23) -> DataFrame:
-    """The mixture: every row as often as the mix takes it, with the columns it has."""
-    keyed = docs.withColumn("_stratum", stratum())
+    """The mixture: every row as often as the mix takes it, with the columns and values it has, whatever they are called.
+
+    Nulls, ties and empty tables as in mixing().
+    """
+    key, row, times = (unused(docs, c) for c in ("stratum", "row", "copy"))
     sizes = docs.select(stratum().alias("_stratum"), words().alias("_size")).groupBy("_stratum").agg(
-        F.sum("_size").alias("source_size")
-    )
-    drawn = with_targets(keyed, sizes).withColumn("_copies", copies(seed)).where("_copies > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+        F.sum("_size").alias("source_size"), F.count("*").alias("n"))
+    keyed = docs.select(stratum().alias(key), F.struct(*docs.columns).alias(row))
+    drawn = with_targets(keyed, sizes, key)
+    drawn = drawn.select(F.col(row), copies(seed, F.col("rate"), f"{row}.doc_id", f"{row}.text").alias(times)).where(F.col(times) > 0)
+    return drawn.select(row, F.explode(F.sequence(F.lit(1), times)).alias(times)).select(f"{row}.*")
 
 
 ORACLE_SQL = r"""

@@ -13,22 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, seeded_hash, text_of
+from .common import own_text, seeded_hash, text_of, unused
 
 #: The seeded hash has 60 bits; slices are its upper bits.
 HASH_BITS = 60
+LEAST_BITS, SLICE_ROWS = 10, 2_000_000
 
 
 def interleave(
-    docs: DataFrame, shards: int = 24, seed: int = 17, slice_bits: int = 10,
+    docs: DataFrame, shards: int = 24, seed: int = 17, slice_bits: int | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot and the columns in `carry`, for every row.
 
     Row counts of any two shards differ by one at most, and slots are gapless from 0. A null source is a source
-    of its own, a null text has no bytes, and rows that tie in everything are in either order. 2**slice_bits is
-    the number of slices of each source's hash range and of the whole; raise it with the number of executors.
+    of its own, a null text has no bytes, and rows that tie in everything are in either order. Rows without identifier
+    are shuffled by their text. 2**slice_bits is the number of slices of each source's hash range and of the whole;
+    unless given it grows with the rows, so that a slice has about SLICE_ROWS at most. Texts of any length are read
+    whole, and an empty table gives an empty result. The columns in `carry` must not begin with an underscore.
     """
+    if slice_bits is None:
+        slice_bits = max(LEAST_BITS, (docs.count() // SLICE_ROWS).bit_length())
     slices = 1 << slice_bits
     text = text_of(text_col)
     crc = F.crc32(text.cast("binary"))
@@ -38,7 +43,7 @@ def interleave(
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-")).alias("_stratum"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         crc.alias("text_crc32"),
-        seeded_hash(seed, id_text(id_col)).alias("_hash"),
+        seeded_hash(seed, own_text(id_col, text_col)).alias("_hash"),
         *carry,
     ).withColumn("_slice", F.shiftright("_hash", HASH_BITS - slice_bits).cast("int"))
 
@@ -74,10 +79,18 @@ def interleave(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, **options) -> None:
-    """Whole rows as Parquet, a folder per shard; within a shard, rows are in slot order in each file."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "source", "size", "text_crc32", "shard", "slot"))
-    rows = interleave(docs, shards, carry=others, **options)
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Whole rows as Parquet, a folder per shard; within a shard, rows are in slot order in each file.
+
+    The documents' columns keep their names and values. `shard` and `slot` are added; where the documents have such
+    columns themselves, the added ones are called _shard and _slot (or with as many more underscores as it takes).
+    """
+    taken = {c.lower() for c in docs.columns}
+    shard, slot = (unused(docs, c) if c in taken else c for c in ("shard", "slot"))
+    roles = {c: options.pop(c, d) for c, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    rows = docs.select(*(F.col(c).alias(k) for k, c in roles.items()), F.struct(*docs.columns).alias("whole"))
+    placed = interleave(rows, shards, carry=("whole",), **{k: k for k in roles}, **options)
+    named = placed.select("whole.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    named.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def sharding(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -17,3 +17,23 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.where("false")
+
+
+#: Names that operators use, or once used, for columns of their own.
+CLASHING = (
+    "target", "rate", "source_size", "_stratum", "_copies", "_copy", "_row", "_sha", "_id", "_nth", "_keep", "_digest", "digest", "size", "shard",
+    "slot", "_n", "_slice", "_shard", "row", "whole", "n", "group", "score", "predicted", "held_out", "kept", "keep_id", "component_id",
+)
+
+
+@pytest.fixture(scope="session")
+def clashing(odd):
+    from pyspark.sql import functions as F
+
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    return odd.drop("size", "row").select("*", *(F.concat(F.lit(f"{c}:"), own).alias(c) for c in CLASHING))
+
+
+def kept_apart(rows):
+    """Whether every clashing column still has the value of its row."""
+    return all(r[c] == f"{c}:{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in CLASHING)
