@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_parts, kept_for, text_of
+from .common import frugal, frugal_group, in_parts, kept_for, text_of
 
 #: Characters of a leaf of the tree, and bytes of a run that is encoded at once.
 LEAF, RUN = 32_768, 2_048
 #: Pre-tokens remembered by a worker, and the most characters of one.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,9 +60,9 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         self.splitter = self.library.pre_tokenizer
         self.split_common = regex.compile(PATTERN).findall
-        self.plain = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.library.model)  # the same model, not another copy
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bare = Tokenizer(self.plain.model)
+        self.bare = Tokenizer(self.library.model)
         self.names = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = {t: self.library.token_to_id(t) for t in added}
@@ -230,6 +230,7 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
     )
     long = F.length("text") > leaf
 
+    @frugal
     def whole(batches):
         bpe = encoder(path, leaf)
         for b in in_parts(batches):
@@ -249,6 +250,7 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
                     pa.array(range(len(leaves)), pa.int32()),
                     pa.array([k for _, k, _ in leaves], pa.int32()), pa.array([x for *_, x in leaves])], names=names)
 
+    @frugal
     def encode_leaves(batches):
         bpe = encoder(path, leaf)
         for b in in_parts(batches, 64):
@@ -261,6 +263,7 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
             whole = [pa.array(x, pa.list_(pa.int32())) for x in (lengths, counts, ids)]
             yield pa.RecordBatch.from_arrays([*b.columns, *whole], names=[*b.schema.names, "lengths", "counts", "ids"])
 
+    @frugal_group
     def joined(table: pa.Table) -> pa.Table:
         bpe = encoder(path, leaf)
         table = table.sort_by("ord")

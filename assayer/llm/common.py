@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import zlib
 
@@ -32,6 +33,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(f):
+    """For what a worker runs on batches: as workers are used again, a task leaves no freed memory behind."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def frugal_group(f):
+    """The same for what is run on a group."""
+
+    @functools.wraps(f)
+    def run(table):
+        try:
+            return f(table)
+        finally:
+            give_back()
+
+    return run
+
+
 def in_parts(batches, rows: int = 512):
     """Arrow batches cut to at most so many rows, so that what is made of their texts at once stays small. Spark itself
     bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch), so no setting of the session is changed."""
@@ -48,6 +87,7 @@ def kept_for(key, make):
     another model, gives up what it kept before."""
     if _kept[0] != key:
         _kept[:] = None, None
+        give_back()
         _kept[:] = key, make()
     return _kept[1]
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, id_crc, id_crc_col, text_of
+from .common import BROADCAST_ROWS, checkpointed, frugal, id_crc, id_crc_col, text_of
 
 #: Folds are crc32(doc_id) mod FOLDS, of which HELD is not learnt from; the mark of a word's start.
 FOLDS, HELD, MARK = 7, 2, "▁"
@@ -251,6 +251,7 @@ def document_log10(model: Unigram, text: str) -> float:
 def count_words(docs: DataFrame) -> DataFrame:
     """word, c (in training documents), everywhere."""
 
+    @frugal
     def read(batches):
         learnt, held, size = Counter(), Counter(), 0
 
@@ -292,6 +293,7 @@ def expect(counts: DataFrame, model: Unigram, documents: int) -> Unigram:
     """One round: the pieces' expected counts over all training words, with the prior, as the new probabilities."""
     shared = counts.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches):
         solver = Solver(shared.value, True)
         for t in gathered(batches):
@@ -322,6 +324,7 @@ def solve(counts: DataFrame, model: Unigram) -> DataFrame:
     """word, c, everywhere and log10 of the marginal probability."""
     shared = counts.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches):
         for b in gathered(batches):
             logs = Solver(shared.value).words(b.column("word").to_pylist()) / LN10
@@ -357,6 +360,7 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     }
     shared = spark.sparkContext.broadcast((common, math.log10(ends + 1) - whole, model.end / LN10))
 
+    @frugal
     def read(batches):
         common, end_base, end = shared.value
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]

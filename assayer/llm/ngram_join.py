@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, checkpointed, heavy_split, text_of, unused
+from .common import SPACE, WORD, checkpointed, frugal, frugal_group, heavy_split, text_of, unused
 from .components import components
 
 #: Words of a shingle, and the similarity in percent from which two documents are linked.
@@ -38,7 +38,7 @@ WORDS, PERCENT = 5, 75
 CHUNK, CHUNK_DOCS, SLICE_BYTES, PART = 1_000_000, 32_000, 16 << 20, 256
 MANY = 65_535  # instead of a document's number: several documents of the chunk
 #: Words remembered by a worker; earlier open lists that an entry names; entries of a list that one task pairs with all others.
-REMEMBERED, EARLIER, SIDE = 200_000, 64, 4096
+REMEMBERED, EARLIER, SIDE = 100_000, 64, 4096
 
 
 class WordHashes(dict):
@@ -161,6 +161,7 @@ def slice_values(table: pa.Table):
 def first_count(keyed: DataFrame, slices: int) -> DataFrame:
     """doc_id, digest, n and `open` (it may have a partner) of every document."""
 
+    @frugal
     def read(batches):
         hashes = WordHashes()
         for chunk, rows in in_chunks(batches, ["doc_id", "digest", "text"], lambda t: shingles(t, hashes)):
@@ -180,6 +181,7 @@ def first_count(keyed: DataFrame, slices: int) -> DataFrame:
             )
             yield send(chunk, values[order][first], one, head, slices)
 
+    @frugal_group
     def count(table: pa.Table) -> pa.Table:
         chunk, values, row = slice_values(table)
         which = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table.column("which")])
@@ -195,6 +197,7 @@ def first_count(keyed: DataFrame, slices: int) -> DataFrame:
             "n": pa.array([n[a:b].tobytes() for a, b in cut], pa.binary()), "head": table.column("head").cast(pa.binary()),
         })
 
+    @frugal_group
     def finish(table: pa.Table) -> pa.Table:
         ids, digests, n, half, shared = pickle.loads(next(x.as_py() for x in table.column("head") if x.is_valid))
         shared = shared.copy()
@@ -217,12 +220,14 @@ def first_count(keyed: DataFrame, slices: int) -> DataFrame:
 def shared_lists(texts: DataFrame, slices: int) -> DataFrame:
     """node, n, shared (hashes from the shortest list to the longest) and lengths (of the lists to be merged)."""
 
+    @frugal
     def read(batches):
         hashes = WordHashes()
         for chunk, rows in in_chunks(batches, ["digest", "text"], lambda t: shingles(t, hashes)):
             values, count = np.unique(np.concatenate([h for _, h in rows]), return_counts=True)
             yield send(chunk, values, count.astype("<u4"), rows, slices)
 
+    @frugal_group
     def count(table: pa.Table) -> pa.Table:
         chunk, values, row = slice_values(table)
         n = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("which")])
@@ -240,6 +245,7 @@ def shared_lists(texts: DataFrame, slices: int) -> DataFrame:
             "n": pa.array(out, pa.binary()), "head": table.column("head").cast(pa.binary()),
         })
 
+    @frugal_group
     def finish(table: pa.Table) -> pa.Table:
         rows = pickle.loads(next(x.as_py() for x in table.column("head") if x.is_valid))
         values = np.unique(np.concatenate([h for _, h in rows]))
@@ -314,6 +320,7 @@ def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are linked."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("shared").alias(f"set_{s}"))
 
+    @frugal
     def run(batches):
         for b in batches:
             keep, last, right = [], None, None

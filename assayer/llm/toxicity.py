@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, id_crc_col, id_text, kept_for, seeded_hash, text_of
+from .common import id_crc, id_crc_col, id_text, frugal, kept_for, seeded_hash, text_of
 
 #: Labels of rows with crc32(doc_id) mod FOLDS = HELD are never read.
 FOLDS, HELD = 5, 0
@@ -40,7 +40,7 @@ GAINS, MOST = (1.5, 3, 6, 12), 16
 #: Rows of each class that a separate calibration takes.
 APART = 30
 #: Windows whose lengths a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 32
+REMEMBERED, LONGEST = 100_000, 32
 
 WINDOW = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -220,6 +220,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs, labels, sample))
 
+    @frugal
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_pylist()
@@ -238,6 +239,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_co
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs, labels, sample))
 
+    @frugal
     def run(batches):
         for b in batches:
             yield b.filter(pa.array([score(shared.value, t.as_py() or "") < 0.5 for t in b.column(text_col)], pa.bool_()))

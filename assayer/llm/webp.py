@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_parts, text_of
+from .common import frugal, in_parts, text_of
 
 #: Fixed values of the format.
 SIGNATURE = 0x2F
@@ -753,6 +753,7 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media (WebP bytes) of every row; null texts count as empty."""
 
+    @frugal
     def run(batches):
         for b in in_parts(batches):
             payloads = b.column("payload").to_pylist()
@@ -775,6 +776,7 @@ def read_media(media: DataFrame) -> DataFrame:
         except (ValueError, IndexError, KeyError) as e:
             return [(doc_id, None, None, None, None, str(e))]
 
+    @frugal
     def run(batches):
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
         for b in in_parts(batches, 64):
@@ -803,6 +805,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             len(media), hashlib.sha256(media).hexdigest(), feature(pixels),
         )
 
+    @frugal
     def run(batches):
         for b in in_parts(batches):
             rows = [row(i, p.as_py()) for i, p in zip(b.column("doc_id").to_pylist(), b.column("payload"), strict=True)]
