@@ -107,7 +107,8 @@ def crop_is_safe(left: Column, top: Column, right: Column, bottom: Column, w: Co
     return (right - left >= 32) & (bottom - top >= 32) & ((right - left) * (bottom - top) >= 0.25 * w * h)
 
 
-def keep_is_full(left: Column, top: Column, right: Column, bottom: Column, w: Column, h: Column, slack: int = 2) -> Column:
+def keep_is_full(left: Column, top: Column, right: Column, bottom: Column, w: Column, h: Column, slack: float = 2) -> Column:
+    """Within 2 pixels of the border; in shares of the sides, give 0.002."""
     return (left <= slack) & (top <= slack) & (right >= w - slack) & (bottom >= h - slack)
 
 
@@ -143,6 +144,32 @@ def clamped_box(box: Column, w: Column, h: Column, least: int = 8) -> Column:
     return F.when((xs[1] - xs[0] >= least) & (ys[1] - ys[0] >= least), made)
 
 
+def padded(box: Column, by: float, w: float, h: float) -> Column:
+    """A box with a margin, inside of w x h."""
+    return F.struct(F.greatest(F.lit(0.0), box["x0"] - by).alias("x0"), F.greatest(F.lit(0.0), box["y0"] - by).alias("y0"),
+                    F.least(F.lit(w), box["x1"] + by).alias("x1"), F.least(F.lit(h), box["y1"] + by).alias("y1"))
+
+
+def shifted(box: Column, dx, dy) -> Column:
+    return F.struct(*((box[c] + (dx if c[0] == "x" else dy)).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def scaled(box: Column, x, y) -> Column:
+    """Between pixels and shares of the sides."""
+    return F.struct(*((box[c] * (x if c[0] == "x" else y)).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def kept_clamped(box: Column, least: float = 0.08) -> Column:
+    """A kept rectangle inside of the unit square whose sides are `least` at least."""
+    x0, y0 = (F.greatest(F.lit(0.0), F.least(box[c], F.lit(1 - least))) for c in ("x0", "y0"))
+    x1, y1 = (F.least(F.lit(1.0), F.greatest(box[c], low + least)) for c, low in (("x1", x0), ("y1", y0)))
+    return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def inverted(gray: Column) -> Column:
+    return 255 - gray
+
+
 def token_count(kind: Column, t: Column, h: Column, w: Column) -> Column:
     """Tokens of a stored latent; null where a dimension isn't a positive whole number."""
     whole = lambda x: x.try_cast("int")

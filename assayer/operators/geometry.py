@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -112,21 +114,23 @@ def grouped(boxes: DataFrame, by: list[str], kernel, order: str = "ord") -> Data
 
 def reading_order(boxes: DataFrame, by: list[str]) -> DataFrame:
     """Boxes row by row: a box joins the first row whose mean centre is within max(20, 0.4 * median height) of its own."""
+    return grouped(boxes, by, in_reading_order)
 
-    def kernel(b: np.ndarray) -> list:
-        centre = (b[:, 1] + b[:, 3]) / 2
-        reach = max(20.0, 0.4 * float(np.median(b[:, 3] - b[:, 1])))
-        rows: list[list[int]] = []
-        for k in np.lexsort((b[:, 0], centre)):
-            fits = [r for r in rows if abs(centre[k] - centre[r].mean()) <= reach]
-            if fits:
-                fits[0].append(k)
-            else:
-                rows.append([k])
-        rows.sort(key=lambda r: centre[r].mean())
-        return [b[k] for r in rows for k in sorted(r, key=lambda k: b[k, 0])]
 
-    return grouped(boxes, by, kernel)
+def in_reading_order(b: np.ndarray) -> list:
+    if not len(b):
+        return []
+    centre = (b[:, 1] + b[:, 3]) / 2
+    reach = max(20.0, 0.4 * float(np.median(b[:, 3] - b[:, 1])))
+    rows: list[list[int]] = []
+    for k in np.lexsort((b[:, 0], centre)):
+        fits = [r for r in rows if abs(centre[k] - centre[r].mean()) <= reach]
+        if fits:
+            fits[0].append(k)
+        else:
+            rows.append([k])
+    rows.sort(key=lambda r: centre[r].mean())
+    return [b[k] for r in rows for k in sorted(r, key=lambda k: b[k, 0])]
 
 
 def merged_boxes(boxes: DataFrame, by: list[str], w: float, h: float, gap: float = 12, most: tuple[float, float] = (0.66, 0.07)) -> DataFrame:
@@ -134,7 +138,10 @@ def merged_boxes(boxes: DataFrame, by: list[str], w: float, h: float, gap: float
 
     The bound makes the result depend on the order, which is `ord`.
     """
+    return grouped(boxes, by, lambda b: grown_together(b, w, h, gap, most))
 
+
+def grown_together(b: np.ndarray, w: float, h: float, gap: float, most: tuple[float, float]) -> list[np.ndarray]:
     def pass_over(boxes: list[np.ndarray]) -> list[np.ndarray]:
         out, open_boxes = [], list(boxes)
         while open_boxes:
@@ -150,13 +157,10 @@ def merged_boxes(boxes: DataFrame, by: list[str], w: float, h: float, gap: float
             out.append(box)
         return out
 
-    def kernel(b: np.ndarray) -> list:
-        now = list(b)
-        while len(after := pass_over(now)) < len(now):
-            now = after
-        return now
-
-    return grouped(boxes, by, kernel)
+    now = list(b)
+    while len(after := pass_over(now)) < len(now):
+        now = after
+    return now
 
 
 def consensus(boxes: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
@@ -232,16 +236,17 @@ def cut_cells(empty: np.ndarray, axis: int, *how) -> list[tuple[int, int, int, i
     return out
 
 
-def split_sheet(gray: np.ndarray, white: float = 245, at_least: float = 0.98, least_gutter: int = 3, least: int = 48, depth: int = 0) -> list[tuple[int, int, int, int]]:
-    """Panels (x0, y0, x1, y1) of a sheet: the axis with the stronger gutters first (columns unless rows lead by 0.05), then
-    the other, then every cell in itself, at most seven levels deep."""
+def split_sheet(gray: np.ndarray, white: float = 245, at_least: float = 0.98, least_gutter: int = 3, least: int = 48, depth: int = 0, primary: int | None = None) -> list[tuple[int, int, int, int]]:
+    """Panels (x0, y0, x1, y1) of a sheet: the axis with the stronger gutters first (columns unless rows lead by 0.05), or
+    `primary` (0 rows, 1 columns) on the first level, then the other, then every cell in itself, at most seven levels deep."""
     h, w = gray.shape
     whole = [(0, 0, w, h)]
     if depth > 6 or min(h, w) < least:
         return whole
     empty = gray >= white
-    rows_first = strength(empty, 0, least_gutter, at_least) > strength(empty, 1, least_gutter, at_least) + 0.05
-    axes = (0, 1) if rows_first else (1, 0)
+    if primary is None:
+        primary = 0 if strength(empty, 0, least_gutter, at_least) > strength(empty, 1, least_gutter, at_least) + 0.05 else 1
+    axes = (primary, 1 - primary)
     cells = next((c for a in axes if len(c := cut_cells(empty, a, least_gutter, at_least, least)) > 1), [])
     out = []
     for y0, y1, x0, x1 in cells:
@@ -262,11 +267,22 @@ def split_sheets(sheets: DataFrame, **options) -> DataFrame:
     return sheets.select("sheet", "gray").mapInPandas(run, f"sheet {dict(sheets.dtypes)['sheet']}, ord long, x0 double, y0 double, x1 double, y1 double")
 
 
-def blobs(gray: np.ndarray, white: float = 245, least: int = 1) -> list[tuple[int, int, int, int]]:
-    """Boxes of 4-connected stretches of content, by union of the runs of neighbouring rows."""
-    content = gray < white
+def opened(mask: np.ndarray) -> np.ndarray:
+    """Eroded and dilated again by a cross of three; outside of the mask nothing is set."""
+
+    def cross(m: np.ndarray, join) -> np.ndarray:
+        p = np.pad(m, 1)
+        return functools.reduce(join, (p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]))
+
+    return cross(cross(mask, np.logical_and), np.logical_or)
+
+
+def blobs(gray: np.ndarray, white: float = 245, least: int = 1, area: int = 1, opening: bool = False) -> list[tuple[int, int, int, int]]:
+    """Boxes of 4-connected stretches of content of at least `area` pixels, by union of the runs of neighbouring rows."""
+    content = opened(gray < white) if opening else gray < white
     parent: list[int] = []
     box: list[list[int]] = []
+    pixels: list[int] = []
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -280,13 +296,14 @@ def blobs(gray: np.ndarray, white: float = 245, least: int = 1) -> list[tuple[in
         here = []
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             k = len(parent)
-            parent.append(k), box.append([int(a), y, int(b), y + 1])
+            parent.append(k), box.append([int(a), y, int(b), y + 1]), pixels.append(int(b - a))
             for c, d, other in above:
                 if c < b and a < d:
                     r, s = sorted((root(k), root(other)))
                     if r != s:
                         parent[s] = r
+                        pixels[r] += pixels[s]
                         box[r] = [min(box[r][0], box[s][0]), min(box[r][1], box[s][1]), max(box[r][2], box[s][2]), max(box[r][3], box[s][3])]
             here.append((int(a), int(b), k))
         above = here
-    return [tuple(box[k]) for k in range(len(parent)) if root(k) == k and min(box[k][2] - box[k][0], box[k][3] - box[k][1]) >= least]
+    return [tuple(box[k]) for k in range(len(parent)) if root(k) == k and min(box[k][2] - box[k][0], box[k][3] - box[k][1]) >= least and pixels[k] >= area]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import thresholds as T
@@ -47,11 +47,45 @@ def laplacian(px: Column, width: int, height: int) -> Column:
 
 
 def histogram(pixels: DataFrame, by: list[str], px: str = "px", bins: int = 16, top: float = 256.0) -> DataFrame:
-    """(by, bin, n, share): counts of equal bins, by exploding and a partial count."""
+    """(by, bin, n): counts of equal bins, by exploding and a partial count."""
     each = pixels.select(*by, F.explode(px).alias("x")).withColumn("bin", F.floor(F.col("x") * bins / top).cast("long"))
     return each.groupBy(*by, "bin").agg(F.count("*").alias("n"))
 
 
+def hues(pixels: DataFrame, by: list[str]) -> DataFrame:
+    """(by, hue, n, share): of the 180 hues of pixels (r, g, b), by partial counts; grey has hue 0."""
+    r, g, b = (F.col(c).cast("double") for c in "rgb")
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = F.nullif(top - low, F.lit(0.0))
+    turn = F.when(top == r, 60 * (g - b) / span).when(top == g, 120 + 60 * (b - r) / span).otherwise(240 + 60 * (r - g) / span)
+    hue = F.pmod(F.bround(F.pmod(F.coalesce(turn, F.lit(0.0)), F.lit(360.0)) / 2, 0).cast("long"), F.lit(180))
+    counted = pixels.groupBy(*by, hue.alias("hue")).agg(F.count("*").alias("n"))
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+
+
+def spread(px: Column) -> Column:
+    """max, median and p90 (interpolated between neighbours) and standard deviation of an array."""
+    ordered = F.array_sort(px)
+
+    def quantile(q: float) -> Column:
+        place = (F.size(px) - 1) * F.lit(q)
+        low = F.floor(place).cast("int")
+        at = lambda k: F.element_at(ordered, F.least(k, F.size(px) - 1) + 1)
+        return at(low) + (place - low) * (at(low + 1) - at(low))
+
+    return F.struct(F.array_max(px).alias("top"), quantile(0.5).alias("median"), quantile(0.9).alias("p90"), F.sqrt(variance(px)).alias("deviation"))
+
+
+def region_boxes(pixels: DataFrame, by: list[str]) -> DataFrame:
+    """(by, x0, y0, x1, y1), ends excluded, of the pixels (x, y) of each region."""
+    return pixels.groupBy(*by).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+
+
+def combined(a: Column, b: Column, both: bool) -> Column:
+    """Masks as arrays of booleans, joined by and, or by or."""
+    return F.zip_with(a, b, lambda x, y: x & y if both else x | y)
+
+
 def measured(patches: DataFrame, px: str = "px", width: int = 8, height: int = 8) -> DataFrame:
     """Adds mean, clipped, split and the Laplacian's variance."""
     p = F.col(px)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
 from ..functions import thresholds as T
 
 
@@ -54,6 +55,12 @@ def tally(plan: DataFrame, domain: tuple[str, ...] = T.ACTIONS, column: str = "a
     return sums.select(each).select("x.*")
 
 
+def outcomes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of a run over cards (error or null, restored): all, failed, and restored without an error."""
+    bad = F.col("error").isNotNull()
+    return rows.groupBy(*by).agg(F.count("*").alias("cards"), F.count_if(bad).alias("failed"), F.count_if(~bad & F.coalesce("restored", F.lit(False))).alias("restored"))
+
+
 def upload_state(mods: DataFrame, uploads: DataFrame, key: str = "id") -> DataFrame:
     """none, uploaded, or stale where size or time differ; a file that is gone stays uploaded."""
     known = uploads.select(key, F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_up"))
@@ -75,6 +82,50 @@ def backup_choice(cards: DataFrame, copies: DataFrame, key: str = "key") -> Data
     return joined.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def remote_copy(cards: DataFrame, files: DataFrame, key: str = "key") -> DataFrame:
+    """Adds `copy`: of the paths that exist (files: path, name, id) the last output, else the destination, else the only file of
+    that name, whatever its case."""
+    there = files.select("path").distinct()
+    for column in ("last", "dest"):
+        cards = cards.join(there.withColumnRenamed("path", f"_{column}"), F.col(column) == F.col(f"_{column}"), "left")
+    lone = files.groupBy(F.lower("name").alias("_key")).agg(F.min("path").alias("_lone"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    return cards.join(lone, F.lower("name") == F.col("_key"), "left").withColumn("copy", F.coalesce("_last", "_dest", "_lone")).drop("_last", "_dest", "_lone", "_key")
+
+
+def upload_source(wanted: DataFrame, library: DataFrame, studio: DataFrame, key: str = "id") -> DataFrame:
+    """Adds `source`: the library's file (id, path), else the studio's remote copy, else its local one (id, remote, local)."""
+    own = library.select(key, F.col("path").alias("_p"))
+    other = studio.select(key, F.coalesce("remote", "local").alias("_s"))
+    return wanted.join(own, key, "left").join(other, key, "left").withColumn("source", F.coalesce("_p", "_s")).drop("_p", "_s")
+
+
+def install_plan(wanted: DataFrame, local: DataFrame, there: DataFrame, key: str = "key") -> DataFrame:
+    """key and action of installing local copies: copy, replace where that is asked for, refuse where a copy is there, missing
+    without a local one."""
+    here = local.select(key).distinct().withColumn("_h", F.lit(True))
+    known = there.select(key).distinct().withColumn("_t", F.lit(True))
+    action = F.when(F.col("_h").isNull(), "missing").when(F.col("_t").isNull(), "copy").when(F.coalesce("replace", F.lit(False)), "replace").otherwise("refuse")
+    return wanted.join(here, key, "left").join(known, key, "left").select(key, action.alias("action"))
+
+
+def renamed(folders: DataFrame, old: str, new: str, folder: str = "folder") -> DataFrame:
+    """Folders with `old` and all below it moved to `new`; an error if that is in itself, not there, or taken."""
+    if not old or not new or new.startswith(old + "/"):
+        raise ValueError("a folder can't be moved there")
+    facts = folders.agg(F.bool_or(F.col(folder) == old).alias("_old"), F.bool_or(F.col(folder) == new).alias("_new"))
+    wrong = F.when(~F.coalesce("_old", F.lit(False)), F.raise_error(F.lit(f"no folder {old}")).cast("boolean")).when(
+        F.col("_new") & F.lit(old != new), F.raise_error(F.lit(f"{new} exists")).cast("boolean")).otherwise(True)
+    checked = folders.join(F.broadcast(facts.select(wrong.alias("_ok"))), F.col("_ok"))  # one row
+    return checked.drop("_ok").withColumn(folder, X.moved(F.col(folder), old, new))
+
+
+def removable(folders: DataFrame, occupied: DataFrame) -> DataFrame:
+    """(folder, action): folders asked to go are removed unless an artefact is in them or below; the root is kept."""
+    held = ancestors(occupied, "folder").select("folder").withColumn("_held", F.lit(True))
+    action = F.when(F.coalesce("folder", F.lit("")) == "", "root").when(F.col("_held"), "occupied").otherwise("remove")
+    return folders.join(held, "folder", "left").select("folder", action.alias("action"))
+
+
 def ancestors(folders: DataFrame, path: str = "path") -> DataFrame:
     """Every folder and all folders above it, once, with the depth."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")

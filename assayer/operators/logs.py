@@ -45,17 +45,22 @@ def progress(lines: DataFrame, totals: DataFrame, job: str = "job", order: str =
 
     Each figure is the last one that any line gives: a maximum by line number, which Spark folds before it shuffles.
     """
+    found = folded(lines, job, order)
+    out = totals.join(found, job, "left").na.fill({"stage": "starting", "encoded": 0, "kind": "image", "current": "", "step": 0, "steps": 0})
+    done = percent(F.col("stage"), F.col("encoded"), F.col("total"), F.col("step"), F.col("steps"))
+    return out.withColumn("percent", done).withColumn("total", F.greatest("total", "encoded"))
+
+
+def folded(lines: DataFrame, job: str = "job", order: str = "line_no") -> DataFrame:
+    """What the lines of every job say, without its total; of a stream as well as of a table."""
     line = F.col("line")
     said = lines.withColumn("_s", stage(line))
     last = lambda value, when: F.max_by(F.when(when, value), F.when(when, F.col(order)))
     media, step = F.col("_s") == "encoding", F.col("_s") == "refining"
-    found = said.groupBy(job).agg(
+    return said.groupBy(job).agg(
         F.coalesce(last(F.col("_s"), F.col("_s").isNotNull()), F.lit("starting")).alias("stage"),
         F.count_if(F.coalesce(media, F.lit(False))).alias("encoded"),
         F.coalesce(last(F.regexp_extract(line, MEDIA, 1), media), F.lit("image")).alias("kind"),
         F.coalesce(last(F.element_at(F.split(F.trim(F.regexp_extract(line, MEDIA, 2)), "/"), -1), media), F.lit("")).alias("current"),
         F.coalesce(last(F.regexp_extract(line, IDENTITY, 1).try_cast("long"), step), F.lit(0)).alias("step"),
         F.coalesce(last(F.regexp_extract(line, IDENTITY, 2).try_cast("long"), step), F.lit(0)).alias("steps"))
-    out = totals.join(found, job, "left").na.fill({"stage": "starting", "encoded": 0, "kind": "image", "current": "", "step": 0, "steps": 0})
-    done = percent(F.col("stage"), F.col("encoded"), F.col("total"), F.col("step"), F.col("steps"))
-    return out.withColumn("percent", done).withColumn("total", F.greatest("total", "encoded"))

@@ -11,10 +11,10 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
 from ..functions import thresholds as T
-from .geometry import BOX
+from .geometry import BOX, grown_together
 
 #: Shares of the sides, pixel levels and kernel sizes on which results depend.
-LEAST_SIDE, MOST_SIDE, STRIP_SHARE = 32, 1920, 0.07
+LEAST_SIDE, MOST_SIDE, STRIP_SHARE, ALONG, GAP = 32, 1920, 0.07, 0.22, 14
 PLATE = {"band": 0.085, "rare": 0.025, "saturation": 90, "value": (45, 250), "close": (7, 5), "area": 50, "grow": (4, 3)}
 BAR = {"band": 0.085, "dark": 42, "close": (17, 5), "grow": (2, 2), "roi_dark": (55, 0.30), "roi_bright": (140, 0.015), "spread": 16}
 LETTER = {"strip": 0.036, "hat": (9, 3), "least": 16, "percentile": 90, "close": (7, 3), "grow": (6, 4), "area": 10}
@@ -188,7 +188,8 @@ def captions(p: Picture) -> list[Rect]:
 def mark_mask(p: Picture) -> np.ndarray:
     band, stands = p.band(MASK["band"]), hats(p.gray, MASK["hat"])
     _, sat, val = p.hsv
-    strokes = stands >= max(MASK["least"], int(np.percentile(stands[band], MASK["percentile"])))
+    level = int(np.percentile(stands[band], MASK["percentile"])) if band.any() else 0
+    strokes = stands >= max(MASK["least"], level)
     return (strokes | ((sat > MASK["saturation"]) & (val > MASK["value"])) | (p.gray < MASK["dark"])) & band
 
 
@@ -205,6 +206,20 @@ def nearest_edge(box: Rect, w: int, h: int) -> str:
     return min(((x0, 0, "left"), (w - x1, 1, "right"), (y0, 2, "top"), (h - y1, 3, "bottom")))[2]
 
 
+def spread_along(p: Picture, mask: np.ndarray, box: Rect, edge: str) -> Rect:
+    """A mark widened along its edge to what the mask holds beside it, and carried to the edge, with a few pixels around."""
+    pad = max(3, int(0.003 * max(p.w, p.h)))
+    upright = edge in ("left", "right")
+    m, length, (a, b), (near, far), side = (
+        (mask, p.h, (box[1], box[3]), (box[0], box[2]), p.w) if upright else (mask.T, p.w, (box[0], box[2]), (box[1], box[3]), p.h))
+    low, high = max(0, int(a - ALONG * length)), min(length, int(b + ALONG * length))
+    held = np.flatnonzero(m[low:high, near:far].any(axis=1))
+    if len(held):
+        a, b = low + int(held[0]) - pad, low + int(held[-1]) + pad + 1
+    near, far = (0, far + pad) if edge in ("top", "left") else (near - pad, side)
+    return p.clip(near, a, far, b) if upright else p.clip(a, near, b, far)
+
+
 def strip_of(p: Picture, box: Rect, edge: str) -> Rect:
     """The band along an edge that covers a mark with a little slack, no deeper than the bound."""
     pad = max(3, int(0.003 * max(p.w, p.h)))
@@ -212,30 +227,11 @@ def strip_of(p: Picture, box: Rect, edge: str) -> Rect:
     side = p.w if upright else p.h
     bound = max(16, int(STRIP_SHARE * side))
     near, far = (box[0], box[2]) if upright else (box[1], box[3])
-    depth = min(bound, side, (far if edge in ("top", "left") else side - near) + 2 * pad)
+    depth = min(bound, side, (far if edge in ("top", "left") else side - near) + pad)
     a, b = (0, depth) if edge in ("top", "left") else (side - depth, side)
     return (a, 0, b, p.h) if upright else (0, a, p.w, b)
 
 
-def joined(boxes: list[Rect], p: Picture, gap: int = 14) -> list[Rect]:
-    """Neighbouring boxes become one while it stays small."""
-    todo = list(boxes)
-    while True:
-        out: list[Rect] = []
-        for b in todo:
-            for k, a in enumerate(out):
-                both = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-                close = a[0] - gap <= b[2] and b[0] - gap <= a[2] and a[1] - gap <= b[3] and b[1] - gap <= a[3]
-                if close and both[3] - both[1] <= p.h * 0.07 and both[2] - both[0] <= p.w * 0.66:
-                    out[k] = both
-                    break
-            else:
-                out.append(b)
-        if len(out) == len(todo):
-            return out
-        todo = out
-
-
 def shrunk(rgb: np.ndarray, most: int = MOST_SIDE) -> tuple[np.ndarray, float]:
     """The picture with its long side at most `most`, by means of areas, and the scale."""
     h, w = rgb.shape[:2]
@@ -254,13 +250,16 @@ def edge_marks(rgb: np.ndarray) -> list[tuple[str, Rect]]:
         return []
     small, scale = shrunk(rgb)
     work, page = Picture(small), Picture(rgb)
-    seeds = [b for b in joined(plates(work) + bars(work) + captions(work), work) if work.plausible(b)]
+    raw = np.array(plates(work) + bars(work) + captions(work), float).reshape(-1, 4)
+    merged = [tuple(int(v) for v in b) for b in grown_together(raw, work.w, work.h, GAP, (0.66, STRIP_SHARE))]
+    seeds = [b for b in merged if work.plausible(b)]
+    mask = mark_mask(page) if seeds else None
     strips: dict[str, Rect] = {}
     for box in (page.clip(*(v / scale for v in b)) for b in seeds):
         edge = nearest_edge(box, page.w, page.h)
         depth = {"top": box[3], "bottom": page.h - box[1], "left": box[2], "right": page.w - box[0]}[edge]
         if depth <= max(16, int(STRIP_SHARE * max(page.w, page.h))) and page.overlaid(box):
-            s, t = strip_of(page, box, edge), strips.get(edge)
+            s, t = strip_of(page, spread_along(page, mask, box, edge), edge), strips.get(edge)
             strips[edge] = s if t is None else (min(s[0], t[0]), min(s[1], t[1]), max(s[2], t[2]), max(s[3], t[3]))
     return [(e, strips[e]) for e in T.EDGES if e in strips]
 

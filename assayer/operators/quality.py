@@ -15,8 +15,13 @@ MEASURES = ("variance", "eyes", "box_side", "image_side", "mean", "clipped", "sp
 
 
 def scored(features: DataFrame) -> DataFrame:
-    """Adds the terms, score (rounded to one place), reason, scale, pose_bin and band to rows with MEASURES."""
+    """Adds the terms, score (rounded to one place), reason, scale, pose_bin and band to rows with MEASURES.
+
+    Where `eye_variance` is measured too, eyes that are far softer than the face lower the variance.
+    """
     c = {m: F.col(m) for m in MEASURES}
+    if "eye_variance" in features.columns:
+        c["variance"] = X.softened(c["variance"], F.col("eye_variance"))
     out = features.withColumns({
         "s_sharp": X.sharpness(c["variance"]), "s_face": X.face_size(c["eyes"], c["box_side"], c["image_side"]),
         "s_light": X.light(c["mean"], c["clipped"], c["split"]), "s_pose": X.pose_score(c["yaw"], c["pitch"]),
@@ -33,6 +38,24 @@ def ranked(rows: DataFrame, by: list[str], name: str = "name") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
+#: What a score's details are unless they were measured.
+DEBUG = {"s_sharp": 0.0, "s_face": 0.0, "s_light": 0.0, "s_pose": 0.0, "mean": 0.0, "clipped": 0.0, "split": 0.0, "yaw": 0.0, "pitch": 0.0, "scale": "", "pose_bin": "unknown"}
+
+
+def with_debug(rows: DataFrame) -> DataFrame:
+    """Adds `debug`, a struct of the score's details with a default for each that is missing or null; a null score becomes 0."""
+    detail = [(F.coalesce(F.col(c), F.lit(d)) if c in rows.columns else F.lit(d)).alias(c) for c, d in DEBUG.items()]
+    return rows.withColumn("debug", F.struct(*detail)).withColumn("score", F.bround(F.coalesce("score", F.lit(0.0)), 1))
+
+
+def scan_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows by band, flagged ones, and those that are cleaned or have an original, in one pass."""
+    band = X.band(F.col("score"))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("total"), *(F.count_if(band == b).alias(b) for b in ("hi", "mid", "lo")), F.count_if(F.col("reason") != "ok").alias("flagged"),
+        F.count_if(F.coalesce(F.col("clean") == "cleaned", F.lit(False)) | F.coalesce("has_original", F.lit(False))).alias("cleaned"))
+
+
 def crowding(rows: DataFrame, by: list[str]) -> DataFrame:
     """Bins (scale, pose_bin) that hold too much of a group's usable rows."""
     bins = rows.where("score > 0").groupBy(*by, F.coalesce("scale", F.lit("closeup")).alias("scale"), F.coalesce("pose_bin", F.lit("unknown")).alias("pose_bin")).agg(F.count("*").alias("n"))

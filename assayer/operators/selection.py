@@ -32,6 +32,11 @@ def recommended(items: DataFrame, picks: DataFrame, keys: list[str]) -> DataFram
     return marked.withColumn("picked", picked).withColumn("enabled", F.when(F.col("kind") == "video", F.col("enabled")).otherwise(F.col("picked"))).drop("_p")
 
 
+def wanted(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is among the chosen ones."""
+    return rows.join(chosen.select(*keys).distinct(), keys, "left_semi")
+
+
 def all_selected(rows: DataFrame, by: list[str], selected: str = "selected") -> DataFrame:
     return rows.groupBy(*by).agg(F.bool_and(F.coalesce(selected, F.lit(False))).alias("all_selected"))
 
@@ -55,6 +60,18 @@ def redacted(config: Column, secrets: tuple[str, ...]) -> Column:
     return F.transform_values(config, lambda k, v: F.when(k.isin(*secrets), F.when(F.coalesce(v, F.lit("")) != "", "set").otherwise("unset")).otherwise(v))
 
 
+def hub_settings(config: Column, environment: Column, names: tuple[str, ...] = ("HUB_TOKEN",), kinds: tuple[str, ...] = ("dataset", "model")) -> Column:
+    """token (the setting's, else the first of the environment's), repo, repo_type, private, and what is missing to be ready."""
+    text = lambda m, k: F.nullif(F.trim(F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))), F.lit(""))
+    token = F.coalesce(text(config, "token"), *(text(environment, n) for n in names))
+    repo, private = text(config, "repo"), F.lower(F.coalesce(text(config, "private"), F.lit("true")))
+    wanted = [F.when(v.isNull(), F.lit(k)) for k, v in (("token", token), ("repo", repo))]
+    return F.struct(
+        F.coalesce(token, F.lit("")).alias("token"), F.coalesce(repo, F.lit("")).alias("repo"),
+        F.when(text(config, "repo_type").isin(*kinds), text(config, "repo_type")).otherwise(kinds[0]).alias("repo_type"),
+        private.isin("1", "true", "yes", "on").alias("private"), F.array_compact(F.array(*wanted)).alias("missing"))
+
+
 def missing(config: Column, needed: tuple[str, ...]) -> Column:
     """The names of needed settings that are empty, in order; an empty array means ready."""
     return F.array_compact(F.array(*[F.when(F.coalesce(F.try_element_at(config, F.lit(k)), F.lit("")) == "", F.lit(k)) for k in needed]))

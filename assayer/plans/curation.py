@@ -158,7 +158,22 @@ def advise(spark, sf_dir):
     return quality.advise(customers(spark, sf_dir), ["nation"])
 
 
-@query("pick_diverse")
+@query("pick_diverse", f"""WITH RECURSIVE {CUSTOMERS_SQL},
+pool AS (SELECT nation, name, score, coalesce(yaw, 0) AS yaw, coalesce(pitch, 0) AS pitch, coalesce(scale, '') AS scale, pose_bin, row_number() OVER (PARTITION BY nation ORDER BY score DESC, lower(name), name) AS k, count(*) OVER (PARTITION BY nation) AS n FROM b WHERE score > 0),
+slots AS (SELECT row_number() OVER (ORDER BY part, o, i) AS t, * FROM (
+  SELECT 1 AS part, o, 1 AS i, pose, NULL AS scale FROM (VALUES (1, 'front'), (2, 'three-quarter-left'), (3, 'three-quarter-right'), (4, 'profile-left'), (5, 'profile-right')) v(o, pose)
+  UNION ALL SELECT 2, o, i, NULL, s FROM (VALUES (1, 'closeup', 7), (2, 'medium', 2), (3, 'full', 1)) v(o, s, quota), range(1, 8) r(i) WHERE i <= quota
+  UNION ALL SELECT 3, 1, i, NULL, NULL FROM range(1, 11) r(i))),
+state AS (SELECT 0::BIGINT AS t, nation, name, score, yaw, pitch, scale, pose_bin, k, NULL::DOUBLE AS near, 0::BIGINT AS alike, NULL::BIGINT AS place, 0::BIGINT AS done, 0::BIGINT AS boots FROM pool WHERE n > 10
+  UNION ALL
+  SELECT t, nation, name, score, yaw, pitch, scale, pose_bin, k, CASE WHEN taken THEN least(coalesce(near, 1e300), sqrt((yaw - y) ** 2 + (0.6 * (pitch - p)) ** 2)) ELSE near END,
+    alike + CASE WHEN taken AND scale = sc THEN 1 ELSE 0 END, CASE WHEN pick THEN done + 1 ELSE place END, done + CASE WHEN taken THEN 1 ELSE 0 END, CASE WHEN t <= 5 THEN done + CASE WHEN taken THEN 1 ELSE 0 END ELSE boots END
+  FROM (SELECT *, max(CASE WHEN pick THEN 1 ELSE 0 END) OVER g = 1 AS taken, max(CASE WHEN pick THEN yaw END) OVER g AS y, max(CASE WHEN pick THEN pitch END) OVER g AS p, max(CASE WHEN pick THEN scale END) OVER g AS sc
+    FROM (SELECT *, ok AND row_number() OVER (PARTITION BY nation ORDER BY ok DESC, CASE WHEN t <= 5 THEN 0 ELSE gain END DESC, k) = 1 AS pick
+      FROM (SELECT s.t + 1 AS t, nation, name, score, yaw, pitch, s.scale, pose_bin, k, near, alike, place, done, boots, score + CASE WHEN done > 0 THEN 10 * least(near / 30, 2.5) - 3 * alike ELSE 0 END AS gain,
+          place IS NULL AND done < 10 AND CASE q.part WHEN 1 THEN s.scale = 'closeup' AND pose_bin = q.pose WHEN 2 THEN s.scale = q.scale AND (q.scale <> 'closeup' OR q.i > boots) ELSE true END AS ok
+        FROM state s JOIN slots q ON q.t = s.t + 1)) WINDOW g AS (PARTITION BY nation)))
+SELECT nation, name, place FROM state WHERE t = 25 AND place IS NOT NULL UNION ALL SELECT nation, name, k FROM pool WHERE n <= 10""")
 def pick_diverse(spark, sf_dir):
     return quality.pick_diverse(customers(spark, sf_dir), ["nation"])
 
@@ -357,35 +372,12 @@ def sync_tally(spark, sf_dir):
     return library.tally(library.sync_plan(sync_cards(spark, sf_dir)))
 
 
-@query("upload_state", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'none' WHEN o_orderkey % 5 = 0 THEN 'stale' ELSE 'uploaded' END AS upload_state FROM orders")
-def upload_state(spark, sf_dir):
-    key = F.col("o_orderkey")
-    mods = table(spark, sf_dir, "orders").select(key.alias("id"), F.col("o_totalprice").alias("bytes"), F.when(key % 7 != 0, F.col("o_custkey")).alias("mtime"))
-    uploads = table(spark, sf_dir, "orders").where(key % 3 != 0).select(key.alias("id"), (F.col("o_totalprice") + F.when(key % 5 == 0, 1).otherwise(0)).alias("size"), F.col("o_custkey").alias("mtime"))
-    return library.upload_state(mods, uploads).select("id", "upload_state")
-
-
 @query("unique_name_match", "WITH u AS (SELECT lower(p_name) AS k, min(p_partkey) AS match FROM part GROUP BY 1 HAVING count(*) = 1) SELECT p_partkey, match FROM part LEFT JOIN u ON upper(lower(p_name)) = upper(k)")
 def unique_name_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return library.unique_match(part.select("p_partkey", F.upper("p_name").alias("name")), part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).select("p_partkey", "match")
 
 
-@query("prune_dirs", rf"""WITH {PATH_SQL}, s AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
-a AS (SELECT DISTINCT page_id, array_to_string(parts[1:k], '/') AS folder FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM s))
-SELECT DISTINCT folder, len(string_split(folder, '/'))::BIGINT AS depth FROM a WHERE folder NOT IN (SELECT array_to_string(parts, '/') FROM s WHERE page_id % 2 = 0) AND folder NOT IN (SELECT folder FROM a WHERE page_id % 3 = 0)""")
-def prune_dirs(spark, sf_dir):
-    p = paths(spark, sf_dir)
-    clean = F.array_join(F.filter(F.split("path", "/"), lambda x: x != ""), "/").alias("folder")
-    return library.prunable(library.ancestors(p).select("folder"), p.where("page_id % 2 = 0").select(clean), p.where("page_id % 3 = 0").select(clean))
-
-
-@query("folder_groups", "SELECT source AS folder, count(*) FILTER (doc_id % 50 = 0) AS n FROM documents GROUP BY 1")
-def folder_groups(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), "doc_id")
-    return library.grouped_with_empty(docs.where("doc_id % 50 = 0"), docs)
-
-
 # Geometry: hourly buckets of events as a line of pixels, line items as boxes.
 
 MASK_SQL = """t AS (SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS hour, 20 * count(*) FILTER (value > 40) >= 7 * count(*) AS mask FROM events GROUP BY 1, 2),
@@ -496,23 +488,49 @@ def default_method(spark, sf_dir):
     return selection.default_method(found, ["sheet"])
 
 
-@query("recommended", f"WITH {ITEMS_SQL} SELECT slug, file, pos % 3 = 0 AS picked, CASE WHEN kind = 'video' THEN enabled ELSE pos % 3 = 0 END AS enabled FROM i")
-def recommended(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    return selection.recommended(rows, rows.where("pos % 3 = 0"), ["slug", "file"]).select("slug", "file", "picked", "enabled")
-
-
-@query("reading_order")
+@query("reading_order", f"""WITH RECURSIVE {PIXEL_SQL},
+c AS (SELECT page, x0, y0, x1, y1, (y0 + y1) / 2 AS cy, greatest(20, 0.4 * median(y1 - y0) OVER (PARTITION BY page)) AS reach, row_number() OVER (PARTITION BY page ORDER BY (y0 + y1) / 2, x0, id) AS k FROM i),
+f AS (SELECT page, 0::BIGINT AS k, []::DOUBLE[] AS sums, []::DOUBLE[] AS counts, 0::BIGINT AS at FROM (SELECT DISTINCT page FROM c)
+  UNION ALL
+  SELECT page, k, CASE WHEN fit = 0 THEN list_append(sums, cy) ELSE list_transform(range(1, len(sums) + 1), lambda j: sums[j] + CASE WHEN j = fit THEN cy ELSE 0 END) END,
+    CASE WHEN fit = 0 THEN list_append(counts, 1.0) ELSE list_transform(range(1, len(counts) + 1), lambda j: counts[j] + CASE WHEN j = fit THEN 1 ELSE 0 END) END, CASE WHEN fit = 0 THEN len(sums) + 1 ELSE fit END
+  FROM (SELECT f.page, c.k, c.cy, f.sums, f.counts, coalesce(list_position(list_transform(range(1, len(f.sums) + 1), lambda j: abs(c.cy - f.sums[j] / f.counts[j]) <= c.reach), true), 0) AS fit FROM f JOIN c ON c.page = f.page AND c.k = f.k + 1)),
+last AS (SELECT page, arg_max(sums, k) AS sums, arg_max(counts, k) AS counts FROM f GROUP BY page)
+SELECT f.page, row_number() OVER (PARTITION BY f.page ORDER BY l.sums[f.at] / l.counts[f.at], f.at, c.x0, c.k) AS ord, c.x0::DOUBLE AS x0, c.y0::DOUBLE AS y0, c.x1::DOUBLE AS x1, c.y1::DOUBLE AS y1
+FROM f JOIN last l USING (page) JOIN c ON c.page = f.page AND c.k = f.k WHERE f.k > 0""")
 def reading_order(spark, sf_dir):
     return geometry.reading_order(pixel_boxes(spark, sf_dir).withColumn("ord", F.col("id")), ["page"])
 
 
-@query("box_merge")
+@query("box_merge", f"""WITH RECURSIVE {PIXEL_SQL}, l AS (SELECT page, list([x0, y0, x1, y1] ORDER BY id) AS boxes FROM i GROUP BY page),
+m AS (SELECT page, boxes[1] AS cur, boxes[2:] AS rest, []::BIGINT[][] AS later, []::BIGINT[][] AS done, false AS grew, false AS ended FROM l
+  UNION ALL
+  SELECT page, CASE WHEN step = 'compare' AND joins THEN u WHEN step = 'next' THEN later[1] WHEN step = 'again' THEN list_append(done, cur)[1] ELSE cur END,
+    CASE step WHEN 'compare' THEN rest[2:] WHEN 'next' THEN later[2:] WHEN 'again' THEN list_append(done, cur)[2:] ELSE rest END,
+    CASE WHEN step = 'compare' AND NOT joins THEN list_append(later, rest[1]) WHEN step = 'compare' THEN later ELSE [] END,
+    CASE step WHEN 'compare' THEN done WHEN 'again' THEN [] ELSE list_append(done, cur) END, CASE step WHEN 'compare' THEN grew OR joins WHEN 'again' THEN false ELSE grew END, step = 'end'
+  FROM (SELECT *, CASE WHEN len(rest) > 0 THEN 'compare' WHEN len(later) > 0 THEN 'next' WHEN grew THEN 'again' ELSE 'end' END AS step,
+      cur[1] - 12 <= rest[1][3] AND rest[1][1] - 12 <= cur[3] AND cur[2] - 12 <= rest[1][4] AND rest[1][2] - 12 <= cur[4] AND u[3] - u[1] <= 792 AND u[4] - u[2] <= 480 AS joins
+    FROM (SELECT *, [least(cur[1], rest[1][1]), least(cur[2], rest[1][2]), greatest(cur[3], rest[1][3]), greatest(cur[4], rest[1][4])] AS u FROM m WHERE NOT ended)))
+SELECT page, k AS ord, done[k][1]::DOUBLE AS x0, done[k][2]::DOUBLE AS y0, done[k][3]::DOUBLE AS x1, done[k][4]::DOUBLE AS y1 FROM (SELECT page, done, unnest(range(1, len(done) + 1)) AS k FROM m WHERE ended)""")
 def box_merge(spark, sf_dir):
     return geometry.merged_boxes(pixel_boxes(spark, sf_dir).withColumn("ord", F.col("id")), ["page"], 1200, 1200, most=(0.66, 0.4))
 
 
-@query("consensus")
+@query("consensus", f"""WITH RECURSIVE {BOX_SQL},
+x AS (SELECT page % 100 AS dataset, (page % 1000)::VARCHAR AS file, id, x0, y0, x1, y1, row_number() OVER (PARTITION BY page % 100 ORDER BY (page % 1000)::VARCHAR, id, x0, y0, x1, y1) AS k FROM b),
+f AS (SELECT dataset, 0::BIGINT AS k, []::STRUCT(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE)[] AS firsts, 0::BIGINT AS grp FROM (SELECT DISTINCT dataset FROM x)
+  UNION ALL
+  SELECT dataset, k, CASE WHEN fit = 0 THEN list_append(firsts, struct_pack(a := x0, b := y0, c := x1, d := y1)) ELSE firsts END, CASE WHEN fit = 0 THEN len(firsts) + 1 ELSE fit END
+  FROM (SELECT f.dataset, x.k, x0, y0, x1, y1, firsts, coalesce(list_position(list_transform(firsts, lambda o: greatest(0, least(x1, o.c) - greatest(x0, o.a)) * greatest(0, least(y1, o.d) - greatest(y0, o.b))
+      / (greatest(1e-9, (x1 - x0) * (y1 - y0)) + greatest(1e-9, (o.c - o.a) * (o.d - o.b)) - greatest(0, least(x1, o.c) - greatest(x0, o.a)) * greatest(0, least(y1, o.d) - greatest(y0, o.b))) >= 0.35), true), 0) AS fit
+    FROM f JOIN x ON x.dataset = f.dataset AND x.k = f.k + 1)),
+g AS (SELECT x.*, f.grp FROM x JOIN f ON f.dataset = x.dataset AND f.k = x.k),
+files AS (SELECT DISTINCT dataset, file FROM x), size AS (SELECT dataset, count(*) AS n FROM files GROUP BY 1),
+big AS (SELECT g.dataset, g.grp, count(*) AS count, arg_min(x0, k) AS x0, arg_min(y0, k) AS y0, arg_min(x1, k) AS x1, arg_min(y1, k) AS y1, any_value(n) AS n FROM g JOIN size USING (dataset) GROUP BY 1, 2 HAVING count(*) >= greatest(2, floor(0.35 * any_value(n))) AND any_value(n) > 1),
+has AS (SELECT big.dataset, big.grp, g.file FROM big JOIN g ON g.dataset = big.dataset WHERE g.grp = big.grp OR greatest(0, least(g.x1, big.x1) - greatest(g.x0, big.x0)) * greatest(0, least(g.y1, big.y1) - greatest(g.y0, big.y0))
+  / (greatest(1e-9, (g.x1 - g.x0) * (g.y1 - g.y0)) + greatest(1e-9, (big.x1 - big.x0) * (big.y1 - big.y0)) - greatest(0, least(g.x1, big.x1) - greatest(g.x0, big.x0)) * greatest(0, least(g.y1, big.y1) - greatest(g.y0, big.y0))) >= 0.35)
+SELECT big.dataset, files.file, x0, y0, x1, y1, count FROM big JOIN files USING (dataset) WHERE (big.dataset, grp, files.file) NOT IN (SELECT dataset, grp, file FROM has)""")
 def consensus(spark, sf_dir):
     lines = boxes(spark, sf_dir).withColumns({"dataset": F.col("page") % 100, "file": (F.col("page") % 1000).cast("string"), "ord": F.col("id")})
     return geometry.consensus(lines, lines.select("dataset", "file"), ["dataset"])
@@ -579,7 +597,8 @@ def log_progress(spark, sf_dir):
     return logs.progress(said, said.select("job").distinct().withColumn("total", F.lit(3).cast("long")))
 
 
-@query("stream_progress")
+@query("stream_progress", f"""WITH {LINES_SQL}, s AS (SELECT *, CASE WHEN line LIKE '%error]%' THEN 'error' WHEN line LIKE '%loading VAE%' THEN 'loading' WHEN line LIKE '[extract]%' THEN 'encoding' WHEN line LIKE '%identity%' THEN 'refining' WHEN line LIKE '%token cap%' THEN 'fitting' WHEN line LIKE 'saved%' THEN 'saved' END AS st FROM g)
+SELECT job, coalesce(arg_max(st, line_no) FILTER (st IS NOT NULL), 'starting') AS stage, count(*) FILTER (st = 'encoding') AS encoded, coalesce(arg_max(line_no % 9, line_no) FILTER (st = 'refining'), 0) AS step, count(*) AS lines FROM s GROUP BY job""")
 def stream_progress(spark, sf_dir):
     """The same fold as a streaming aggregation, here over the table as it is; tests run it as a stream."""
     return streaming.progress_stream(lines(spark, sf_dir))

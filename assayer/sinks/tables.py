@@ -70,6 +70,38 @@ def next_free_version(wanted: DataFrame, taken: DataFrame, key: str = "stem") ->
     return wanted.join(run, key, "left").withColumn("version", F.coalesce(F.col("_top") + 1, F.lit(1))).drop("_top")
 
 
+def report_line() -> Column:
+    """Score, reason and file, as a command line shows them."""
+    return F.format_string("%6.1f  %-14s %s", F.coalesce("score", F.lit(0.0)), "reason", "name")
+
+
 def report(rows: DataFrame, path: str) -> None:
-    """Lines of score, reason and file, as a command line shows them."""
-    rows.select(F.format_string("%6.1f  %-14s %s", F.coalesce("score", F.lit(0.0)), "reason", "name").alias("value")).write.mode("overwrite").text(path)
+    rows.select(report_line().alias("value")).write.mode("overwrite").text(path)
+
+
+def filled_in(lite: DataFrame, full: DataFrame, keys: list[str]) -> DataFrame:
+    """A quick listing with the details of the rows whose full read has come; null for the others."""
+    return lite.join(full, keys, "left")
+
+
+def save_manifests(manifests: DataFrame, path: str) -> DataFrame:
+    """Writes normalised manifests to a folder of their own and gives them as they are read back."""
+    write_manifests(manifests, path)
+    return manifests.sparkSession.read.schema(manifests.schema).json(path)
+
+
+def recorded(datasets: DataFrame, results: DataFrame) -> DataFrame:
+    """Datasets with the result (output, at) and the content hash of an extraction that has just ended."""
+    new = results.select("slug", *(F.col(c).alias(f"_{c}") for c in ("output", "at", "hash")))
+    joined = datasets.join(new, "slug", "left")
+    last = F.when(F.col("_output").isNotNull(), F.struct(F.col("_output").alias("output"), F.col("_at").alias("at"), F.col("_hash").alias("content_hash")))
+    return joined.select(*(c for c in datasets.columns if c != "last_extract"), F.coalesce(last, "last_extract").alias("last_extract"))
+
+
+def undone(items: DataFrame, originals: DataFrame, keys: list[str]) -> DataFrame:
+    """Cleaned items that have an original get its pixels back and are flagged again; the others stay."""
+    kept = originals.select(*keys, F.col("gray").alias("_gray"))
+    back = F.col("_gray").isNotNull() & (F.col("clean") == "cleaned")
+    joined = items.join(kept, keys, "left")
+    return joined.select(*(F.when(back, "flagged").otherwise(F.col("clean")).alias("clean") if c == "clean" else
+                           F.when(back, F.col("_gray")).otherwise(F.col("gray")).alias("gray") if c == "gray" else F.col(c) for c in items.columns), back.alias("restored"))

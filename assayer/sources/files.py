@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..functions import paths as P
 from ..functions import thresholds as T
+from ..operators import listing
 
 MANIFEST = (
     "name string, display_name string, concept_type string, description string, mod_name string, subfolder string, cover string, "
@@ -21,11 +24,12 @@ HEAD, LONGEST = 8, 100 << 20
 
 
 def media_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """path, folder, file, suffix, kind, size and time of images and videos; contents are not read."""
+    """path, folder, file, suffix, kind, size, time and place (by lower-cased name, in the folder) of images and videos; contents
+    are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select(
         "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     named = files.withColumns({"file": F.element_at(F.split("path", "/"), -1), "folder": F.regexp_replace("path", "/[^/]*$", "")})
-    return named.withColumns({"suffix": X.suffix(F.col("file")), "kind": X.media_kind(F.col("file"))}).where(F.col("suffix").isin(*T.IMAGES, *T.VIDEOS))
+    return listing.media(named.withColumn("suffix", X.suffix(F.col("file"))), ["folder"])
 
 
 def manifests(spark: SparkSession, paths: str) -> DataFrame:
@@ -43,8 +47,12 @@ def captions(spark: SparkSession, paths: str) -> DataFrame:
 
 def links(spark: SparkSession, path: str) -> DataFrame:
     """slug and folder of a JSON map; empty names and folders are dropped."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("slug", "folder"))
-    return raw.where("trim(slug) <> '' AND trim(folder) <> ''")
+    return link_rows(spark.read.text(path, wholetext=True))
+
+
+def link_rows(raw: DataFrame) -> DataFrame:
+    rows = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("slug", "folder"))
+    return rows.where("trim(slug) <> '' AND trim(folder) <> ''")
 
 
 def datasets(children: DataFrame, linked: DataFrame) -> DataFrame:
@@ -55,29 +63,64 @@ def datasets(children: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def artefacts(spark: SparkSession, folder: str) -> DataFrame:
-    """id, bytes, likely_empty, metadata (map) and error of artefact files; only their headers are parsed."""
+    """path, below (the path below the folder), bytes, likely_empty, metadata (map) and error of artefact files.
+
+    Of a file only its header is read, where the task runs; `walked` says which files count.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.safetensors").load(folder)
-    kept = files.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*PRUNED)))
+    kept = walked(files.select("path", F.col("length").alias("bytes")), folder)
+
+    def head(path: str) -> tuple[dict[str, str], str | None]:
+        from pyarrow import fs
 
-    def head(content: bytes) -> tuple[dict[str, str], str | None]:
         try:
-            size = int.from_bytes(content[:HEAD], "little")
-            if size > min(LONGEST, len(content) - HEAD):
-                return {}, "header too long"
-            meta = json.loads(content[HEAD : HEAD + size]).get("__metadata__") or {}
+            system, inner = fs.FileSystem.from_uri(path)
+            with system.open_input_file(inner) as f:
+                size = int.from_bytes(f.read(HEAD), "little")
+                if size > min(LONGEST, f.size() - HEAD):
+                    return {}, "header too long"
+                meta = json.loads(f.read(size)).get("__metadata__") or {}
             return {str(k): v if isinstance(v, str) else json.dumps(v) for k, v in meta.items()}, None
-        except (ValueError, AttributeError) as e:
+        except (OSError, ValueError, AttributeError) as e:
             return {}, str(e)
 
     def run(batches):
         for pdf in batches:
-            found = [head(bytes(c)) for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "bytes": pdf["length"], "metadata": [m for m, _ in found], "error": [e for _, e in found]})
+            found = [head(p) for p in pdf["path"]]
+            yield pdf.assign(metadata=[m for m, _ in found], error=[e for _, e in found])
 
-    rows = kept.select("path", "length", "content").mapInPandas(run, "path string, bytes long, metadata map<string,string>, error string")
+    rows = kept.mapInPandas(run, "path string, bytes long, below string, metadata map<string,string>, error string")
     return rows.withColumns({"name": F.element_at(F.split("path", "/"), -1), "likely_empty": F.col("bytes") < T.LIKELY_EMPTY_BYTES})
 
 
+def walked(files: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """Adds `below`, the path below the root, and keeps files that no pruned or hidden folder holds."""
+    bare = F.regexp_replace(path, "^[a-z0-9]+:/*(?=/)", "")
+    start = len(re.sub("^[a-z0-9]+:/*(?=/)", "", root.rstrip("/"))) + 2
+    rows = files.withColumn("below", F.substr(bare, F.lit(start)))
+    folders = F.slice(F.split("below", "/"), 1, F.size(F.split("below", "/")) - 1)
+    return rows.where(~F.exists(folders, lambda p: F.lower(p).isin(*PRUNED) | p.startswith(".")))
+
+
+def registry(raw: DataFrame, text: str = "text") -> DataFrame:
+    """id, repo_id, path_in_repo, uploaded_at, size and mtime of uploads, from a JSON object {"uploads": {id: {...}}}; none of
+    anything else."""
+    one = "struct<repo_id:string,path_in_repo:string,uploaded_at:string,size:bigint,mtime:bigint>"
+    read = raw.select(F.explode(F.from_json(text, f"uploads map<string,{one}>")["uploads"]).alias("id", "u"))
+    return read.select("id", "u.*")
+
+
+def prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Sample prompts as a table (ord, group, title, tests, text) from a JSON-lines file; their texts are data, not code."""
+    return spark.read.schema("ord long, group string, title string, tests string, text string").json(path)
+
+
+def uploads(spark: SparkSession, files: list[tuple[str, bytes]]) -> DataFrame:
+    """Uploaded files as rows (ord, file, content); names lose their folders, and other than media goes."""
+    rows = spark.createDataFrame([(k, n, bytearray(b)) for k, (n, b) in enumerate(files)], "ord long, file string, content binary")
+    return rows.withColumn("file", P.file_name(F.col("file"))).where(P.media_name(F.col("file")))
+
+
 def sections(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """(doc, section, key, value) of indented `key: value` settings, in rows (doc, line_no, line).
 
