@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import zlib
 from dataclasses import dataclass
 
@@ -61,8 +60,17 @@ class Bits:
         return value
 
 
+@functools.cache
+def reversed_bits(width: int) -> np.ndarray:
+    """For every number of `width` bits the one with its bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(width):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
 class Code:
-    """A canonical prefix code from the lengths of its symbols."""
+    """A canonical prefix code from the lengths of its symbols; an entry of the table is 16 * symbol + length."""
 
     def __init__(self, lengths):
         lengths = np.asarray(lengths)
@@ -70,26 +78,22 @@ class Code:
         if len(self.used) <= 1:
             self.used = self.used if len(self.used) else np.zeros(1, int)
             self.width, self.even = 0, 0
-            self.table = [(0, int(self.used[0]))]
+            self.table = [int(self.used[0]) << 4]
             return
-        kinds = set(lengths[self.used].tolist())
-        self.even = kinds.pop() if len(kinds) == 1 else None
-        self.width = int(lengths.max())
-        if (1 << self.width) != sum(1 << (self.width - int(n)) for n in lengths[self.used]):
+        own = lengths[self.used]
+        self.width = int(own.max())
+        self.even = self.width if (own == self.width).all() else None
+        share = 1 << (self.width - own)
+        if share.sum() != 1 << self.width:
             raise ValueError("a prefix code isn't complete")
-        self.table = [(0, 0)] * (1 << self.width)
-        code, last = 0, 0
-        for n, symbol in sorted((int(lengths[s]), int(s)) for s in self.used):
-            code <<= n - last
-            last = n
-            start = int(f"{code:0{n}b}"[::-1], 2)
-            self.table[start :: 1 << n] = [(n, symbol)] * (1 << (self.width - n))
-            code += 1
+        order = np.argsort(own, kind="stable")
+        in_order = np.repeat((self.used << 4 | own)[order], share[order])
+        self.table = in_order[reversed_bits(self.width)].tolist()
 
     def read(self, bits: Bits) -> int:
-        n, symbol = self.table[bits.peek() & ((1 << self.width) - 1)]
-        bits.at += n
-        return symbol
+        entry = self.table[bits.peek() & ((1 << self.width) - 1)]
+        bits.at += entry & 15
+        return entry >> 4
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
@@ -105,29 +109,43 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         of_lengths[LENGTH_ORDER[k]] = bits.take(3)
     code = Code(of_lengths)
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
+    table, mask, data, place, start, words = code.table, (1 << code.width) - 1, bits.data, bits.at, 0, []
     at, before = 0, 8
     while at < alphabet and left:
         left -= 1
-        symbol = code.read(bits)
+        k = (place >> 3) - start
+        if k >= len(words):
+            start, words, k = place >> 3, words_from(data, place >> 3, 256), 0
+        ahead = words[k] >> (place & 7)
+        entry = table[ahead & mask]
+        n, symbol = entry & 15, entry >> 4
+        place += n
         if symbol < 16:
-            lengths[at] = symbol
-            before = symbol or before
+            if symbol:
+                lengths[at] = before = symbol
             at += 1
             continue
-        value, n = {16: (before, 2), 17: (0, 3), 18: (0, 7)}[symbol]
-        count = (11 if symbol == 18 else 3) + bits.take(n)
+        value, more = ((before, 2), (0, 3), (0, 7))[symbol - 16]
+        count = (11 if symbol == 18 else 3) + (ahead >> n & ((1 << more) - 1))
+        place += more
         if at + count > alphabet:
             raise ValueError("code lengths run over")
-        lengths[at : at + count] = [value] * count
+        if value:
+            lengths[at : at + count] = [value] * count
         at += count
+    bits.at = place
+    if place > 8 * len(data):
+        raise ValueError("the stream ends early")
     return Code(lengths)
 
 
+#: For every prefix code of a length or a distance its smallest value and the number of further bits.
+AMOUNTS = [(k + 1, 0) if k < 4 else (((2 + (k & 1)) << ((k - 2) >> 1)) + 1, (k - 2) >> 1) for k in range(DISTANCES)]
+
+
 def read_amount(bits: Bits, prefix: int) -> int:
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.take(extra) + 1
+    least, more = AMOUNTS[prefix]
+    return least + bits.take(more)
 
 
 def read_even(bits: Bits, codes: list[Code], count: int) -> np.ndarray:
@@ -155,9 +173,9 @@ def read_even(bits: Bits, codes: list[Code], count: int) -> np.ndarray:
     return out
 
 
-def words_from(data: bytes, at: int) -> list[int]:
+def words_from(data: bytes, at: int, most: int = 1 << 16) -> list[int]:
     """The 8 bytes from each of the next places on, as numbers."""
-    count = min(len(data) - 7 - at, 1 << 16)
+    count = min(len(data) - 7 - at, most)
     if count <= 0:
         raise ValueError("the stream ends early")
     return np.ndarray((count,), "<u8", data, at, (1,)).tolist()
@@ -184,39 +202,92 @@ def read_image(bits: Bits, width: int, height: int, main: bool, arrays: bool = T
     one = codes[0]
     if arrays and groups == 1 and not cache_bits and all(c.even is not None and c.even <= 8 for c in one[:4]) and one[0].used[-1] < LITERALS:
         return read_even(bits, one, count).reshape(height, width, 4)
+    pixels = read_grouped(bits, width, count, codes, which, side, cache_bits) if which is not None else read_single(bits, width, count, one, cache_bits)
+    flat = np.array(pixels, np.uint32)
+    out = np.stack([flat >> 16, flat >> 8, flat, flat >> 24], axis=1).astype(np.uint8)
+    return out.reshape(height, width, 4)
+
+
+def seen_again(pixels: list[int], back: int, length: int) -> list[int]:
+    """What a reference copies from the end of the pixels; it may run into its own copy."""
+    part = pixels[-back:] if back <= length else pixels[-back : length - back]
+    return part if len(part) == length else (part * (length // back + 1))[:length]
+
+
+def read_single(bits: Bits, width: int, count: int, codes: list[Code], cache_bits: int) -> list[int]:
+    """Pixels of an image with one group of codes, symbol by symbol. A symbol with all that belongs to it is cut from 57 bits that
+    are looked at together; only a copy with a long length code looks again."""
+    (of_green, m_green), (of_red, m_red), (of_blue, m_blue), (of_alpha, m_alpha), (of_far, m_far) = ((c.table, (1 << c.width) - 1) for c in codes)
     pixels: list[int] = []
-    cache = [0] * cache_size
-    cached = 0
-    green, red, blue, alpha, distance = one
-    (of_green, m_green), (of_red, m_red), (of_blue, m_blue), (of_alpha, m_alpha) = ((c.table, (1 << c.width) - 1) for c in one[:4])
-    data = bits.data
-    start, words, append = 0, [], pixels.append
-    while len(pixels) < count:
-        at = len(pixels)
-        if which is None and not m_alpha:  # literals in a row
-            place, opaque = bits.at, of_alpha[0][1] << 24
-            while at < count:
+    cache, cached, cache_at = [0] * (1 << cache_bits), 0, LITERALS + LENGTHS
+    data, place, start, words, limit, append = bits.data, bits.at, 0, [], 0, pixels.append
+    steps = {k: max(1, dx + dy * width) for k, (dx, dy) in enumerate(near(), 1)}
+    opaque, literals = of_alpha[0] >> 4 << 24, LITERALS << 4
+    at = 0
+    while at < count:
+        k = (place >> 3) - start
+        if k >= limit:
+            start, words, k = place >> 3, words_from(data, place >> 3), 0
+            limit = len(words)
+        ahead = words[k] >> (place & 7)
+        entry = of_green[ahead & m_green]
+        n = entry & 15
+        ahead >>= n
+        if entry < literals:
+            red = of_red[ahead & m_red]
+            ahead >>= red & 15
+            blue = of_blue[ahead & m_blue]
+            place += n + (red & 15) + (blue & 15)
+            if m_alpha:
+                bits.at = place
+                opaque = codes[3].read(bits) << 24
+                place = bits.at
+            append(opaque | red >> 4 << 16 | entry >> 4 << 8 | blue >> 4)
+            at += 1
+            continue
+        symbol = entry >> 4
+        if symbol < cache_at:
+            least, more = AMOUNTS[symbol - LITERALS]
+            length = least + (ahead & ((1 << more) - 1))
+            ahead >>= more
+            n += more
+            if n > 24:
+                place, n = place + n, 0
                 k = (place >> 3) - start
-                if k >= len(words):
+                if k >= limit:
                     start, words, k = place >> 3, words_from(data, place >> 3), 0
-                ahead = words[k] >> (place & 7)  # 57 bits: green, red and blue take 45 at most
-                n, g = of_green[ahead & m_green]
-                if g >= LITERALS:
-                    break
-                ahead >>= n
-                n_red, r = of_red[ahead & m_red]
-                n_blue, b = of_blue[ahead >> n_red & m_blue]
-                place += n + n_red + n_blue
-                append(opaque | r << 16 | g << 8 | b)
-                at += 1
-            bits.at = place
-            if bits.at > 8 * len(data):
-                raise ValueError("the stream ends early")
-            if at == count:
-                break
-        if which is not None:
-            y, x = divmod(at, width)
-            green, red, blue, alpha, distance = codes[which[y >> side, x >> side]]
+                    limit = len(words)
+                ahead = words[k] >> (place & 7)
+            far = of_far[ahead & m_far]
+            least, more = AMOUNTS[far >> 4]
+            back = least + (ahead >> (far & 15) & ((1 << more) - 1))
+            place += n + (far & 15) + more
+            back = back - 120 if back > 120 else steps[back]
+            if back > at or at + length > count:
+                raise ValueError("a reference leaves the image")
+            pixels += seen_again(pixels, back, length)
+            at += length
+        else:
+            place += n
+            for p in pixels[cached:]:
+                cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
+            cached = at
+            append(cache[symbol - cache_at])
+            at += 1
+    if place > 8 * len(data):  # eight bytes more than there are: words_from() refuses what is beyond them
+        raise ValueError("the stream ends early")
+    bits.at = place
+    return pixels
+
+
+def read_grouped(bits: Bits, width: int, count: int, codes: list[list[Code]], which: np.ndarray, side: int, cache_bits: int) -> list[int]:
+    """Pixels of an image whose squares have groups of codes of their own."""
+    pixels: list[int] = []
+    cache, cached = [0] * (1 << cache_bits), 0
+    while len(pixels) < count:
+        at = len(pixels)
+        y, x = divmod(at, width)
+        green, red, blue, alpha, distance = codes[which[y >> side, x >> side]]
         symbol = green.read(bits)
         if symbol < LITERALS:
             r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
@@ -231,8 +302,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool, arrays: bool = T
                 back = max(1, dx + dy * width)
             if back > at or at + length > count:
                 raise ValueError("a reference leaves the image")
-            for k in range(at - back, at - back + length):
-                pixels.append(pixels[k])
+            pixels += seen_again(pixels, back, length)
         else:
             for p in pixels[cached:]:
                 cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
@@ -240,9 +310,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool, arrays: bool = T
             pixels.append(cache[symbol - LITERALS - LENGTHS])
         if bits.at > 8 * len(bits.data):
             raise ValueError("the stream ends early")
-    flat = np.array(pixels, np.uint32)
-    out = np.stack([flat >> 16, flat >> 8, flat, flat >> 24], axis=1).astype(np.uint8)
-    return out.reshape(height, width, 4)
+    return pixels
 
 
 # Inverse transforms; samples are (height, width, 4) in the order red, green, blue, alpha.
@@ -420,14 +488,32 @@ def decode(file: bytes, arrays: bool = True) -> list[np.ndarray]:
 
 
 class Writer:
+    """Numbers with their numbers of bits, lowest bits first; they become bytes all at once."""
+
     def __init__(self):
-        self.bits: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.few: list[tuple[int, int]] = []
 
     def put(self, value: int, n: int) -> None:
-        self.bits.append(np.array([value >> k & 1 for k in range(n)], np.uint8))
+        self.few.append((value, n))
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Write each value with its own number of bits."""
+        if self.few:
+            few = np.array(self.few, np.int64)
+            self.values.append(few[:, 0]), self.sizes.append(few[:, 1])
+            self.few = []
+        self.values.append(values), self.sizes.append(sizes)
+
+    def put_bits(self, bits: np.ndarray) -> None:
+        self.put_all(bits.astype(np.int64), np.ones(len(bits), np.int64))
 
     def bytes(self) -> bytes:
-        return np.packbits(np.concatenate(self.bits), bitorder="little").tobytes()
+        self.put_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.packbits((np.repeat(values, sizes) >> place & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def put_even_code(w: Writer, used: np.ndarray, alphabet: int) -> tuple[np.ndarray, int]:
@@ -447,7 +533,7 @@ def put_even_code(w: Writer, used: np.ndarray, alphabet: int) -> tuple[np.ndarra
         w.put(lengths.get(k, 0), 3)
     w.put(0, 1)
     if len(lengths) == 2:
-        w.bits.append(np.concatenate([have.astype(np.uint8), np.zeros(alphabet - 256, np.uint8)]))
+        w.put_bits(np.concatenate([have.astype(np.uint8), np.zeros(alphabet - 256, np.uint8)]))
     return (np.cumsum(have) - 1).astype(np.uint8), n
 
 
@@ -466,7 +552,7 @@ def encode_stream(image: np.ndarray) -> bytes:
     put_even_code(w, np.array([255]), LITERALS)
     put_even_code(w, np.array([0]), DISTANCES)
     if fields:
-        w.bits.append(np.concatenate(fields, axis=1).ravel())
+        w.put_bits(np.concatenate(fields, axis=1).ravel())
     return w.bytes()
 
 
@@ -474,50 +560,51 @@ def encode_stream(image: np.ndarray) -> bytes:
 
 
 def huffman(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """Lengths of at most `most` bits of a complete code; a symbol alone has 1."""
+    """Lengths of at most `most` bits of a complete code; a symbol alone has 1. Leaves and inner nodes are two queues, each in
+    order, so the two smallest nodes are at their fronts."""
     counts = counts.astype(np.int64)
-    used = np.flatnonzero(counts).tolist()
+    used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.int64)
-    if len(used) < 2:
+    n = len(used)
+    if n < 2:
         lengths[used] = 1
         return lengths
     while True:
-        heap = [(int(counts[x]), k) for k, x in enumerate(used)]
-        heapq.heapify(heap)
-        parent, new = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a, x = heapq.heappop(heap)
-            b, y = heap[0]
-            parent[x] = parent[y] = new
-            heapq.heapreplace(heap, (a + b, new))
-            new += 1
-        depth = [0] * new
-        for k in range(new - 2, -1, -1):
+        order = used[np.argsort(counts[used], kind="stable")]
+        weight, parent = [*counts[order].tolist(), *[0] * (n - 1)], [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                    k, leaf = leaf, leaf + 1
+                else:
+                    k, inner = inner, inner + 1
+                parent[k] = new
+                total += weight[k]
+            weight[new] = total
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
-        if max(depth[: len(used)]) <= most:
-            lengths[used] = depth[: len(used)]
+        if max(depth[:n]) <= most:
+            lengths[order] = depth[:n]
             return lengths
         counts = np.where(counts > 0, (counts >> 1) + 1, 0)
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The code of each symbol as a number whose lowest bit is written first."""
-    out, code, last = np.zeros(len(lengths), np.int64), 0, 0
+    out = np.zeros(len(lengths), np.int64)
     used = np.flatnonzero(lengths)
-    for s in used[np.argsort(lengths[used], kind="stable")].tolist():
-        n = int(lengths[s])
-        code <<= n - last
-        out[s], last, code = int(f"{code:0{n}b}"[::-1], 2), n, code + 1
+    if len(used):
+        order = used[np.argsort(lengths[used], kind="stable")]
+        own = lengths[order]
+        width = int(own.max())
+        share = 1 << (width - own)
+        out[order] = reversed_bits(width)[np.cumsum(share) - share]  # the highest bits come first, and the rest are zeros
     return out
 
 
-def put_all(w: Writer, values: np.ndarray, sizes: np.ndarray) -> None:
-    """Write each value with its own number of bits."""
-    ends = np.cumsum(sizes)
-    place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-    w.bits.append((np.repeat(values, sizes) >> place & 1).astype(np.uint8))
-
-
 def put_huffman(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write the code for symbols that come so often; gives the code and the number of bits of each symbol."""
     used = np.flatnonzero(counts)
@@ -545,24 +632,26 @@ def put_huffman(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w.put(0, 1)
     alone = np.count_nonzero(of_lengths) == 1
     first = canonical(of_lengths)[symbols], (0 if alone else 1) * of_lengths[symbols]
-    put_all(w, np.stack([first[0], values], 1).ravel(), np.stack([first[1], sizes], 1).ravel())
+    w.put_all(np.stack([first[0], values], 1).ravel(), np.stack([first[1], sizes], 1).ravel())
     return canonical(lengths), lengths
 
 
-def amount(value: int) -> tuple[int, int, int]:
-    """Prefix code, further bits and their number of a length or distance."""
-    if value <= 4:
-        return value - 1, 0, 0
-    n = (value - 1).bit_length() - 1
-    half = (value - 1) >> (n - 1) & 1
-    return 2 * n + half, value - 1 - ((2 + half) << (n - 1)), n - 1
+def amounts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix codes, further bits and their numbers of lengths or distances."""
+    v = values - 1
+    n = np.frexp(np.maximum(v, 1).astype(float))[1].astype(np.int64) - 1  # floor of the logarithm
+    more = np.maximum(n - 1, 0)
+    half = v >> more & 1
+    large = v >= 4
+    return np.where(large, 2 * n + half, v), np.where(large, v - ((2 + half) << more), 0), np.where(large, more, 0)
 
 
 @functools.cache
-def short_distances(width: int) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for k, (dx, dy) in enumerate(near()):
-        out.setdefault(max(1, dx + dy * width), k + 1)
+def short_distances(width: int) -> np.ndarray:
+    """For every distance that a short code names that code, else 0."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for k, (dx, dy) in list(enumerate(near(), 1))[::-1]:
+        out[max(1, dx + dy * width)] = k
     return out
 
 
@@ -575,31 +664,45 @@ def earlier(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def references(flat: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of copies of 3 pixels or more, from left to right, each from the last equal triple."""
+def references(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of copies of 3 pixels or more, from left to right, each from the last equal triple. A copy
+    goes on as long as the next triples are equal at the same distance."""
+    none = np.zeros(0, np.int64)
     if len(flat) < 4:
-        return []
+        return none, none, none
     x = flat.astype(np.uint64)
     key = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)
-    before = earlier(key)
-    places = np.flatnonzero(before >= 0)
-    out, k = [], 0
-    while k < len(places):
-        at = int(places[k])
-        back = at - int(before[at])
-        end = min(len(flat), at + MOST_LENGTH)
-        differ = np.flatnonzero(flat[at:end] != flat[at - back : end - back])
-        n = int(differ[0]) if len(differ) else end - at
-        if n >= 3:
-            out.append((at, n, back))
-        k = int(np.searchsorted(places, at + max(n, 1)))
-    return out
-
-
-def entropy(counts: np.ndarray) -> float:
-    """Bits of all symbols together."""
-    c = counts[counts > 0]
-    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) if len(c) else 0.0
+    key ^= key >> np.uint64(29)
+    # Few keys of 16 bits sort fastest, but in a long image they would hide equal triples behind others.
+    short = (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.uint16) if len(key) < 1 << 14 else key
+    before = earlier(short)
+    at = np.arange(len(key))
+    met = (before >= 0) & (flat[before] == flat[:-2]) & (flat[before + 1] == flat[1:-1]) & (flat[before + 2] == flat[2:])
+    back = np.where(met, at - before, 0)
+    ends = np.append(np.flatnonzero(back[1:] != back[:-1]), len(back) - 1)
+    length = np.minimum(ends[np.searchsorted(ends, at)] - at + 3, MOST_LENGTH).tolist()
+    nexts = np.full(len(key) + 1, len(key))
+    nexts[:-1][met] = at[met]
+    nexts = np.minimum.accumulate(nexts[::-1])[::-1].tolist()
+    places, k, n = [], nexts[0], len(key)
+    while k < n:
+        places.append(k)
+        k = nexts[min(n, k + length[k])]
+    places = np.array(places, np.int64)
+    return places, np.array(length, np.int64)[places], back[places]
+
+
+def entropies(counts: np.ndarray) -> np.ndarray:
+    """Bits of all symbols together, by rows of counts."""
+    c = counts.astype(float)
+    total = c.sum(1)
+    return total * np.log2(np.maximum(total, 1)) - (c * np.log2(np.maximum(c, 1))).sum(1)
+
+
+def channel_counts(channels: list[np.ndarray]) -> np.ndarray:
+    """How often each value from 0 to 255 is in each of the channels, which are equally long."""
+    values = np.stack(channels).astype(np.int64) + (np.arange(len(channels)) << 8)[:, None]
+    return np.bincount(values.ravel(), minlength=len(channels) << 8).reshape(len(channels), 256)
 
 
 def put_pixels(w: Writer, image: np.ndarray, main: bool) -> None:
@@ -607,22 +710,23 @@ def put_pixels(w: Writer, image: np.ndarray, main: bool) -> None:
     height, width, _ = image.shape
     red, green, blue, alpha = image.reshape(-1, 4).astype(np.int64).T
     flat = alpha << 24 | red << 16 | green << 8 | blue
-    copies = references(flat)
-    single = np.ones(len(flat), bool)
-    for at, n, _ in copies:
-        single[at : at + n] = False
+    starts, lengths, back = references(flat)
+    edges = np.zeros(len(flat) + 1, np.int64)
+    edges[starts] += 1
+    edges[starts + lengths] -= 1
+    single = np.cumsum(edges[:-1]) == 0
 
     def tokens(bits: int):
-        """Green symbols (-1 in copies), which pixels are literals, and the bits of both by entropy."""
+        """The bits of all symbols by entropy, those of the cache, green symbols (-1 in copies), and which pixels are literals."""
         symbols, literal = np.where(single, green, -1), single
         if bits:
             key = (CACHE_FACTOR * flat & 0xFFFFFFFF) >> (32 - bits)
-            before = earlier(key)
+            before = earlier(key.astype(np.uint16))
             hit = single & (before >= 0) & (flat[before] == flat)
             symbols, literal = np.where(hit, LITERALS + LENGTHS + key, symbols), single & ~hit
-        kinds = np.bincount(symbols[single])
-        cost = entropy(kinds) + 5 * np.count_nonzero(kinds) + sum(entropy(np.bincount(c[literal])) for c in (red, blue, alpha))
-        return cost, bits, symbols, literal
+        kinds = np.bincount(symbols[single], minlength=1)
+        others = entropies(channel_counts([red[literal], blue[literal], alpha[literal]])).sum() if literal.any() else 0.0
+        return entropies(kinds[None])[0] + 5 * np.count_nonzero(kinds) + others, bits, symbols, literal
 
     _, bits, symbols, literal = min((tokens(b) for b in CACHES), key=lambda x: x[:2])
     w.put(1 if bits else 0, 1)
@@ -631,12 +735,14 @@ def put_pixels(w: Writer, image: np.ndarray, main: bool) -> None:
     if main:
         w.put(0, 1)
     values, sizes = np.zeros((len(flat), 4), np.int64), np.zeros((len(flat), 4), np.int64)
-    starts, far = np.array([c[0] for c in copies], int), np.zeros(len(copies), int)
-    near_by = short_distances(width)
-    for k, (at, n, back) in enumerate(copies):
-        code, values[at, 1], sizes[at, 1] = amount(n)
-        symbols[at] = LITERALS + code
-        far[k], values[at, 3], sizes[at, 3] = amount(near_by.get(back, back + 120))
+    if len(starts):
+        code, values[starts, 1], sizes[starts, 1] = amounts(lengths)
+        symbols[starts] = LITERALS + code
+        short = short_distances(width)
+        named = short[np.minimum(back, len(short) - 1)] * (back < len(short))
+        far, values[starts, 3], sizes[starts, 3] = amounts(np.where(named > 0, named, back + 120))
+    else:
+        far = starts
     kept = np.flatnonzero(symbols >= 0)
     code, n = put_huffman(w, np.bincount(symbols[kept], minlength=LITERALS + LENGTHS + (1 << bits if bits else 0)))
     values[kept, 0], sizes[kept, 0] = code[symbols[kept]], n[symbols[kept]]
@@ -645,7 +751,7 @@ def put_pixels(w: Writer, image: np.ndarray, main: bool) -> None:
         values[literal, k], sizes[literal, k] = code[channel[literal]], n[channel[literal]]
     code, n = put_huffman(w, np.bincount(far, minlength=DISTANCES))
     values[starts, 2], sizes[starts, 2] = code[far], n[far]
-    put_all(w, values[kept].ravel(), sizes[kept].ravel())
+    w.put_all(values[kept].ravel(), sizes[kept].ravel())
 
 
 def transformed(w: Writer, image: np.ndarray) -> np.ndarray:
@@ -669,7 +775,8 @@ def transformed(w: Writer, image: np.ndarray) -> np.ndarray:
     without[:, :, 0] -= image[:, :, 1]
     without[:, :, 2] -= image[:, :, 1]
     choices = {None: image, SUBTRACT_GREEN: without, **{(PREDICTOR, m): predicted_by(image, m) for m in (1, 2)}}
-    bits = {k: sum(entropy(np.bincount(x[:, :, c].ravel())) for c in range(3)) for k, x in choices.items()}
+    channels = [x[:, :, c].ravel() for x in choices.values() for c in range(3)]
+    bits = dict(zip(choices, entropies(channel_counts(channels)).reshape(-1, 3).sum(1).tolist(), strict=True))
     best = min(choices, key=lambda k: bits[k] + (0 if k is None else 64))
     if best == SUBTRACT_GREEN:
         w.put(1, 1), w.put(SUBTRACT_GREEN, 2)
