@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +32,20 @@ def scored(features: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, by: list[str], name: str = "name") -> DataFrame:
-    """Rank within groups: score descending, null last, then lower-cased name."""
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("score"), F.lower(name), name)
-    return rows.withColumn("rank", F.row_number().over(w).cast("long"))
+    """Rank within groups: score descending, null last, then lower-cased name.
+
+    Rows are numbered within their score only (it has one place after the point), and the rows above a score come from a
+    small table of counts, so a group of any size is dealt to as many tasks as it has scores.
+    """
+    level = F.coalesce("score", F.lit(-1.0))
+    levels = rows.groupBy(*by, level.alias("_level")).agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.desc("_level"))) - F.col("_n")
+    levels = levels.withColumn("_above", above).drop("_n")
+    w = Window.partitionBy(*by, "_level").orderBy(F.lower(name), name)
+    leveled = rows.withColumn("_level", level)
+    same = [leveled[c].eqNullSafe(levels[c]) for c in [*by, "_level"]]
+    joined = leveled.join(levels, same).select(*(leveled[c] for c in [*rows.columns, "_level"]), "_above")
+    return joined.withColumn("rank", (F.col("_above") + F.row_number().over(w)).cast("long")).drop("_level", "_above")
 
 
 #: What a score's details are unless they were measured.
@@ -121,45 +131,65 @@ def advise(rows: DataFrame, by: list[str]) -> DataFrame:
     return every.unionByName(fine).withColumn("place", place).where("place <= 10").drop("ord")
 
 
+#: Most that diversity can add to a score and take from it, for a pick of n: the distance's cap, and n - 1 rows of one scale.
+FARTHEST, ALIKE = 25, 3
+
+
 def greedy(pool: pd.DataFrame, n: int, quotas: dict[str, int]) -> list[int]:
     """Places of the pick in a pool that is sorted by rank: one close-up a pose, the quotas, then the rest, each time the
     row with the most of score, distance of its pose to those picked, and novelty of its scale."""
     if len(pool) <= n:
         return list(range(len(pool)))
     score, yaw, pitch = (pool[c].fillna(0).to_numpy(float) for c in ("score", "yaw", "pitch"))
-    scale, pose = pool["scale"].fillna("").to_numpy(), pool["pose_bin"].fillna("").to_numpy()
+    scale, pose = (pool[c].fillna("").to_numpy(object) for c in ("scale", "pose_bin"))
     out: list[int] = []
-    near = [math.inf] * len(pool)
+    near, alike, free = np.full(len(pool), np.inf), np.zeros(len(pool)), np.ones(len(pool), bool)
 
     def take(k: int) -> None:
         out.append(k)
-        for j in range(len(pool)):
-            near[j] = min(near[j], math.hypot(yaw[j] - yaw[k], 0.6 * (pitch[j] - pitch[k])))
-
-    def gain(k: int) -> float:
-        return score[k] + (10 * min(near[k] / 30, 2.5) - 3 * sum(scale[p] == scale[k] for p in out) if out else 0)
+        free[k] = False
+        np.minimum(near, np.hypot(yaw - yaw[k], 0.6 * (pitch - pitch[k])), out=near)
+        alike[scale == scale[k]] += 1
 
     for p in T.POSES:
-        first = next((k for k in range(len(pool)) if scale[k] == "closeup" and pose[k] == p), None)
-        if first is not None and len(out) < n:
-            take(first)
+        first = np.flatnonzero((scale == "closeup") & (pose == p))
+        if len(first) and len(out) < n:
+            take(int(first[0]))
     steps = [s for s, quota in quotas.items() for _ in range(max(0, quota - sum(scale[k] == s for k in out)))]
     for s in [*steps, *[None] * n]:
-        left = [k for k in range(len(pool)) if k not in out and s in (None, scale[k])]
-        if left and len(out) < n:
-            take(max(left, key=gain))
+        left = np.flatnonzero(free if s is None else free & (scale == s))
+        if len(left) and len(out) < n:
+            gain = score[left] + (10 * np.minimum(near[left] / 30, FARTHEST / 10) - ALIKE * alike[left] if out else 0)
+            take(int(left[gain.argmax()]))
     return out
 
 
+def can_be_picked(rows: DataFrame, by: list[str], name: str, n: int) -> DataFrame:
+    """The rows that a pick of n may hold: of each scale the n + 1 best and all whose score is near enough to the n-th that
+    diversity could lift them above it, and of the close-ups the best of each pose. No other row can be picked, as n rows
+    of its own scale are always ahead of it."""
+    best = [F.desc("score"), F.lower(name), F.col(name)]
+    ranked = rows.withColumns({
+        "_k": F.row_number().over(Window.partitionBy(*by, F.coalesce("scale", F.lit(""))).orderBy(*best)),
+        "_p": F.row_number().over(Window.partitionBy(*by, "scale", "pose_bin").orderBy(*best))})
+    last = F.max(F.when(F.col("_k") == n, F.col("score"))).over(Window.partitionBy(*by, F.coalesce("scale", F.lit(""))))
+    reach = FARTHEST + ALIKE * (n - 1)
+    kept = (F.col("_k") <= n + 1) | F.col("_n").isNull() | (F.col("score") >= F.col("_n") - reach) | ((F.col("_p") == 1) & F.coalesce(F.col("scale") == "closeup", F.lit(False)))
+    return ranked.withColumn("_n", last).where(kept).drop("_k", "_p", "_n")
+
+
 def pick_diverse(rows: DataFrame, by: list[str], name: str = "name", n: int = T.PICKS) -> DataFrame:
-    """by, name, place of the pick of every group. A group is a curator's set and fits a task; order is part of the result."""
+    """by, name, place of the pick of every group. Rows that can't be picked go first, in Spark; what is left of a group, a
+    curator's set, fits a task, and its order is part of the result."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = pdf[pdf["score"] > 0].assign(_l=pdf[name].str.lower()).sort_values(["score", "_l", name], ascending=[False, True, True])
-        pool = pool.drop_duplicates(name).reset_index(drop=True)
+        pool = pdf.assign(_l=pdf[name].str.lower()).sort_values(["score", "_l", name], ascending=[False, True, True])
+        pool = pool.reset_index(drop=True)
         chosen = pool.iloc[greedy(pool, n, T.QUOTAS)]
         return chosen[[*by, name]].assign(place=range(1, len(chosen) + 1))
 
     kinds = dict(rows.dtypes)
     ddl = ", ".join(f"{c} {kinds[c]}" for c in [*by, name]) + ", place long"
-    return rows.select(*by, name, "score", "yaw", "pitch", "scale", "pose_bin").groupBy(*by).applyInPandas(run, ddl)
+    best = Window.partitionBy(*by, name).orderBy(F.desc("score"), F.lower(name))
+    once = rows.select(*by, name, "score", "yaw", "pitch", "scale", "pose_bin").where("score > 0").withColumn("_o", F.row_number().over(best)).where("_o = 1").drop("_o")
+    return can_be_picked(once, by, name, n).groupBy(*by).applyInPandas(run, ddl)

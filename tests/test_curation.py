@@ -166,3 +166,17 @@ def test_patch_keeps_leftovers(spark):
     new = spark.createDataFrame([("s", "b", 1, None, None, None), ("s", "gone", 2, None, None, None)], "slug string, file string, pos long, shot string, clean string, enabled boolean")
     got = [(r.file, r.clean, r.enabled) for r in catalog.reordered(old, new).orderBy("pos").collect()]
     assert got == [("b", "flagged", True), ("a", "", True)]
+
+
+def test_rows_that_can_not_be_picked_change_nothing(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [("g", f"n{k:03}", round(rng.choice([rng.uniform(0, 100), rng.uniform(0, 20)]), 1), rng.uniform(-60, 60), rng.uniform(-20, 20), rng.choice(["closeup", "closeup", "medium"]),
+             rng.choice([*T.POSES, "unknown"])) for k in range(400)]
+    rows += [("h", f"m{k}", 90.0 - k, 0.0, 0.0, "closeup", "front") for k in range(10)] + [("h", "m", 1.0, 50.0, 0.0, "closeup", "profile-right")]
+    df = spark.createDataFrame(rows, "nation string, name string, score double, yaw double, pitch double, scale string, pose_bin string")
+    assert quality.can_be_picked(df.where("nation = 'g'"), ["nation"], "name", 10).count() < 400
+    for g in "gh":
+        got = [r.name for r in quality.pick_diverse(df, ["nation"]).where(F.col("nation") == g).orderBy("place").collect()]
+        assert got == pick([dict(zip(("nation", "name", "score", "yaw", "pitch", "scale", "pose_bin"), r, strict=True)) for r in rows if r[0] == g])
