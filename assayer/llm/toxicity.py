@@ -100,9 +100,11 @@ def trained(size: int, samples: list[bytes]) -> bytes:
     """A dictionary that zstandard trains on samples, in an order that only depends on them."""
     import zstandard as z
 
-    dealt = sorted(samples, key=lambda x: (zlib.crc32(x), x))
+    times = Counter(samples)
+    dealt = sorted(times, key=lambda x: (zlib.crc32(x), x))
+    padded = (b" " + x + b" " for x in dealt)
     try:
-        return z.train_dictionary(size, [b" " + x + b" " for x in dealt], k=16, d=6, steps=4).as_bytes()
+        return z.train_dictionary(size, [p for p, x in zip(padded, dealt, strict=True) for _ in range(times[x])], k=16, d=6, steps=4).as_bytes()
     except z.ZstdError:
         return recurring(size, samples)  # too few or too short ones
 
@@ -115,8 +117,9 @@ def recurring(size: int, samples: list[bytes]) -> bytes:
 
 
 def of_documents(texts: list[str]) -> list[bytes]:
-    """The distinct windows of each text."""
-    return [w for t in texts for w in sorted(set(windows(t)))]
+    """The distinct windows of each text; equal windows are one object."""
+    known: dict[bytes, bytes] = {}
+    return [known.setdefault(w, w) for t in texts for w in sorted(set(windows(t)))]
 
 
 class Lengths:
