@@ -18,13 +18,19 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make reliable checkpoints possible: the cluster's folder if it names one, else one of our own (local runs)."""
+    """Make reliable checkpoints possible: the folder that the cluster names, or one of our own where all runs in one process.
+
+    On a cluster that names none this fails, as a folder of one machine would not outlive it.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(
-        spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-checkpoints-")
-    )
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        folder = tempfile.mkdtemp(prefix="assayer-checkpoints-")
+    context.setCheckpointDir(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

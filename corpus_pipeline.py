@@ -15,22 +15,29 @@ from assayer.llm.common import shared_dir
 
 
 def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic, with their columns; null and empty texts stay, repeated rows alike. Labels are
+    those of the labels table; an empty table gives an empty result."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, that with the smallest doc_id (null last); null texts count as empty ones."""
     return exact_dedup.drop_copies(docs)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id (null last); all without words."""
     return ngram_join.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture takes it, not at all, once or twice; a null source is the last one, and rows
+    without doc_id are drawn by their text."""
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the tokens and of the decoded text of every row; a null text counts as empty."""
     return bpe.encode_documents(docs, bpe.default_path(), "digest")
 
 

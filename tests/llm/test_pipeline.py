@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -6,12 +7,27 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.llm import bpe, mixing, toxicity
+from tests.llm.test_native import targets
 from tests.llm.test_ngram_join import brute
 
 tokenizers = pytest.importorskip("tokenizers")
 SF = "/root/testdata/sf0.001"
 
 
+def drawn(rows):
+    """Copies of every document: its source's rate by filling and resharing, and one draw by MD5."""
+    size = Counter()
+    for _, text, source in rows:
+        size[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    want = targets(size)
+    out = {}
+    for i, _, source in rows:
+        rate = min(2.0, want[source] / size[source]) if size[source] else 0.0
+        draw = int(hashlib.md5(f"23:{i}".encode()).hexdigest()[:15], 16) / 2**60
+        out[i] = int(rate) + (draw < rate - int(rate))
+    return out
+
+
 def test_rows_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     toxic = {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.predicted}
@@ -25,7 +41,7 @@ def test_rows_against_brute_force(spark):
             seen.add(text), kept.append(r)
     first = {i for i, _, c in brute([(r.doc_id, r.text) for r in kept]) if i == c}
     kept = spark.createDataFrame([r for r in kept if r.doc_id in first], docs.schema)
-    copies = {r.doc_id: r.copies for r in mixing.mixing(kept).collect()}
+    copies = drawn([(r.doc_id, r.text, r.source) for r in kept.collect()])
     library = tokenizers.Tokenizer.from_file(bpe.default_path())
     want = Counter()
     for r in kept.collect():
