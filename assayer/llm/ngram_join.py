@@ -442,3 +442,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if rows.count() > first.count():  # some row repeats both, so one of them has to be told apart
         kept = kept.withColumn(k, F.row_number().over(Window.partitionBy(id_col, d).orderBy(id_col))).where(F.col(k) == 1)
     return kept.select(*docs.columns).unionByName(docs.where(F.regexp_count(text_of(text_col), F.lit(WORD)) == 0))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS grams FROM d
+), n AS (SELECT doc_id, len(grams) AS n FROM g),
+s AS (SELECT doc_id, hash(unnest(grams)) AS gram FROM g),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, b AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(least(n.doc_id, m.low), n.doc_id) AS component_id
+FROM n LEFT JOIN (SELECT doc_id, min(other) AS low FROM r GROUP BY 1) m USING (doc_id)
+"""

@@ -25,5 +25,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_sharding": sharding.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
+    "op6_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
