@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, heavy_split, text_of
+from .common import WORD, checkpointed, frugal, heavy_split, in_parts, text_of
 
-#: Words of the smallest block that is deleted.
-MIN_WORDS = 10
+#: Words of the smallest block that is deleted; pairs that one task joins with the lines of their first document.
+MIN_WORDS, SIDE = 10, 4096
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -128,8 +128,9 @@ def anchored(first: list[tuple[int, int, int]], later: list[tuple[int, int, int]
 def run_pairs(lists: DataFrame, least: int) -> DataFrame:
     """Pairs (first, row) of the first holder of each shortest run and every later document that has it."""
 
+    @frugal
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             keys = [
                 [int.from_bytes(hashlib.blake2b(array("q", k), digest_size=8).digest(), "little", signed=True) for k in
                  shortest_runs([tuple(y.values()) for y in x.as_py()], least)] for x in b.column("lines")]
@@ -144,6 +145,15 @@ def run_pairs(lists: DataFrame, least: int) -> DataFrame:
     return heavy_split(found.select("row", "run"), firsts, "run", "times", found.count()).where("first <> row").select("first", "row")
 
 
+def with_first(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(row, a): the lines of the first document beside each later one. A first document of many pairs goes to several tasks."""
+    known = checkpointed(pairs.groupBy("first").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / SIDE)))
+    dealt = heavy_split(pairs, known, "first", "n", pairs.count()).withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
+    held = lists.select(F.col("row").alias("first"), F.col("lines").alias("a")).join(known, "first")
+    held = held.select("first", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return dealt.join(held, ["first", "part"]).select("row", "a")
+
+
 def deletions(docs: DataFrame, least: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """row, doc_id, digest, nth and removed (places, null if none) of rows (doc_id, text)."""
     text = F.col("text")
@@ -163,10 +173,11 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS, runs: bool = False) -> Da
     if runs:
         pairs = pairs.unionByName(run_pairs(lists, least)).distinct()
     compared = anchored if runs else blocks
-    both = pairs.join(lists.select(F.col("row").alias("first"), F.col("lines").alias("a")), "first").join(lists, "row")
+    both = with_first(checkpointed(pairs), lists).join(lists.select("row", "lines"), "row")
 
+    @frugal
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches, 64):
             tuples = lambda x: [tuple(y.values()) for y in x.as_py()]
             out = [compared(tuples(x), tuples(y), least) for x, y in zip(b.column("a"), b.column("lines"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.list_(pa.int32()))], names=["row", "removed"])
@@ -182,7 +193,8 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
     """doc_id, text (without the deleted lines), n_lines, n_removed and removed (places from 0) of every row.
 
     Lines end at "\\n"; blank ones are never deleted. Documents are ordered by identifier (null last), then by text; of
-    rows that repeat, one counts as the first. A null text counts as one empty line. Other columns are not read.
+    rows that repeat, one counts as the first. A null text counts as one empty line. Texts of any length are read whole, an
+    empty table gives an empty result, and other columns, whatever their names, are not read.
     With `runs`, documents meet the first holders of shared runs too, not only those of single lines.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))

@@ -94,3 +94,11 @@ def test_odd_rows(spark, odd, none):
     twice = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")] * 2, "doc_id long, text string")
     assert sorted(r.n_removed for r in line_dedup.line_dedup(twice).collect()) == [0, 1]
     assert line_dedup.line_report(none).count() == 0
+
+
+def test_a_first_document_of_many_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"shared line number {k} of some words" for k in range(6)]
+    rows = [(0, "\n".join(base))] + [(k, "\n".join([f"own {k}", *base[rng.randrange(3) :]])) for k in range(1, 60)]
+    monkeypatch.setattr(line_dedup, "SIDE", 4)
+    assert result(spark, rows, 10) == brute(rows, 10)
