@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, frugal_group, in_parts, kept_for, text_of
+from .common import bounded_batches, frugal, frugal_group, in_parts, kept_for, text_of
 
 #: Characters of a leaf of the tree, and bytes of a run that is encoded at once.
 LEAF, RUN = 32_768, 2_048
@@ -224,6 +224,7 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
     A null text counts as empty, and an empty one has no tokens. Repeated rows give repeated results; other
     columns are not read. Rows of more than `leaf` characters are cut into leaves that any executor encodes.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"),
         F.monotonically_increasing_id().alias("row"),

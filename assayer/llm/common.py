@@ -77,9 +77,19 @@ def frugal_group(f):
     return run
 
 
+#: Bytes of the batches in which Spark sends texts to Python workers, and the setting that bounds them.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: a batch takes its size several times over in both processes of each running task. One
+    value for all operators, set only where the session has none of its own; results never depend on it."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def in_parts(batches, rows: int = 512):
-    """Arrow batches cut to at most so many rows, so that what is made of their texts at once stays small. Spark itself
-    bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch), so no setting of the session is changed."""
+    """Arrow batches cut to at most so many rows, so that what is made of their texts at once stays small."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)

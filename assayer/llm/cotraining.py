@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_crc, id_crc_col, in_parts, id_text, seeded_hash, text_of
+from .common import bounded_batches, checkpointed, id_crc, id_crc_col, in_parts, id_text, seeded_hash, text_of
 from .toxicity import fit
 
 #: Labels of rows with crc32(doc_id) mod FOLDS = HELD are never read.
@@ -289,6 +289,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     classes every score is the class there is (0 without any). Repeated rows are scored alike.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     shared = spark.sparkContext.broadcast(train(rows, labels, sample))
 

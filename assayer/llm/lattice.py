@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, frugal, id_crc, id_crc_col, text_of
+from .common import BROADCAST_ROWS, bounded_batches, checkpointed, frugal, id_crc, id_crc_col, text_of
 
 #: Folds are crc32(doc_id) mod FOLDS, of which HELD is not learnt from; the mark of a word's start.
 FOLDS, HELD, MARK = 7, 2, "▁"
@@ -344,6 +344,7 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     length are read whole, an empty table gives an empty result, and other columns of `docs` are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     counts = checkpointed(count_words(rows))
     n, v, every = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("everywhere")).first()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, frugal, heavy_split, in_parts, text_of
+from .common import WORD, bounded_batches, checkpointed, frugal, heavy_split, in_parts, text_of
 
 #: Words of the smallest block that is deleted; pairs that one task joins with the lines of their first document.
 MIN_WORDS, SIDE = 10, 4096
@@ -197,6 +197,7 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
     empty table gives an empty result, and other columns, whatever their names, are not read.
     With `runs`, documents meet the first holders of shared runs too, not only those of single lines.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     found = deletions(rows, least, runs).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("nth").alias("_nth"), "removed")
     keyed = rows.withColumn("_d", F.unhex(F.sha2("text", 256)))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, checkpointed, frugal, frugal_group, heavy_split, text_of, unused
+from .common import SPACE, WORD, bounded_batches, checkpointed, frugal, frugal_group, heavy_split, text_of, unused
 from .components import components
 
 #: Words of a shingle, and the similarity in percent from which two documents are linked.
@@ -382,6 +382,7 @@ def joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     """doc_id, digest, n of every row, and of every digest with words: digest, copies, n_shingles, rep (smallest identifier
     of its rows) and group (the digest that stands for its component)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal_digest(text_col).alias("digest"), text.alias("text"))
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, id_crc_col, id_text, frugal, kept_for, seeded_hash, text_of
+from .common import id_crc, id_crc_col, id_text, bounded_batches, frugal, kept_for, seeded_hash, text_of
 
 #: Labels of rows with crc32(doc_id) mod FOLDS = HELD are never read.
 FOLDS, HELD = 5, 0
@@ -221,6 +221,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     without windows that only toxic documents have, every score is 0. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, sample))
 
     @frugal
@@ -240,6 +241,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns and values, whatever they are called."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, sample))
 
     @frugal

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, in_parts, text_of
+from .common import bounded_batches, frugal, in_parts, text_of
 
 #: Fixed values of the format.
 SIGNATURE = 0x2F
@@ -854,6 +854,7 @@ DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tai
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("payload"))
 
 
