@@ -109,6 +109,12 @@ def fingerprint(size: Column, modified: Column, content: Column) -> Column:
     return F.struct(size.alias("size"), modified.alias("mtime"), F.sha2(content, 256).alias("sha256"))
 
 
+def root_of(config: Column, key: str, default: str, below: str = "") -> Column:
+    """A folder of the settings, the default where it is blank, without a slash at its end, and what is below it."""
+    given = F.nullif(F.regexp_replace(posix(F.trim(F.coalesce(F.try_element_at(config, F.lit(key)), F.lit("")))), "/+$", ""), F.lit(""))
+    return F.concat(F.coalesce(given, F.lit(default)), F.lit(f"/{below}" if below else ""))
+
+
 def short_label(x: Column, most: int = 28) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most - 1), F.lit("…"))).otherwise(x)
 

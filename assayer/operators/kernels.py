@@ -76,6 +76,15 @@ def spread(px: Column) -> Column:
     return F.struct(F.array_max(px).alias("top"), quantile(0.5).alias("median"), quantile(0.9).alias("p90"), F.sqrt(variance(px)).alias("deviation"))
 
 
+def line_means(px: Column, width: int, height: int, test, rows: bool = True) -> Column:
+    """The share of pixels of each row, or of each column, for which a test holds."""
+    hit = F.transform(px, lambda x: F.when(test(x), 1.0).otherwise(0.0))
+    lines, across = (height, width) if rows else (width, height)
+    place = (lambda k, j: k * width + j) if rows else (lambda k, j: j * width + k)
+    line = lambda k: F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda j: F.element_at(hit, (place(k, j) + 1).cast("int")))
+    return F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda k: F.aggregate(line(k), F.lit(0.0), lambda a, x: a + x) / across)
+
+
 def region_boxes(pixels: DataFrame, by: list[str]) -> DataFrame:
     """(by, x0, y0, x1, y1), ends excluded, of the pixels (x, y) of each region."""
     return pixels.groupBy(*by).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))

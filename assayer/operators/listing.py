@@ -57,6 +57,14 @@ def vocabulary(*lists: DataFrame, name: str = "folder") -> DataFrame:
     return out.where(F.coalesce(name, F.lit("")) != "").distinct()
 
 
+def bag(*found: DataFrame) -> DataFrame:
+    """What several detectors find, together; rows that two of them find stay twice."""
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def upload_ids(rows: DataFrame, by: list[str], raw: str = "raw") -> DataFrame:
     """Identifiers with slashes one way and without suffix, each once, in the order of their first row."""
     clean = F.regexp_replace(F.regexp_replace(P.posix(F.trim(raw)), r"(?i)\.safetensors$", ""), "^/+|/+$", "")

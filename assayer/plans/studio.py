@@ -330,6 +330,49 @@ def single_lookup(spark, sf_dir):
     return listing.lookup_one(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", 3)
 
 
+@query("recorded_extracts", """SELECT 's' || s_suppkey AS slug, CASE WHEN n IS NULL THEN 'old' ELSE 'out/' || n END AS output, CASE WHEN n IS NULL THEN 'h' ELSE 'new' END AS content_hash FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) ON l_suppkey = s_suppkey""")
+def recorded_extracts(spark, sf_dir):
+    old = F.struct(lit("old").alias("output"), lit("t").alias("at"), lit("h").alias("content_hash"))
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    results = done.select(F.concat(lit("s"), text("l_suppkey")).alias("slug"), F.concat(lit("out/"), text("n")).alias("output"), lit("now").alias("at"), lit("new").alias("hash"))
+    return sinks.recorded(suppliers(spark, sf_dir).select("slug", old.alias("last_extract")), results).select("slug", "last_extract.output", "last_extract.content_hash")
+
+
+@query("root_paths", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '/data' ELSE '/x/' || p_brand END || '/sets' AS root FROM part")
+def root_paths(spark, sf_dir):
+    config = F.create_map(lit("root"), F.when(F.col("p_size") % 3 == 0, "  ").otherwise(F.concat(lit(" \\x\\"), "p_brand", lit("//"))))
+    return table(spark, sf_dir, "part").select("p_partkey", P.root_of(config, "root", "/data", "sets").alias("root"))
+
+
+@query("cache_keys", "SELECT doc_id, sha1(source || '|' || lang || '|' || n_chars || '|720|1') AS key FROM documents")
+def cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sinks.cache_key(F.col("source"), F.col("lang"), F.col("n_chars")).alias("key"))
+
+
+@query("copy_plan", f"WITH {PATH_SQL} SELECT path AS source, 'sets/' || page_id || '/' || list_last(string_split(path, '/')) AS destination FROM p")
+def copy_plan(spark, sf_dir):
+    found = paths(spark, sf_dir).withColumn("file", P.base(F.col("path")))
+    return sinks.copy_plan(found, F.concat(lit("sets/"), text("page_id")))
+
+
+@query("panel_files", "SELECT l_orderkey AS sheet, l_linenumber AS ord, l_orderkey || '_' || lpad(l_linenumber::VARCHAR, 2, '0') || '.png' AS file FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+def panel_files(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("ord")).distinct()
+    return sinks.panel_plan(found).select("sheet", "ord", "file")
+
+
+@query("enabled_files", f"WITH {PAYLOAD_SQL} SELECT slug, file, row_number() OVER (PARTITION BY slug ORDER BY file) AS place FROM z WHERE enabled AND NOT missing AND kind <> 'other'")
+def enabled_files(spark, sf_dir):
+    return listing.placed(payload(spark, sf_dir).where("enabled AND NOT missing AND kind <> 'other'"), ["slug"], [F.col("file")]).select("slug", "file", "place")
+
+
+@query("mark_union", f"WITH {BOX_SQL} SELECT page, kind, count(*) AS n FROM (SELECT page, 'wide' AS kind FROM b WHERE x1 - x0 > 0.1 UNION ALL SELECT page, 'high' FROM b WHERE y1 - y0 > 0.1 UNION ALL SELECT page, 'edge' FROM b WHERE edge = 'top') GROUP BY ALL")
+def mark_union(spark, sf_dir):
+    found = boxes(spark, sf_dir)
+    kinds = {"wide": "x1 - x0 > 0.1", "high": "y1 - y0 > 0.1", "edge": "edge = 'top'"}
+    return listing.bag(*(found.where(c).select("page", lit(k).alias("kind")) for k, c in kinds.items())).groupBy("page", "kind").agg(F.count("*").alias("n"))
+
+
 # Library.
 
 
@@ -651,6 +694,38 @@ def png_pixels(spark, sf_dir):
     return images.pixels(made).withColumn("samples", F.hex("samples"))
 
 
+@query("line_means", f"WITH {PATCH_SQL} SELECT vec_id, k, len(list_filter(range(8), lambda j: p[k * 8 + j + 1] >= 128)) / 8.0 AS by_row, len(list_filter(range(8), lambda j: p[j * 8 + k + 1] >= 128)) / 8.0 AS by_column FROM m, range(8) r(k)")
+def line_means(spark, sf_dir):
+    means = [kernels.line_means(F.col("px"), 8, 8, lambda x: x >= 128, rows) for rows in (True, False)]
+    zipped = F.posexplode(F.arrays_zip(means[0].alias("by_row"), means[1].alias("by_column"))).alias("k", "x")
+    return patches(spark, sf_dir).select("vec_id", zipped).select("vec_id", F.col("k").cast("long").alias("k"), "x.by_row", "x.by_column")
+
+
+SQUARE_SQL = "q AS (SELECT vec_id, label * 4 AS l, label AS t, least(64, 34 + vec_id % 40) AS r, least(64, 50 + label) AS b FROM embeddings)"
+
+
+def squares(spark, sf_dir):
+    grid = F.transform(F.sequence(lit(0), lit(63)), lambda y: F.transform(F.sequence(lit(0), lit(63)), lambda x: y * 64 + x))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.col("label") * 4).alias("left"), F.col("label").alias("top"), F.least(lit(64), (34 + F.col("vec_id") % 40).cast("int")).alias("right"),
+        F.least(lit(64), 50 + F.col("label")).alias("bottom"), grid.alias("gray"))
+
+
+@query("crop_apply", f"""WITH {SQUARE_SQL}, s AS (SELECT *, r - l >= 32 AND b - t >= 32 AND (r - l) * (b - t) >= 1024 AS applied FROM q)
+SELECT vec_id, applied, CASE WHEN applied THEN r - l ELSE 64 END::BIGINT AS w, CASE WHEN applied THEN b - t ELSE 64 END::BIGINT AS h, CASE WHEN applied THEN t * 64 + l ELSE 0 END::BIGINT AS first, CASE WHEN applied THEN (b - 1) * 64 + r - 1 ELSE 4095 END::BIGINT AS last FROM s""")
+def crop_apply(spark, sf_dir):
+    cut = sinks.crops(squares(spark, sf_dir))
+    at = lambda a, b: F.element_at(F.element_at("gray", a), b).cast("long")
+    return cut.select("vec_id", "applied", F.size(F.element_at("gray", 1)).cast("long").alias("w"), F.size("gray").cast("long").alias("h"), at(1, 1).alias("first"), at(-1, -1).alias("last"))
+
+
+@query("undo_crops", "SELECT e.vec_id, CASE WHEN label < 5 AND vec_id IN (SELECT doc_id FROM labels) THEN 'flagged' WHEN label < 5 THEN 'cleaned' ELSE 'flagged' END AS clean, label < 5 AND vec_id IN (SELECT doc_id FROM labels) AS restored FROM embeddings e")
+def undo_crops(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") < 5, "cleaned").otherwise("flagged").alias("clean"), F.col("embedding").alias("gray"))
+    kept = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")).join(rows.select("vec_id", "gray"), "vec_id")
+    return sinks.undone(rows, kept, ["vec_id"]).select("vec_id", "clean", "restored")
+
+
 # Logs.
 
 
