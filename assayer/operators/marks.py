@@ -151,20 +151,24 @@ def bars(p: Picture) -> list[Rect]:
 
 
 def lines_of(letters: list[Rect]) -> list[list[Rect]]:
-    """Letters that stand level with a line and close to its ends join it, until none does."""
-    todo, out = sorted(letters, key=lambda b: (b[1], b[0])), []
-    while todo:
-        line = [todo.pop(0)]
-        tall, level = max(line[0][3] - line[0][1], 8), (line[0][1] + line[0][3]) / 2
-        grew = True
-        while grew:
-            grew = False
-            for b in list(todo):
-                x0, x1 = min(g[0] for g in line), max(g[2] for g in line)
-                if abs((b[1] + b[3]) / 2 - level) <= 0.75 * tall and max(0, b[0] - x1, x0 - b[2]) <= max(16, 2.4 * tall):
-                    line.append(b), todo.remove(b)
-                    level, grew = (min(g[1] for g in line) + max(g[3] for g in line)) / 2, True
-        out.append(line)
+    """Letters gathered into lines, each an interval that takes in what is level with it and close to its ends.
+
+    A line starts at the highest letter left. The next letter, in order from the last one taken and then from the top, that
+    fits the line as it is by then joins it and widens it, until none fits.
+    """
+    box = np.array(sorted(letters, key=lambda b: (b[1], b[0])), float).reshape(-1, 4)
+    middle, free, out = (box[:, 1] + box[:, 3]) / 2, np.ones(len(box), bool), []
+    while free.any():
+        at = int(free.argmax())
+        tall, (x0, y0, x1, y1), line = max(box[at, 3] - box[at, 1], 8), box[at], []
+        while at >= 0:
+            free[at] = False
+            line.append(at)
+            x0, y0, x1, y1 = min(x0, box[at, 0]), min(y0, box[at, 1]), max(x1, box[at, 2]), max(y1, box[at, 3])
+            apart = np.maximum(0, np.maximum(box[:, 0] - x1, x0 - box[:, 2]))
+            fits = np.flatnonzero(free & (np.abs(middle - (y0 + y1) / 2) <= 0.75 * tall) & (apart <= max(16, 2.4 * tall)))
+            at = int(next((k for k in fits if k > at), fits[0])) if len(fits) else -1
+        out.append([tuple(int(v) for v in box[k]) for k in line])
     return out
 
 

@@ -70,3 +70,54 @@ def test_query_finds_planted_bars(spark):
     got = curation.edge_marks(spark, "/root/testdata/sf0.001")
     assert {(r.picture % 3, r.edge) for r in got.collect()} >= {(1, "top"), (2, "bottom")}
     assert got.where("picture % 3 > 0").select("picture").distinct().count() > 300
+
+
+def lines_step_by_step(letters):
+    """One pass over the letters after the other, as long as a pass adds any."""
+    todo, out = sorted(letters, key=lambda b: (b[1], b[0])), []
+    while todo:
+        line = [todo.pop(0)]
+        tall, added = max(line[0][3] - line[0][1], 8), True
+        while added:
+            added, rest = False, []
+            for b in todo:
+                x0, y0, x1, y1 = (f(g[k] for g in line) for k, f in enumerate((min, min, max, max)))
+                gap = max(0, b[0] - x1, x0 - b[2])
+                if abs((b[1] + b[3]) / 2 - (y0 + y1) / 2) <= 0.75 * tall and gap <= max(16, 2.4 * tall):
+                    line.append(b)
+                    added = True
+                else:
+                    rest.append(b)
+            todo = rest
+        out.append(line)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_lines_against_passes(seed):
+    rng = np.random.default_rng(seed)
+    letters = []
+    for _ in range(rng.integers(1, 25)):
+        x, y, w, h = rng.integers(0, 400), rng.integers(0, 60), rng.integers(3, 14), rng.integers(6, 20)
+        letters.append((int(x), int(y), int(x + w), int(y + h)))
+    assert marks.lines_of(letters) == lines_step_by_step(letters)
+
+
+@pytest.mark.parametrize("edge", ["top", "bottom", "left", "right"])
+@pytest.mark.parametrize("seed", range(4))
+def test_marks_spread_along_their_edge(edge, seed):
+    rng = np.random.default_rng(seed)
+    p = marks.Picture(np.zeros((200, 260, 3), np.uint8))
+    mask = rng.random((200, 260)) < 0.002
+    box = {"top": (100, 2, 140, 12), "bottom": (100, 188, 140, 198), "left": (2, 90, 14, 120), "right": (246, 90, 258, 120)}[edge]
+    x0, y0, x1, y1 = box
+    if edge in ("top", "bottom"):
+        held = [x for x in range(max(0, int(x0 - 0.22 * 260)), min(260, int(x1 + 0.22 * 260))) if any(mask[y, x] for y in range(y0, y1))]
+        x0, x1 = (min(held) - 3, max(held) + 4) if held else (x0, x1)
+        y0, y1 = (0, y1 + 3) if edge == "top" else (y0 - 3, 200)
+    else:
+        held = [y for y in range(max(0, int(y0 - 0.22 * 200)), min(200, int(y1 + 0.22 * 200))) if any(mask[y, x] for x in range(x0, x1))]
+        y0, y1 = (min(held) - 3, max(held) + 4) if held else (y0, y1)
+        x0, x1 = (0, x1 + 3) if edge == "left" else (x0 - 3, 260)
+    want = (max(0, x0), max(0, y0), min(260, x1), min(200, y1))
+    assert marks.spread_along(p, mask, box, edge) == want
