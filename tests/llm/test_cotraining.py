@@ -1,6 +1,9 @@
+import math
 import random
+import re
 
 import numpy as np
+import pytest
 
 from assayer.llm import cotraining
 
@@ -64,3 +67,37 @@ def test_odd_rows(spark, odd, none):
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert cotraining.quality(none, labels).count() == 0
     assert cotraining.quality(odd, labels.where("false")).count() == odd.count()
+
+
+def figures(text):
+    """The text view by its definition, in plain loops."""
+    raw = text.encode()
+    n = max(1, len(raw))
+
+    def kind(b):
+        c = chr(b)
+        if b >= 128:
+            return 6
+        return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in "\t\n\v\f\r " else 4 if c in ".,;:!?'\"()-" else 5
+
+    shares = [sum(kind(b) == k for b in raw) / n for k in range(7)]
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    m, k = max(1, len(words)), max(1, len(lines))
+    again = sum(words[j] == words[j + 1] for j in range(len(words) - 1))
+    marks = sum(1 for w in words if w[-1] < 128 and not chr(w[-1]).isalnum())
+    bare = sum(1 for w in words if all(chr(b) in ".,;:!?'\"()-|" for b in w))
+    most = max((words.count(w) for w in words), default=0)
+    return [1.0, *shares, len(set(words)) / m, most / m, again / m, marks / m, bare / m, min(3.0, len(raw) / m / 8), math.log(1 + m) / 8,
+            len(set(lines)) / k, min(3.0, m / k / 30), sum(x.count(b"|") for x in lines) / m]
+
+
+@pytest.mark.parametrize("text", ["", " \n ", "One two two, three!\nOne | 4 -- é.\n\nOne two two, three!", "x" * 500, "A.B C-D 'quoted' (7)\r\nend"])
+def test_text_figures_by_definition(text):
+    assert cotraining.text_view(text) == pytest.approx(figures(text))
+
+
+def test_page_figures_by_definition():
+    got = cotraining.page_view("en", "src1", 100)
+    assert got[:3] == [1.0, math.log(101) / 10, 0.0] and sum(got[3:]) == 2.0
+    assert cotraining.page_view(None, None, None)[:3] == [1.0, 0.0, 1.0]
