@@ -544,7 +544,7 @@ def scan_counts(spark, sf_dir):
 # Scores, texts and numbers.
 
 
-@query("score_rows", f"""WITH {CUSTOMERS_SQL} SELECT nation, name, CASE WHEN reason = 'blurry' THEN 0.0 ELSE score END AS score, reason, CASE WHEN reason = 'blurry' THEN 0.0 ELSE 0.5 END AS s_sharp, 0.0 AS s_face, coalesce(CASE WHEN reason <> 'blurry' THEN scale END, '') AS scale,
+@query("score_rows", f"""WITH {CUSTOMERS_SQL} SELECT nation, name, CASE WHEN reason = 'blurry' THEN 0.0 ELSE score END AS score, reason, CASE WHEN reason = 'blurry' THEN 0.0 ELSE 0.5 END::DOUBLE AS s_sharp, 0.0::DOUBLE AS s_face, coalesce(CASE WHEN reason <> 'blurry' THEN scale END, '') AS scale,
   CASE WHEN reason = 'blurry' THEN 'unknown' ELSE pose_bin END AS pose_bin FROM b""")
 def score_rows(spark, sf_dir):
     known = F.col("reason") != "blurry"
@@ -572,7 +572,7 @@ def rotations(spark, sf_dir):
     return turned.select("vec_id", *(F.round(f"r.{c}", 5).alias(c) for c in "xyz"))
 
 
-@query("gray_levels", """WITH p AS (SELECT p_partkey, p_size % 256 AS r, p_partkey % 256 AS g, (p_partkey * 7) % 256 AS b FROM part), l AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS y FROM p)
+@query("gray_levels", """WITH p AS (SELECT p_partkey, p_size % 256 AS r, p_partkey % 256 AS g, (p_partkey * 7) % 256 AS b FROM part), l AS (SELECT *, (0.299 * r + 0.587 * g + 0.114 * b)::DOUBLE AS y FROM p)
 SELECT p_partkey, round(y, 6) AS y, round(255 - y, 6) AS inverted, round(CASE WHEN y / 255 <= 0.04045 THEN y / 255 / 12.92 ELSE pow((y / 255 + 0.055) / 1.055, 2.4) END, 6) AS linear, round(y / 255, 6) AS back FROM l""")
 def gray_levels(spark, sf_dir):
     key = F.col("p_partkey")
@@ -675,7 +675,7 @@ def report_lines(spark, sf_dir):
 # Pictures.
 
 
-@query("image_headers", "SELECT vec_id, ['png', 'gif', 'bmp', 'jpeg'][vec_id % 4 + 1] AS format, CASE WHEN vec_id % 8 = 3 THEN label + 1 ELSE vec_id + 1 END AS w, CASE WHEN vec_id % 8 = 3 THEN vec_id + 1 ELSE label + 1 END AS h, CASE WHEN vec_id % 8 = 3 THEN 6 ELSE 1 END AS orientation FROM embeddings")
+@query("image_headers", "SELECT vec_id, ['png', 'gif', 'bmp', 'jpeg'][vec_id % 4 + 1] AS format, CASE WHEN vec_id % 8 = 3 THEN label + 1 ELSE vec_id + 1 END AS w, CASE WHEN vec_id % 8 = 3 THEN vec_id + 1 ELSE label + 1 END AS h, CASE WHEN vec_id % 8 = 3 THEN 6 ELSE 1 END::BIGINT AS orientation FROM embeddings")
 def image_headers(spark, sf_dir):
     kind, w, h = F.col("vec_id") % 4, F.col("vec_id") + 1, (F.col("label") + 1).cast("long")
     big = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
