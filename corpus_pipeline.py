@@ -50,12 +50,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents; between them rows are written to the shared folder and read again."""
+    """All stages on the documents; between them rows are written to the shared folder and read again.
+
+    What a stage has read is deleted when its own rows are written; those of the last but one stay, as the result reads them.
+    """
     shared_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
