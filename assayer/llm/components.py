@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, heavy_split
 
 
-#: Links from which a node is a hub, whose rows are not all sent to one task.
-HUB = 256
+#: Links from which a node is a hub, whose rows are not all sent to one task; fewer are a few megabytes and no burden for one.
+HUB = 65_536
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
