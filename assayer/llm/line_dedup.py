@@ -156,11 +156,13 @@ def with_first(pairs: DataFrame, lists: DataFrame) -> DataFrame:
 
 def deletions(docs: DataFrame, least: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """row, doc_id, digest, nth and removed (places, null if none) of rows (doc_id, text)."""
-    text = F.col("text")
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # before lines are rows
-    rows = rows.select("doc_id", "row", F.unhex(F.sha2(text, 256)).alias("digest"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    lines = checkpointed(rows.select(
-        "row", "doc_id", "digest", F.when(F.trim("line") != "", F.col("place")).alias("place"),
+    # After its lines each document has one row more, with the digest of its text; its lines only carry the digest's beginning.
+    split = F.posexplode(F.array_append(F.split("text", "\n"), F.lit(None).cast("string"))).alias("place", "line")
+    rows = rows.select("doc_id", "row", F.unhex(F.sha2("text", 256)).alias("digest"), split)
+    whole = F.col("line").isNull()
+    lines = checkpointed(rows.where(whole | (F.trim("line") != "")).select(
+        "row", "doc_id", F.when(whole, F.col("digest")).otherwise(F.substring("digest", 1, 8)).alias("digest"), F.when(~whole, F.col("place")).alias("place"),
         F.xxhash64("line").alias("hash"), F.regexp_count("line", F.lit(WORD)).alias("words")))
     full = lines.where("place IS NOT NULL")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row")
@@ -184,7 +186,7 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS, runs: bool = False) -> Da
 
     removed = both.select("row", "a", "lines").mapInArrow(run, "row long, removed array<int>").where("size(removed) > 0")
     removed = removed.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed"))
-    known = lines.select("row", "doc_id", "digest").distinct()
+    known = lines.where("place IS NULL").select("row", "doc_id", "digest")
     same = Window.partitionBy("doc_id", "digest").orderBy("row")
     return known.withColumn("nth", F.row_number().over(same)).join(removed, "row", "left")
 
