@@ -263,8 +263,9 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                (held if id_crc(doc_id) % FOLDS == HELD else learnt).update(words_of(text.as_py()))
-                size += len(text.as_py())
+                text = text.as_py()
+                (held if id_crc(doc_id) % FOLDS == HELD else learnt).update(words_of(text))
+                size += len(text)
                 if len(learnt) + len(held) > COUNTED or size > COUNTED_BYTES:
                     yield flush()
                     learnt.clear(), held.clear()
