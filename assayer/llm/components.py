@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star rounds.
 
-No round gathers a component: each is a minimum per node (folded before it is moved) and a join back on the node, of
-which hubs are broadcast, and rounds are cut by reliable checkpoints. Chains shrink by a constant factor a round.
+No round gathers a component: each is a minimum per node (folded before it is moved) and a join back on the node. The
+links of a hub are rows of 40 bytes; where they outgrow a task, the adaptive skew join splits them. Rounds are cut by reliable checkpoints. Chains shrink by a constant factor a round.
 """
 
 from __future__ import annotations
@@ -9,26 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, heavy_split
+from .common import checkpointed
 
 
-#: Links from which a node is a hub, whose rows are not all sent to one task; fewer are a few megabytes and no burden for one.
-HUB = 65_536
-
-
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def state(edges: DataFrame) -> tuple[int, int, int]:
-    """The number of links, a digest of them, and the most links of a node."""
-    links, digest = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-    return links, digest, both_ways(edges).groupBy("u").count().agg(F.max("count")).first()[0] or 0
-
-
-def with_least(links: DataFrame, least: DataFrame, hubs: bool, total: int) -> DataFrame:
-    """Links joined with what is known of their node u; where there are hubs, these are broadcast (heavy_split)."""
-    return heavy_split(links, least, "u", "n", total) if hubs else links.join(least, "u")
+def state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -42,14 +27,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         if not before[0]:
             break
-        hubs = before[2] >= HUB
-        both = both_ways(edges)
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = with_least(both, least, hubs, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every node points down after the large one, so its neighbours are its smaller ones.
-        large = checkpointed(large) if hubs else large
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        joined = with_least(large, low, hubs, large.count() if hubs else 0)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )

@@ -1,4 +1,3 @@
-import importlib
 import random
 
 import pytest
@@ -83,11 +82,6 @@ def test_components(spark):
     assert got == dict.fromkeys(range(301), 0) | dict.fromkeys(range(1000, 1100), 1000)
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(importlib.import_module("assayer.llm.components"), "HUB", 8)
-    test_components(spark)
-
-
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["a", "B", "b", "É", " "]), max_size=12))
 def test_shingle_counts(words):
