@@ -181,16 +181,16 @@ def consensus(boxes: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
         b, owner, everyone = as_boxes(rows), [r["file"] for r in rows], list(rows[0]["files"])
         if len(set(owner)) < 2:
             return []
-        firsts, members = np.empty((0, 4)), []
+        firsts, members = np.empty_like(b), []
         for k in range(len(b)):
-            fits = np.flatnonzero(overlap(b[k], firsts) >= T.SAME_BOX)
-            if len(fits):
-                members[fits[0]].append(k)
+            fits = overlap(b[k], firsts[: len(members)]) >= T.SAME_BOX
+            if fits.any():
+                members[int(fits.argmax())].append(k)
             else:
-                firsts = np.append(firsts, b[k : k + 1], axis=0)
+                firsts[len(members)] = b[k]
                 members.append([k])
         out = []
-        for first, mine in zip(firsts, members, strict=True):
+        for first, mine in zip(firsts, members, strict=False):  # as many firsts as clusters
             if len(mine) >= max(T.CONSENSUS_LEAST, int(T.CONSENSUS_SHARE * len(everyone))):
                 has = {owner[k] for k in [*mine, *np.flatnonzero(overlap(first, b) >= T.SAME_BOX)]}
                 out += [(f, *map(float, first), len(mine)) for f in everyone if f not in has]
