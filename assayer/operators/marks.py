@@ -7,7 +7,6 @@ import functools
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
 from ..functions import thresholds as T
@@ -24,23 +23,23 @@ Rect = tuple[int, int, int, int]
 
 
 def window(a: np.ndarray, size: tuple[int, int], reduce, fill) -> np.ndarray:
-    """A rectangle's maximum or minimum around every pixel."""
+    """A rectangle's maximum or minimum around every pixel, along one axis and then along the other."""
     kx, ky = size
+    h, w = a.shape
     padded = np.pad(a, ((ky // 2, ky - 1 - ky // 2), (kx // 2, kx - 1 - kx // 2)), constant_values=fill)
-    wide = reduce(sliding_window_view(padded, kx, axis=1), -1)
-    return reduce(sliding_window_view(wide, ky, axis=0), -1)
+    wide = functools.reduce(reduce, (padded[:, k : k + w] for k in range(kx)))
+    return functools.reduce(reduce, (wide[k : k + h] for k in range(ky)))
 
 
 def closed(mask: np.ndarray, size: tuple[int, int]) -> np.ndarray:
-    return window(window(mask, size, np.max, False), size, np.min, True)
+    return window(window(mask, size, np.maximum, False), size, np.minimum, True)
 
 
 def hats(gray: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     """How far thin strokes, dark or bright, stand out."""
-    g = gray.astype(int)
-    shut = window(window(g, size, np.max, 0), size, np.min, 255)
-    opened = window(window(g, size, np.min, 255), size, np.max, 0)
-    return np.minimum(255, shut - g + g - opened)
+    shut = window(window(gray, size, np.maximum, 0), size, np.minimum, 255)
+    opened = window(window(gray, size, np.minimum, 255), size, np.maximum, 0)
+    return np.minimum(255, shut.astype(int) - opened)
 
 
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
