@@ -163,3 +163,19 @@ def heavy_split(facts: DataFrame, dimension: DataFrame, key: str, weight: str, t
     mark = heavy.select(F.col(key).alias("_heavy"))
     rest = facts.join(F.broadcast(mark), F.col(key) == F.col("_heavy"), "left_anti")
     return facts.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+
+
+#: For texts of bytes whose terms are runs of ASCII letters and digits and of all beyond ASCII: what separates terms becomes
+#: a blank, A-Z small letters. A stretch is cut at a blank, so that a very long text isn't listed whole.
+TERM_BYTES = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
+STRETCH = 1 << 20
+
+
+def term_lists(data: bytes | None):
+    """The terms of a text in order, in lists of about a stretch each."""
+    clean, start = (data or b"").translate(TERM_BYTES), 0
+    while start < len(clean):
+        end = clean.find(b" ", start + STRETCH)
+        end = len(clean) if end < 0 else end
+        yield clean[start:end].split()
+        start = end

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, cotraining, exact_dedup, lattice, line_dedup, mixing, ngram_join, sharding, toxicity, webp
+from . import bpe, cotraining, exact_dedup, lattice, line_dedup, mixing, ngram_join, pii, resampling, search, sharding, toxicity, webp
 from .common import documents
 
 
 def labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
+
+def benchmark(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 QUERIES = {
     "op1_sharding": lambda spark, sf_dir: sharding.sharding(documents(spark, sf_dir)),
     "op2_quality_classifier": lambda spark, sf_dir: cotraining.quality(documents(spark, sf_dir), labels(spark, sf_dir)),
@@ -20,6 +25,9 @@ QUERIES = {
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
     "op9_line_dedup": lambda spark, sf_dir: line_dedup.line_report(documents(spark, sf_dir)),
     "op10_media_webp": lambda spark, sf_dir: webp.media_columns(documents(spark, sf_dir)),
+    "op11_ranked_search": lambda spark, sf_dir: search.ranked(documents(spark, sf_dir), benchmark(spark, sf_dir)),
+    "op12_pii": lambda spark, sf_dir: pii.report(documents(spark, sf_dir)),
+    "op13_resampling": lambda spark, sf_dir: resampling.resampled(documents(spark, sf_dir), benchmark(spark, sf_dir)),
 }
 
 ORACLE_SQL = {
@@ -27,4 +35,6 @@ ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op6_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_ranked_search": search.ORACLE_SQL,
+    "op13_resampling": resampling.ORACLE_SQL,
 }
