@@ -569,7 +569,7 @@ def edge_marks(spark, sf_dir):
 # Logs.
 
 LINES_SQL = """g AS (SELECT user_id AS job, event_id AS line_no, CASE event_type WHEN 'signup' THEN '[main] loading VAE' WHEN 'view' THEN '[extract] image a/b' || event_id || '.png: ok'
-  WHEN 'click' THEN '[run] identity ' || (event_id % 9) || '/9' WHEN 'purchase' THEN 'saved new mod ''m' || event_id || ''' (' || event_id || ' tokens, 1.5 MB) -> out/' || event_id WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN '[job error] x' ELSE 'token cap reached' END END AS line FROM events)"""
+  WHEN 'click' THEN '[run] identity ' || (event_id % 9) || '/9' WHEN 'purchase' THEN 'saved new mod ''m' || event_id || ''' (' || event_id || ' tokens, 1.5 MB) -> out/' || event_id WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN '[studio] error: x' ELSE 'token cap reached' END END AS line FROM events)"""
 
 
 def lines(spark, sf_dir):
@@ -578,7 +578,7 @@ def lines(spark, sf_dir):
         F.when(kind == "signup", "[main] loading VAE").when(kind == "view", F.concat(F.lit("[extract] image a/b"), i, F.lit(".png: ok")))
         .when(kind == "click", F.concat(F.lit("[run] identity "), (F.col("event_id") % 9).cast("string"), F.lit("/9")))
         .when(kind == "purchase", F.concat(F.lit("saved new mod 'm"), i, F.lit("' ("), i, F.lit(" tokens, 1.5 MB) -> out/"), i))
-        .when(kind == "error", F.when(F.col("event_id") % 2 == 0, "[job error] x").otherwise("token cap reached"))
+        .when(kind == "error", F.when(F.col("event_id") % 2 == 0, "[studio] error: x").otherwise("token cap reached"))
     )
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("line_no"), text.alias("line"))
 
@@ -588,16 +588,16 @@ def log_parse(spark, sf_dir):
     return logs.saved(lines(spark, sf_dir)).select("job", "name", "token_count", "mb", "path")
 
 
-@query("log_progress", f"""WITH {LINES_SQL}, s AS (SELECT *, CASE WHEN line LIKE '%error]%' THEN 'error' WHEN line LIKE '%loading VAE%' THEN 'loading' WHEN line LIKE '[extract]%' THEN 'encoding' WHEN line LIKE '%identity%' THEN 'refining' WHEN line LIKE '%token cap%' THEN 'fitting' WHEN line LIKE 'saved%' THEN 'saved' END AS st FROM g),
+@query("log_progress", f"""WITH {LINES_SQL}, s AS (SELECT *, CASE WHEN line LIKE '%[studio] error%' THEN 'error' WHEN line LIKE '%loading VAE%' THEN 'loading_vae' WHEN line LIKE '[extract]%' THEN 'encoding' WHEN line LIKE '%identity%' THEN 'refining' WHEN line LIKE '%token cap%' THEN 'fitting' WHEN line LIKE 'saved%' THEN 'saved' END AS st FROM g),
 a AS (SELECT job, arg_max(st, line_no) AS stage, count(*) FILTER (st = 'encoding') AS encoded, coalesce(arg_max('b' || line_no || '.png', line_no) FILTER (st = 'encoding'), '') AS current, coalesce(arg_max(line_no % 9, line_no) FILTER (st = 'refining'), 0) AS step FROM s GROUP BY job)
 SELECT job, stage, encoded, 'image' AS kind, current, step, CASE WHEN step = 0 AND job NOT IN (SELECT job FROM s WHERE st = 'refining') THEN 0 ELSE 9 END::BIGINT AS steps, greatest(3, encoded) AS total,
-  CASE stage WHEN 'loading' THEN 6 WHEN 'encoding' THEN least(92, 8 + 84 * encoded // greatest(3, encoded)) WHEN 'refining' THEN least(96, 8 + 84 * greatest(encoded - 1, 0) // 3 + floor(28.0 * step / 9)) WHEN 'fitting' THEN 96 WHEN 'saved' THEN 100 ELSE 0 END::BIGINT AS percent FROM a""")
+  CASE stage WHEN 'loading_vae' THEN 6 WHEN 'encoding' THEN least(92, 8 + 84 * encoded // greatest(3, encoded)) WHEN 'refining' THEN least(96, 8 + 84 * greatest(encoded - 1, 0) // 3 + floor(28.0 * step / 9)) WHEN 'fitting' THEN 96 WHEN 'saved' THEN 100 ELSE 0 END::BIGINT AS percent FROM a""")
 def log_progress(spark, sf_dir):
     said = lines(spark, sf_dir)
     return logs.progress(said, said.select("job").distinct().withColumn("total", F.lit(3).cast("long")))
 
 
-@query("stream_progress", f"""WITH {LINES_SQL}, s AS (SELECT *, CASE WHEN line LIKE '%error]%' THEN 'error' WHEN line LIKE '%loading VAE%' THEN 'loading' WHEN line LIKE '[extract]%' THEN 'encoding' WHEN line LIKE '%identity%' THEN 'refining' WHEN line LIKE '%token cap%' THEN 'fitting' WHEN line LIKE 'saved%' THEN 'saved' END AS st FROM g)
+@query("stream_progress", f"""WITH {LINES_SQL}, s AS (SELECT *, CASE WHEN line LIKE '%[studio] error%' THEN 'error' WHEN line LIKE '%loading VAE%' THEN 'loading_vae' WHEN line LIKE '[extract]%' THEN 'encoding' WHEN line LIKE '%identity%' THEN 'refining' WHEN line LIKE '%token cap%' THEN 'fitting' WHEN line LIKE 'saved%' THEN 'saved' END AS st FROM g)
 SELECT job, coalesce(arg_max(st, line_no) FILTER (st IS NOT NULL), 'starting') AS stage, count(*) FILTER (st = 'encoding') AS encoded, coalesce(arg_max(line_no % 9, line_no) FILTER (st = 'refining'), 0) AS step, count(*) AS lines FROM s GROUP BY job""")
 def stream_progress(spark, sf_dir):
     """The same fold as a streaming aggregation, here over the table as it is; tests run it as a stream."""

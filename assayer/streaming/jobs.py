@@ -22,7 +22,7 @@ def state(lines: DataFrame, totals: DataFrame | None = None, job: str = "job", o
     row of a streaming aggregation and lines may come late. `totals` (job, total) is a static table; without it a job
     has at least `least` files.
     """
-    found = logs.folded(lines, job, order)
+    found = logs.folded(lines, job, order).drop("lines")
     known = found.withColumn("total", F.lit(least).cast("long")) if totals is None else found.join(totals, job, "left").na.fill({"total": least})
     done = logs.percent(F.col("stage"), F.col("encoded"), F.col("total"), F.col("step"), F.col("steps"))
     return known.withColumn("percent", done).withColumn("total", F.greatest("total", "encoded"))

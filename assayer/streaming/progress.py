@@ -11,17 +11,10 @@ from ..operators import logs
 def progress_stream(lines: DataFrame, job: str = "job", order: str = "line_no") -> DataFrame:
     """The state of every job as its lines come in, from a streaming or static frame (job, line_no, line).
 
-    All figures are maxima by line number or counts, so the state of a job is one small row of an ordinary streaming
-    aggregation, and lines may come late or out of order. Use output mode "update" or "complete".
+    It is the fold of `logs`, whose state of a job is one small row of an ordinary streaming aggregation, so lines may come
+    late or out of order. Use output mode "update" or "complete".
     """
-    said = lines.withColumn("_s", logs.stage(F.col("line")))
-    known = F.col("_s").isNotNull()
-    step = F.col("_s") == "refining"
-    return said.groupBy(job).agg(
-        F.coalesce(F.max_by(F.when(known, F.col("_s")), F.when(known, F.col(order))), F.lit("starting")).alias("stage"),
-        F.count_if(F.coalesce(F.col("_s") == "encoding", F.lit(False))).alias("encoded"),
-        F.coalesce(F.max_by(F.when(step, F.regexp_extract("line", logs.IDENTITY, 1).try_cast("long")), F.when(step, F.col(order))), F.lit(0)).alias("step"),
-        F.count("*").alias("lines"))
+    return logs.folded(lines, job, order).select(job, "stage", "encoded", "step", "lines")
 
 
 def hourly(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:

@@ -134,7 +134,7 @@ def test_laplacian_of_reflected_borders(spark):
 
 
 def test_overruled_stages(spark):
-    said = ["[main] loading VAE", "[extract] image x/a.png: ok", "[job error] out of memory", "[extract] video b.mp4: ok", "identity 3/9"]
+    said = ["[main] loading VAE", "[extract] image x/a.png: ok", "[studio] error: out of memory", "[extract] video b.mp4: ok", "[RUN] identity 3/9"]
     df = spark.createDataFrame([("j", k, x) for k, x in enumerate(said)], "job string, line_no long, line string")
     r = logs.progress(df, spark.createDataFrame([("j", 4), ("k", 2)], "job string, total long")).orderBy("job").collect()
     assert (r[0].stage, r[0].encoded, r[0].current, r[0].kind, r[0].step, r[0].steps, r[0].percent) == ("refining", 2, "b.mp4", "video", 3, 9, 8 + 21 + 7)

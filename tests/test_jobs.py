@@ -13,7 +13,7 @@ from assayer.streaming import jobs
 
 
 def test_stream_and_table_agree(spark, tmp_path):
-    said = [("a", 0, "[main] loading VAE"), ("a", 1, "[extract] image x/b1.png: ok"), ("b", 0, "[job error] x"), ("b", 1, "[run] identity 2/9"),
+    said = [("a", 0, "[main] loading VAE"), ("a", 1, "[extract] image x/b1.png: ok"), ("b", 0, "[studio] error: x"), ("b", 1, "[run] identity 2/9"),
             ("a", 2, "[extract] video x/c.mp4: ok"), ("c", 0, "nothing"), ("a", 3, "token cap reached")]
     (tmp_path / "in").mkdir()
     for k, part in enumerate((said[:3], said[3:])):
@@ -83,3 +83,21 @@ def test_uploads_and_walks(spark):
     assert [(r.ord, r.file, bytes(r.content)) for r in rows.orderBy("ord").collect()] == [(0, "a.PNG", b"1"), (2, "c.mp4", b"3")]
     found = spark.createDataFrame([(p,) for p in ("file:/.root/m/a.safetensors", "file:/.root/m/.git/b.safetensors", "file:/.root/m/x/.h/c.safetensors", "file:/.root/m/x/d.safetensors")], "path string")
     assert sorted(r.below for r in files.walked(found, "file:///.root/m").collect()) == ["a.safetensors", "x/d.safetensors"]
+
+
+def test_a_real_log(spark):
+    """Lines as jobs write them: the error, the tag before a step, a mere "identity 3/9" that says nothing, and the last status."""
+    said = ["[studio] python extract.py --mode training", "[RefPack] loading VAE from /models/vae", "[extract] image /data/a/01.png: 768x768", "[RefPack] identity 3/40",
+            "identity 39/40", "[extract] video /data/a/clip 2.mp4: 33 frames", "[studio] error: extractor exited with 1"]
+    lines = spark.createDataFrame([("j", k, t) for k, t in enumerate(said)] + [("k", k, t) for k, t in enumerate(said[:4])], jobs.LINES)
+    totals = spark.createDataFrame([("j", 2, "running"), ("k", 2, "running"), ("none", 5, "running")], "job string, total long, status string")
+    got = {r.job: r for r in logs.progress(lines, totals).collect()}
+    assert (got["j"].stage, got["j"].percent, got["j"].encoded, got["j"].current, got["j"].kind) == ("error", 0, 2, "clip 2.mp4", "video")
+    assert (got["k"].stage, got["k"].step, got["k"].steps, got["k"].percent) == ("refining", 3, 40, 8 + int(42 * 3 / 40))
+    assert (got["none"].stage, got["none"].percent) == ("starting", 1)
+    for status, want in (("done", ("saved", 100)), ("error", ("error", 0))):
+        rows = logs.progress(lines, totals.withColumn("status", F.lit(status))).collect()
+        assert {(r.stage, r.percent) for r in rows} == {want}
+    other = logs.Patterns(error="boom", identity=r"step (\d+) of (\d+)")
+    odd = spark.createDataFrame([("x", 0, "boom"), ("x", 1, "step 2 of 4")], jobs.LINES)
+    assert logs.folded(odd, patterns=other).select("stage", "step", "steps").first() == ("refining", 2, 4)
