@@ -5,7 +5,7 @@ folders `job=<job>`. Its offset is, per file, the byte after the last line feed:
 the next batch. Files go by their number in the file system and their first line, so that one that is rotated away is read on
 under its new name. A batch lists byte ranges, cut into chunks, and tasks read those; no line passes through the driver.
 
-The first time that a file is seen it gets the next generation of its job, recorded in a file of its own, so that (generation,
+The first time that a file is seen it gets the next generation of its job, recorded in a registry beside, so that (generation,
 byte) orders the lines of a job over rotations and restarts. A file whose content was replaced in place is a new one if its
 first line is another one. Lines that were to be read and whose file is gone fail the batch.
 """
@@ -77,6 +77,7 @@ class LogReader(DataSourceStreamReader):
         self.registry = local(options.get("registry", os.path.join(self.folder, ".generations")))
         self.chunk = int(options.get("chunk", CHUNK))
         self.known: dict[str, tuple[str, int]] = {}
+        self.read_to = ""
 
     def found(self) -> dict[str, tuple[str, str, int]]:
         """Of each file that has a line: identity, and path, job and number of its rotation."""
@@ -95,27 +96,24 @@ class LogReader(DataSourceStreamReader):
         return out
 
     def generations(self, files: dict) -> None:
-        """Records the files that are new, the oldest of a job first."""
-        unknown = [i for i in files if i not in self.known]
-        if unknown and os.path.isdir(self.registry):
-            for name in os.listdir(self.registry):
-                if name in files and name not in self.known:
-                    with open(os.path.join(self.registry, name)) as f:
-                        said = json.load(f)
-                    self.known[name] = said["job"], said["generation"]
-        new = sorted((i for i in unknown if i not in self.known), key=lambda i: (files[i][1], -files[i][2], files[i][0]))
-        if not new:
-            return
-        last: dict[str, int] = {}
-        for name in os.listdir(self.registry) if os.path.isdir(self.registry) else []:
-            with open(os.path.join(self.registry, name)) as f:
-                said = json.load(f)
-            last[said["job"]] = max(last.get(said["job"], -1), said["generation"])
-        for i in new:
-            job = files[i][1]
-            last[job] = last.get(job, -1) + 1
-            create_exclusively(os.path.join(self.registry, i), json.dumps({"job": job, "generation": last[job]}))
-            self.known[i] = job, last[job]
+        """Records the files that are new, the oldest of a job first, in one more file of the registry; it is read again if another
+        stream has taken that file's number."""
+        while any(i not in self.known for i in files):
+            names = sorted(os.listdir(self.registry)) if os.path.isdir(self.registry) else []
+            for name in (n for n in names if n.endswith(".json") and n > self.read_to):
+                with open(os.path.join(self.registry, name)) as f:
+                    self.known |= {i: tuple(x) for i, x in json.load(f).items()}
+                self.read_to = name
+            last: dict[str, int] = {}
+            for job, generation in self.known.values():
+                last[job] = max(last.get(job, -1), generation)
+            new = {}
+            for i in sorted((i for i in files if i not in self.known), key=lambda i: (files[i][1], -files[i][2], files[i][0])):
+                job = files[i][1]
+                last[job] = last.get(job, -1) + 1
+                new[i] = job, last[job]
+            if new:
+                create_exclusively(os.path.join(self.registry, f"{int(self.read_to[:-5] or 0) + 1:012}.json"), json.dumps(new))
 
     def initialOffset(self) -> dict:
         return {"files": {}}
