@@ -163,43 +163,6 @@ def grown_together(b: np.ndarray, w: float, h: float, gap: float, most: tuple[fl
     return now
 
 
-def consensus(boxes: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
-    """(by, file, x0..y1, count): boxes that files lack though enough others have them.
-
-    Boxes join the first cluster whose first box they overlap; a cluster of max(2, floor(0.35 * files)) boxes is given to
-    every file of the group that has no box in it and none that overlaps its first one.
-    """
-    listed = files.groupBy(*by).agg(F.sort_array(F.collect_set("file")).alias("files"))
-
-    def overlap(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-        side = np.maximum(0, np.minimum(box[2:], others[:, 2:]) - np.maximum(box[:2], others[:, :2]))
-        both = side[:, 0] * side[:, 1]
-        area = lambda x: np.maximum(1e-9, (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1]))
-        return both / (area(box) + area(others) - both)
-
-    def run(rows) -> list[tuple]:
-        b, owner, everyone = as_boxes(rows), [r["file"] for r in rows], list(rows[0]["files"])
-        if len(set(owner)) < 2:
-            return []
-        firsts, members = np.empty_like(b), []
-        for k in range(len(b)):
-            fits = overlap(b[k], firsts[: len(members)]) >= T.SAME_BOX
-            if fits.any():
-                members[int(fits.argmax())].append(k)
-            else:
-                firsts[len(members)] = b[k]
-                members.append([k])
-        out = []
-        for first, mine in zip(firsts, members, strict=False):  # as many firsts as clusters
-            if len(mine) >= max(T.CONSENSUS_LEAST, int(T.CONSENSUS_SHARE * len(everyone))):
-                has = {owner[k] for k in [*mine, *np.flatnonzero(overlap(first, b) >= T.SAME_BOX)]}
-                out += [(f, *map(float, first), len(mine)) for f in everyone if f not in has]
-        return out
-
-    rows = boxes.select(*by, "file", "ord", *BOX).join(listed, by)
-    return per_group(rows, by, ["file", "ord", *BOX, "files"], run, "file: string, x0: double, y0: double, x1: double, y1: double, count: long")
-
-
 # Recursive splits of sheets, on arrays.
 
 

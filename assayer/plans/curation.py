@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import thresholds as T
-from ..operators import catalog, geometry, kernels, library, logs, marks, quality, selection
+from ..operators import agreement, catalog, geometry, kernels, library, logs, marks, quality, selection
 from ..streaming import progress as streaming
 
 QUERIES: dict = {}
@@ -533,7 +533,7 @@ has AS (SELECT big.dataset, big.grp, g.file FROM big JOIN g ON g.dataset = big.d
 SELECT big.dataset, files.file, x0, y0, x1, y1, count FROM big JOIN files USING (dataset) WHERE (big.dataset, grp, files.file) NOT IN (SELECT dataset, grp, file FROM has)""")
 def consensus(spark, sf_dir):
     lines = boxes(spark, sf_dir).withColumns({"dataset": F.col("page") % 100, "file": (F.col("page") % 1000).cast("string"), "ord": F.col("id")})
-    return geometry.consensus(lines, lines.select("dataset", "file"), ["dataset"])
+    return agreement.consensus(lines, lines.select("dataset", "file"), ["dataset"])
 
 
 @query("split_region")

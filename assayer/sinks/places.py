@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,3 +24,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     if "://" not in folder:
         os.makedirs(folder, exist_ok=True)
     return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that the cluster shares: rows of a round survive the loss of any executor."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)

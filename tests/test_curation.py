@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import expressions as X
 from assayer.functions import thresholds as T
-from assayer.operators import catalog, geometry, kernels, library, logs, quality
+from assayer.operators import agreement, catalog, geometry, kernels, library, logs, quality
 from assayer.plans import curation
 from assayer.streaming import progress
 
@@ -111,7 +111,7 @@ def test_consensus(spark):
     rows = [("d", f"f{k}", 0, *box) for k in range(4)] + [("d", "f5", 0, 0.7, 0.7, 0.9, 0.9)]
     files = spark.createDataFrame([("d", f"f{k}") for k in range(8)], "dataset string, file string")
     df = spark.createDataFrame(rows, "dataset string, file string, ord long, x0 double, y0 double, x1 double, y1 double")
-    got = geometry.consensus(df, files, ["dataset"]).collect()
+    got = agreement.consensus(df, files, ["dataset"]).collect()
     assert {r.file for r in got} == {"f4", "f5", "f6", "f7"} and {r["count"] for r in got} == {4}
 
 
