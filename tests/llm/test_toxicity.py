@@ -85,3 +85,33 @@ def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
     labels = spark.range(60).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10_500)
     assert toxicity.labelled(docs, labels).count() == 10
+
+
+def test_a_huge_text_is_passed_over_alone(spark):
+    """The first of the order doesn't fit; all others do, and the last ones that fit are taken too."""
+    labels = spark.range(60).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('x', 1000) AS text")
+    first = toxicity.labelled(docs, labels).first().doc_id
+    docs = docs.selectExpr("doc_id", f"CASE WHEN doc_id = {first} THEN repeat('y', 20000) ELSE text END AS text")
+    eligible = sum(toxicity.id_crc(i) % 5 != 0 for i in range(60))
+    got = toxicity.labelled(docs, labels, sample_bytes=10_500).collect()
+    assert len(got) == 10 and first not in {r.doc_id for r in got}
+    assert toxicity.labelled(docs, labels, sample_bytes=19_999).count() == 19 and toxicity.labelled(docs, labels, sample_bytes=50_000).count() == 31
+    assert toxicity.labelled(docs, labels).count() == eligible
+
+
+def test_repeated_rows_and_ties_of_the_sample(spark):
+    """Rows that repeat a document and its text count once, other texts of it each; the choice doesn't depend on the order of rows."""
+    rows = [(7, "a")] * 500 + [(7, "b"), (8, None), (8, ""), (9, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (7, 8, 9, 9)], "doc_id long, toxic int")
+    known = [i for i in (7, 8, 9) if toxicity.id_crc(i) % 5]
+    want = {(i, t or "") for i, t in rows if i in known}
+    for d in (docs, docs.repartition(7)):
+        got = [(r.doc_id, r.text) for r in toxicity.labelled(d, labels).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert [(r.doc_id, r.text) for r in toxicity.labelled(d, labels, 2).collect()] == got[:2] or len(known) < 2
+
+
+def test_those_that_fit():
+    assert toxicity.that_fit([5, 100, 3, 3, 1], 10) == [0, 2, 4] and toxicity.that_fit([], 1) == [] and toxicity.that_fit([2], 1) == []
