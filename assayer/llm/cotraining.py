@@ -241,7 +241,7 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pool_of(docs: DataFrame, known: DataFrame) -> Spread:
-    """All rows of documents that have an identifier but no label."""
+    """All rows of documents that have no label; those without identifier have none."""
 
     def run(batches):
         for b in in_parts(batches):
@@ -249,8 +249,9 @@ def pool_of(docs: DataFrame, known: DataFrame) -> Spread:
             out = [packed(text_view(t.as_py()), page_view(*p)) for t, p in zip(b.column("text"), pages, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "views"])
 
-    rows = docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, views binary").join(known.select("doc_id"), "doc_id", "left_anti")
-    return Spread(rows.select((seeded_hash(43, id_text()) / float(1 << 60)).alias("tie"), "views"))
+    rows = docs.mapInArrow(run, "doc_id long, views binary").join(known.select("doc_id"), "doc_id", "left_anti")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5("views")))
+    return Spread(rows.select((seeded_hash(43, own) / float(1 << 60)).alias("tie"), "views"))
 
 
 def viewed(docs: DataFrame, keep: str | None) -> DataFrame:
@@ -271,8 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = seeded_hash(43, id_text())
     chosen = known.where(id_crc_col() % FOLDS != HELD).orderBy(order, "doc_id").limit(sample)
-    taught = docs.join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id").limit(sample)
-    rows = sorted(viewed(taught, "quality").collect(), key=lambda r: (r.doc_id, r.text))
+    taught = viewed(docs.join(F.broadcast(chosen), "doc_id"), "quality").orderBy(order, "doc_id", "text", "page").limit(sample)  # numbers, no texts
+    rows = sorted(taught.collect(), key=lambda r: (r.doc_id, r.text))
     apart = np.array([id_crc(r.doc_id) // FOLDS % 4 == 0 for r in rows], bool)
     y = np.array([float(r.quality > 0) for r in rows])
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:

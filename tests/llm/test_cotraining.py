@@ -101,3 +101,11 @@ def test_page_figures_by_definition():
     got = cotraining.page_view("en", "src1", 100)
     assert got[:3] == [1.0, math.log(101) / 10, 0.0] and sum(got[3:]) == 2.0
     assert cotraining.page_view(None, None, None)[:3] == [1.0, 0.0, 1.0]
+
+
+def test_rows_without_identifier_are_in_the_pool(spark):
+    docs = spark.createDataFrame([(None, "a b", "en", "s", 3), (None, "c", "en", "s", 1), (1, "d", "en", "s", 1), (2, "e", "de", "s", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    pool = cotraining.pool_of(docs, known).rows.collect()
+    assert len(pool) == 3 and len({r.tie for r in pool}) == 3
