@@ -7,9 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import paths as P
+from ..sinks.places import checkpointed
+
+
+def in_line(rows: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """Numbers all rows from 1 in an order, without one task that has them all: rows are sorted by ranges and kept, and a row's
+    place is its place in its range after the rows of all ranges before, whose sizes are a table of one row per task."""
+    kept = checkpointed(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    split = kept.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = split.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    return split.join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_start") + F.col("_at") + 1).cast("long").alias(place))
+
+
+def in_line_by(rows: DataFrame, by: list[str], order: list[Column], place: str = "place") -> DataFrame:
+    """Numbers the rows of every group from 1. All are sorted by ranges of group and order, so a large group is in many tasks."""
+    lined = in_line(rows, [*by, *order], "_place")
+    firsts = lined.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.min("_place").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+    return lined.join(firsts, same).select(*rows.columns, (F.col("_place") - F.col("_first") + 1).alias(place))
 
 
 def placed(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Numbers the rows of every group by a window; all rows, if there is nothing to group by, by ranges."""
+    if not by:
+        return in_line(rows, order)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import thresholds as T
+from . import listing
 
 MEASURES = ("variance", "eyes", "box_side", "image_side", "mean", "clipped", "split", "yaw", "pitch", "face_share", "eyes_share")
 
@@ -34,18 +35,10 @@ def scored(features: DataFrame) -> DataFrame:
 def ranked(rows: DataFrame, by: list[str], name: str = "name") -> DataFrame:
     """Rank within groups: score descending, null last, then lower-cased name.
 
-    Rows are numbered within their score only (it has one place after the point), and the rows above a score come from a
-    small table of counts, so a group of any size is dealt to as many tasks as it has scores.
+    Most rows may share a score (0 where a still failed, none where there is none), and a group may have most of the rows, so all
+    are sorted by ranges of the whole order.
     """
-    level = F.coalesce("score", F.lit(-1.0))
-    levels = rows.groupBy(*by, level.alias("_level")).agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.desc("_level"))) - F.col("_n")
-    levels = levels.withColumn("_above", above).drop("_n")
-    w = Window.partitionBy(*by, "_level").orderBy(F.lower(name), name)
-    leveled = rows.withColumn("_level", level)
-    same = [leveled[c].eqNullSafe(levels[c]) for c in [*by, "_level"]]
-    joined = leveled.join(levels, same).select(*(leveled[c] for c in [*rows.columns, "_level"]), "_above")
-    return joined.withColumn("rank", (F.col("_above") + F.row_number().over(w)).cast("long")).drop("_level", "_above")
+    return listing.in_line_by(rows, by, [F.desc(F.coalesce("score", F.lit(-1.0))), F.lower(name), F.col(name)], "rank")
 
 
 #: What a score's details are unless they were measured.

@@ -71,8 +71,8 @@ def same_files(spark, sf_dir):
 @query("folder_orders", f"""WITH {PATH_SQL}, s AS (SELECT DISTINCT array_to_string(string_split(path, '/')[:-2], '/') AS folder FROM p), d AS (SELECT folder, CASE WHEN folder = '' THEN 0 ELSE len(string_split(folder, '/')) END AS depth FROM s)
 SELECT folder, row_number() OVER (ORDER BY depth, lower(folder), folder) AS place, row_number() OVER (ORDER BY depth DESC, lower(folder), folder) AS removal FROM d""")
 def folder_orders(spark, sf_dir):
-    folders = paths(spark, sf_dir).select(P.parent(F.col("path")).alias("folder"), lit(0).alias("one")).distinct()
-    return listing.folder_order(listing.folder_order(folders, ["one"]).withColumnRenamed("place", "up"), ["one"], True).select("folder", F.col("up").alias("place"), F.col("place").alias("removal"))
+    folders = paths(spark, sf_dir).select(P.parent(F.col("path")).alias("folder")).distinct()
+    return listing.folder_order(listing.folder_order(folders, []).withColumnRenamed("place", "up"), [], True).select("folder", F.col("up").alias("place"), F.col("place").alias("removal"))
 
 
 @query("folder_vocabulary", f"WITH {PATH_SQL} SELECT folder FROM (SELECT array_to_string(string_split(path, '/')[:-2], '/') AS folder FROM p UNION SELECT r_name FROM region UNION SELECT DISTINCT source FROM documents) WHERE folder <> ''")
@@ -385,8 +385,8 @@ def library_search(spark, sf_dir):
 @query("prompt_groups", """WITH h AS (SELECT role, conv_id * 1000 + turn AS o FROM conversations WHERE contains(lower(concat_ws(' ', role, text)), 'the')), g AS (SELECT role, count(*) AS n, min(o) AS first_seen FROM h GROUP BY role)
 SELECT role, n, first_seen, row_number() OVER (ORDER BY first_seen, role) AS place FROM g""")
 def prompt_groups(spark, sf_dir):
-    found = catalog.search(table(spark, sf_dir, "conversations"), " The ", ("role", "text")).withColumns({"o": F.col("conv_id") * 1000 + F.col("turn"), "one": lit(0)})
-    return listing.grouped_in_order(found, ["one"], "role", "o").drop("one")
+    found = catalog.search(table(spark, sf_dir, "conversations"), " The ", ("role", "text")).withColumn("o", F.col("conv_id") * 1000 + F.col("turn"))
+    return listing.grouped_in_order(found, [], "role", "o")
 
 
 @query("wanted_files", "SELECT doc_id FROM documents WHERE 'f' || doc_id IN (SELECT 'f' || item_id FROM benchmark)")
@@ -504,8 +504,8 @@ def sheet_order(spark, sf_dir):
 @query("card_order", """WITH c AS (SELECT s_suppkey, s_nationkey AS folder, 'S' || s_suppkey AS slug, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS shown FROM supplier), d AS (SELECT *, lower(CASE WHEN shown = '' THEN slug ELSE shown END) AS k FROM c)
 SELECT s_suppkey, row_number() OVER (ORDER BY k, slug) AS place, row_number() OVER (ORDER BY folder, k, slug) AS in_library FROM d""")
 def card_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("subfolder"), F.concat(lit("S"), text("s_suppkey")).alias("slug"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name")).alias("display_name"), lit(0).alias("one"))
-    return listing.card_order(listing.card_order(rows, ["one"], True).withColumnRenamed("place", "in_library"), ["one"]).select("s_suppkey", "place", "in_library")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("subfolder"), F.concat(lit("S"), text("s_suppkey")).alias("slug"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name")).alias("display_name"))
+    return listing.card_order(listing.card_order(rows, [], True).withColumnRenamed("place", "in_library"), []).select("s_suppkey", "place", "in_library")
 
 
 @query("largest_face", f"""WITH {BOX_SQL} SELECT page, arg_max(id, struct_pack(a := (x1 - x0) * (y1 - y0), i := -id)) AS id, count(*) AS n FROM b GROUP BY page""")

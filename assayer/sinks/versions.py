@@ -99,11 +99,13 @@ class Staged(WriterCommitMessage):
 
 class VersionWriter(DataSourceArrowWriter):
     """Stages Arrow batches; of options, `path`, `base` (the version that the rows were made from), `write` (a name of its
-    own), `keep` (whether the files of the base stay) and `content` (a column of bytes that become files)."""
+    own), `keep` (whether the files of the base stay), `content` (a column of bytes that become files) and `fence` (of a lease that
+    must not be lost when the version is published)."""
 
     def __init__(self, options: dict, schema: StructType):
         self.path, self.base, self.write_id = local(options["path"]), int(options["base"]), options["write"]
         self.keep, self.content, self.schema = options.get("keep", "true") == "true", options.get("content"), schema
+        self.fence = options.get("fence")
 
     def write(self, iterator) -> Staged:
         import pyarrow as pa
@@ -148,6 +150,10 @@ class VersionWriter(DataSourceArrowWriter):
             "write": self.write_id, "base": self.base, "schema": kind, "rows": (old["rows"] if self.keep else 0) + sum(m.rows for m in messages if m),
             "files": (old["files"] if self.keep else []) + files,
         }
+        if self.fence:
+            from ..streaming.leases import fenced
+
+            fenced(self.fence)
         if latest(self.path) != self.base or not create_exclusively(os.path.join(self.path, "versions", f"{self.base + 1:012}.json"), json.dumps(made)):
             raise Conflict(CONFLICT)
         folder, listed = os.path.join(self.path, "data", self.write_id), set(files)
@@ -193,14 +199,15 @@ def with_content(rows: DataFrame, path: str, content: str) -> DataFrame:
     return rows.join(bytes_of, content, "left").select(*(F.col("_bytes").alias(c) if c == content else F.col(c) for c in rows.columns))
 
 
-def publish(rows: DataFrame, path: str, base: int, keep: bool = True, content: str | None = None) -> int:
+def publish(rows: DataFrame, path: str, base: int, keep: bool = True, content: str | None = None, fence: str | None = None) -> int:
     """Writes rows as the version after `base`, beside its rows or in their place; gives its number.
 
-    A failure of any row leaves the table as it was. If another version is there by then, this raises `Conflict`.
+    A failure of any row leaves the table as it was. If another version is there by then, this raises `Conflict`. With the fence of
+    a lease (`streaming.leases`), the write is refused if the lease has been lost when all rows are staged.
     """
     spark = rows.sparkSession
     spark.dataSource.register(Versions)
-    options = {"path": path, "base": str(base), "write": uuid.uuid4().hex, "keep": str(keep).lower()} | ({"content": content} if content else {})
+    options = {"path": path, "base": str(base), "write": uuid.uuid4().hex, "keep": str(keep).lower()} | ({"content": content} if content else {}) | ({"fence": fence} if fence else {})
     os.makedirs(os.path.join(local(path), "data", options["write"], *(["files"] if content else [])))
     try:
         rows.write.format("versions").options(**options).mode("append").save()
