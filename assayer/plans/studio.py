@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions import paths as P
 from ..functions import thresholds as T
-from ..operators import catalog, geometry, kernels, library, listing, logs, manifests, quality, selection
+from ..operators import catalog, geometry, kernels, library, listing, logs, manifests, quality, regions, selection
 from ..sinks import tables as sinks
 from ..sources import files, images
 from ..streaming import jobs
@@ -489,6 +489,17 @@ def job_report(spark, sf_dir):
     return logs.progress(lines(spark, sf_dir), totals).select("job", "status", "stage", "encoded", (F.col("percent") == 100).alias("full"))
 
 
+@query("blobs", """WITH RECURSIVE p AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding) AS v FROM embeddings), c AS (SELECT vec_id, k, k // 8 AS y, k % 8 AS x FROM p WHERE v < 0),
+r AS (SELECT vec_id, k AS root, k, y, x FROM c UNION SELECT c.vec_id, r.root, c.k, c.y, c.x FROM r JOIN c ON c.vec_id = r.vec_id AND abs(c.y - r.y) + abs(c.x - r.x) = 1),
+m AS (SELECT vec_id, k, y, x, min(root) AS root FROM r GROUP BY ALL)
+SELECT vec_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS pixels FROM m GROUP BY vec_id, root HAVING count(*) >= 2""")
+def blobs(spark, sf_dir):
+    """Regions of the dark pixels of patches of 8 by 8."""
+    rows = F.transform(F.sequence(lit(0), lit(7)), lambda y: F.transform(F.slice("embedding", y * 8 + 1, 8), lambda v: v < 0))
+    lines = regions.lines_of(table(spark, sf_dir, "embeddings"), ["vec_id"], rows)
+    return regions.regions(lines, ["vec_id"], area=2)
+
+
 # Listings.
 
 
