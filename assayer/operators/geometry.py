@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import thresholds as T
+from . import spreads
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -73,13 +74,16 @@ def strips(boxes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def without_slivers(boxes: DataFrame, by: list[str], share: float = 0.35) -> DataFrame:
-    """Boxes whose width, height and area reach a share of the median; all of them if none does."""
-    w = Window.partitionBy(*by)
-    sized = boxes.withColumns({"_w": F.col("x1") - F.col("x0"), "_h": F.col("y1") - F.col("y0")}).withColumn("_a", F.col("_w") * F.col("_h"))
-    good = F.lit(True)
-    for c in ("_w", "_h", "_a"):
-        good = good & (F.col(c) >= share * F.median(c).over(w))
-    return sized.withColumn("_good", good).withColumn("_any", F.max("_good").over(w)).where("_good OR NOT _any").drop("_w", "_h", "_a", "_good", "_any")
+    """Boxes whose width, height and area reach a share of the median; all of them if none does. A group may have most of the boxes."""
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    sides = {"_w": width, "_h": height, "_a": width * height}
+    rows = spreads.ranged(boxes, [*by, *BOX])
+    medians = spreads.quantiles(rows, by, sides, {"median": 0.5}).drop("_w_n", "_h_n", "_a_n")
+    good = functools.reduce(lambda a, b: a & b, (x >= share * F.col(f"{c}_median") for c, x in sides.items()))
+    told = spreads.joined(rows, spreads.of_ranges(rows, medians, by), by).withColumn("_good", good)
+    some = told.groupBy(*by).agg(F.max("_good").alias("_any"))
+    kept = spreads.joined(told, spreads.of_ranges(rows, some, by), by)
+    return kept.where("_good OR NOT _any").select(*boxes.columns)
 
 
 def per_group(rows: DataFrame, by: list[str], columns: list[str], kernel, ddl: str) -> DataFrame:

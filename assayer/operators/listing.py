@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions import paths as P
 from ..sinks.places import checkpointed
+from . import spreads
 
 
 def in_line(rows: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
@@ -21,11 +22,14 @@ def in_line(rows: DataFrame, order: list[Column], place: str = "place") -> DataF
 
 
 def in_line_by(rows: DataFrame, by: list[str], order: list[Column], place: str = "place") -> DataFrame:
-    """Numbers the rows of every group from 1. All are sorted by ranges of group and order, so a large group is in many tasks."""
-    lined = in_line(rows, [*by, *order], "_place")
-    firsts = lined.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.min("_place").alias("_first"))
-    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
-    return lined.join(firsts, same).select(*rows.columns, (F.col("_place") - F.col("_first") + 1).alias(place))
+    """Numbers the rows of every group from 1. All are sorted by ranges of group and order, so a large group is in many tasks; what a
+    range adds to a row's place in it is a row for every group that reaches into the range."""
+    kept = checkpointed(rows.orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id()))
+    split = kept.withColumn(spreads.RANGE, F.shiftright("_at", 33))
+    sizes = split.groupBy(spreads.RANGE, *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(spreads.RANGE)) - F.col("_n")
+    starts = sizes.select(spreads.RANGE, *by, "_first", before.alias("_before"))
+    return spreads.joined(split, starts, by).select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long").alias(place))
 
 
 def placed(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import thresholds as T
-from ..operators import agreement, catalog, geometry, kernels, library, logs, marks, quality, selection
+from ..operators import agreement, catalog, geometry, kernels, library, logs, marks, quality, selection, spreads
 from ..streaming import progress as streaming
 
 QUERIES: dict = {}
@@ -178,6 +178,14 @@ def pick_diverse(spark, sf_dir):
     return quality.pick_diverse(customers(spark, sf_dir), ["nation"])
 
 
+@query("price_spread", """SELECT l_returnflag, l_linenumber, count(*) AS n, round(max(l_extendedprice), 6) AS top, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(stddev_pop(l_extendedprice), 4) AS deviation
+FROM lineitem GROUP BY 1, 2""")
+def price_spread(spark, sf_dir):
+    """A few groups that have all rows."""
+    got = spreads.spread(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], F.col("l_extendedprice"))
+    return got.select("l_returnflag", "l_linenumber", "n", *(F.round(c, 6).alias(c) for c in ("top", "median", "p90")), F.round("deviation", 4).alias("deviation"))
+
+
 # Catalog: documents as items of their source.
 
 
@@ -192,7 +200,11 @@ def items(spark, sf_dir):
 
 ITEMS_SQL = """i AS (SELECT source AS slug, doc_id AS pos, coalesce(quality = 1, true) AS enabled, CASE WHEN doc_id % 5 = 0 THEN 'video' ELSE 'image' END AS kind, doc_id % 17 <> 0 AS present,
   n_chars, CASE lang WHEN 'en' THEN 'front' WHEN 'de' THEN 'profile' WHEN 'fr' THEN 'other' END AS shot, 'f' || doc_id AS file FROM documents LEFT JOIN labels USING (doc_id))"""
-HASH_SQL = ITEMS_SQL + """, h AS (SELECT slug, sha256(concat_ws(';', 'v1', coalesce(string_agg(file || ',' || n_chars, ';' ORDER BY pos) FILTER (enabled AND present), ''))) AS hash, count(*) FILTER (enabled AND present) AS enabled_files FROM i GROUP BY slug)"""
+HASH_SQL = ITEMS_SQL + """, t AS (SELECT slug, file || ',' || n_chars AS said, row_number() OVER (PARTITION BY slug ORDER BY pos) - 1 AS k FROM i WHERE enabled AND present),
+leaf AS (SELECT slug, k // 1024 AS leaf, sha256(string_agg(said, ';' ORDER BY k)) AS digest FROM t GROUP BY 1, 2),
+branch AS (SELECT slug, leaf // 1024 AS branch, sha256(string_agg(digest, ';' ORDER BY leaf)) AS digest FROM leaf GROUP BY 1, 2),
+root AS (SELECT slug, string_agg(digest, ';' ORDER BY branch) AS digests FROM branch GROUP BY 1),
+h AS (SELECT slug, sha256(concat_ws(';', 'v1', coalesce(any_value(digests), ''))) AS hash, count(*) FILTER (enabled AND present) AS enabled_files FROM i LEFT JOIN root USING (slug) GROUP BY slug)"""
 
 
 @query("dataset_cards", f"WITH {ITEMS_SQL} SELECT slug, count(*) FILTER (present AND kind = 'image') AS images, count(*) FILTER (present AND kind = 'video') AS videos, count(*) FILTER (present AND enabled) AS enabled, count(*) FILTER (present) AS total, count(*) FILTER (present AND kind = 'image' AND n_chars < 1024) AS low_res FROM i GROUP BY slug")
