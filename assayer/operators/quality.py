@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import thresholds as T
-from . import listing
+from ..sinks.places import checkpointed
+from . import listing, spreads
 
 MEASURES = ("variance", "eyes", "box_side", "image_side", "mean", "clipped", "split", "yaw", "pitch", "face_share", "eyes_share")
 
@@ -124,8 +125,10 @@ def advise(rows: DataFrame, by: list[str]) -> DataFrame:
     return every.unionByName(fine).withColumn("place", place).where("place <= 10").drop("ord")
 
 
-#: Most that diversity can add to a score and take from it, for a pick of n: the distance's cap, and n - 1 rows of one scale.
-FARTHEST, ALIKE = 25, 3
+#: Most that diversity can add to a score, what a degree of distance adds, and how much a tilt counts beside a turn.
+FARTHEST, A_DEGREE, TILT = 25.0, 1 / 3, 0.6
+#: Sides in degrees of the cells of poses, finest first, and steps of scores within which rows aren't told apart.
+SIDES, STEP = (1.0, 4.0, 16.0), 0.1
 
 
 def greedy(pool: pd.DataFrame, n: int, quotas: dict[str, int]) -> list[int]:
@@ -141,7 +144,7 @@ def greedy(pool: pd.DataFrame, n: int, quotas: dict[str, int]) -> list[int]:
     def take(k: int) -> None:
         out.append(k)
         free[k] = False
-        np.minimum(near, np.hypot(yaw - yaw[k], 0.6 * (pitch - pitch[k])), out=near)
+        np.minimum(near, np.hypot(yaw - yaw[k], TILT * (pitch - pitch[k])), out=near)
         alike[scale == scale[k]] += 1
 
     for p in T.POSES:
@@ -152,23 +155,43 @@ def greedy(pool: pd.DataFrame, n: int, quotas: dict[str, int]) -> list[int]:
     for s in [*steps, *[None] * n]:
         left = np.flatnonzero(free if s is None else free & (scale == s))
         if len(left) and len(out) < n:
-            gain = score[left] + (10 * np.minimum(near[left] / 30, FARTHEST / 10) - ALIKE * alike[left] if out else 0)
+            gain = score[left] + (10 * np.minimum(near[left] / 30, FARTHEST / 10) - 3 * alike[left] if out else 0)
             take(int(left[gain.argmax()]))
     return out
 
 
 def can_be_picked(rows: DataFrame, by: list[str], name: str, n: int) -> DataFrame:
-    """The rows that a pick of n may hold: of each scale the n + 1 best and all whose score is near enough to the n-th that
-    diversity could lift them above it, and of the close-ups the best of each pose. No other row can be picked, as n rows
-    of its own scale are always ahead of it."""
-    best = [F.desc("score"), F.lower(name), F.col(name)]
-    ranked = rows.withColumns({
-        "_k": F.row_number().over(Window.partitionBy(*by, F.coalesce("scale", F.lit(""))).orderBy(*best)),
-        "_p": F.row_number().over(Window.partitionBy(*by, "scale", "pose_bin").orderBy(*best))})
-    last = F.max(F.when(F.col("_k") == n, F.col("score"))).over(Window.partitionBy(*by, F.coalesce("scale", F.lit(""))))
-    reach = FARTHEST + ALIKE * (n - 1)
-    kept = (F.col("_k") <= n + 1) | F.col("_n").isNull() | (F.col("score") >= F.col("_n") - reach) | ((F.col("_p") == 1) & F.coalesce(F.col("scale") == "closeup", F.lit(False)))
-    return ranked.withColumn("_n", last).where(kept).drop("_k", "_p", "_n")
+    """The rows that a pick of n may hold.
+
+    Two rows of one scale whose poses lie in one cell differ by at most a cell's diameter in what diversity adds, so one whose
+    score leads by more is ahead as long as it isn't picked. A row therefore can't be picked
+    - if n + 1 rows of its scale and cell lead by that much (for all poses together: by all that distance may add), or
+    - if one does, and n + 1 rows of its scale lead by that much wherever they are: once the one is picked, the row is too close
+      to it to gain more than that, and one of the n + 1 is still free.
+    What leads is judged by counts per scale, cell and step of score, from the finest cells to the widest, so no task has the rows
+    of a group, and no row is joined to others. Close-ups of the best step of their pose stay too, as the pick begins with them.
+    """
+    u, v = (F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)) for x in (F.col("yaw").cast("double"), TILT * F.col("pitch").cast("double")))
+    cell = {"_scale": F.coalesce("scale", F.lit("")), "_u": F.floor(u / SIDES[0]), "_v": F.floor(v / SIDES[0]), "_step": F.floor(F.col("score") / STEP)}
+    placed = rows.withColumns(cell)
+    keys = [*by, *cell, "pose_bin"]
+    counts = checkpointed(placed.groupBy(*keys).agg(F.count("*").alias("_n")))
+    lead = lambda *keys: F.sum("_n").over(Window.partitionBy(*by, "_scale", *keys).orderBy(F.desc("_step")))
+    of_scale = counts.groupBy(*by, "_scale", "_step").agg(F.sum("_n").alias("_n")).withColumn("_lead", lead())
+    enough = of_scale.where(F.col("_lead") >= n + 1).groupBy(*by, "_scale").agg(F.max("_step").alias("_best"))
+    closeup = F.when(F.col("_scale") == "closeup", F.col("_step"))
+    first = F.coalesce(closeup == F.max(closeup).over(Window.partitionBy(*by, "pose_bin", "_scale")), F.lit(False))
+    left = spreads.matched(counts, enough, [*by, "_scale"], "left").withColumn("_first", first)
+    behind = lambda step, reach: F.coalesce(F.col(step) - reach / STEP >= F.col("_step") + 1, F.lit(False))
+    left = left.where(F.col("_first") | ~behind("_best", FARTHEST + 1e-6))
+    for side in SIDES:
+        reach = side * 2**0.5 * A_DEGREE + 1e-6
+        wide = [F.floor(F.col(c) * SIDES[0] / side) for c in ("_u", "_v")]
+        whole = Window.partitionBy(*by, "_scale", *wide)
+        many = F.max(F.when(F.col("_lead") >= n + 1, F.col("_step"))).over(whole)
+        told = left.withColumn("_lead", lead(*wide)).withColumns({"_many": many, "_top": F.max("_step").over(whole)})
+        left = told.where(F.col("_first") | ~(behind("_many", reach) | (behind("_top", reach) & behind("_best", reach)))).select(*left.columns)
+    return spreads.matched(placed, left.select(*keys), keys, "left_semi").select(*rows.columns)
 
 
 def pick_diverse(rows: DataFrame, by: list[str], name: str = "name", n: int = T.PICKS) -> DataFrame:

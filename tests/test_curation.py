@@ -180,3 +180,30 @@ def test_rows_that_can_not_be_picked_change_nothing(spark):
     for g in "gh":
         got = [r.name for r in quality.pick_diverse(df, ["nation"]).where(F.col("nation") == g).orderBy("place").collect()]
         assert got == pick([dict(zip(("nation", "name", "score", "yaw", "pitch", "scale", "pose_bin"), r, strict=True)) for r in rows if r[0] == g])
+
+
+def test_few_rows_of_many_reach_the_pick(spark):
+    """Rows whose scores fall off, as those of stills do, ties and missing poses among them; the pick stays what it is."""
+    rng = np.random.default_rng(5)
+    n = 60_000
+    score = np.round(100 * rng.beta(2, 4, n), 1)
+    yaw, pitch = rng.normal(0, 25, n).round(1), rng.normal(0, 10, n).round(1)
+    scale, pose = rng.choice(["closeup", "medium", "full"], n), rng.choice([*T.POSES, "unknown"], n)
+    rows = [("g", f"n{k}", float(score[k]), None if k % 97 == 0 else float(yaw[k]), None if k % 89 == 0 else float(pitch[k]), None if k % 83 == 0 else str(scale[k]), str(pose[k])) for k in range(n)]
+    df = spark.createDataFrame(rows, "nation string, name string, score double, yaw double, pitch double, scale string, pose_bin string").where("score > 0").repartition(8)
+    left = quality.can_be_picked(df, ["nation"], "name", T.PICKS).toPandas()
+    assert len(left) < 800
+    every = df.toPandas().assign(_l=lambda p: p["name"].str.lower()).sort_values(["score", "_l", "name"], ascending=[False, True, True]).reset_index(drop=True)
+    got = quality.pick_diverse(df, ["nation"]).orderBy("place").collect()
+    assert [r.name for r in got] == list(every["name"].iloc[quality.greedy(every, T.PICKS, T.QUOTAS)])
+
+
+def test_pick_with_many_ties(spark):
+    """Grids of equal scores, where only names and distances decide, and groups of n and n + 1 rows."""
+    rows = [("g", f"n{k:04}", 50.0 + k % 2, float(k % 41 - 20), float(k % 23 - 11), ["closeup", "medium"][k % 3 == 0], [*T.POSES][k % 5]) for k in range(1500)]
+    rows += [(g, f"m{k}", 90.0 - 5 * k, float(9 * k), 0.0, "closeup", "front") for g, m in (("h", 10), ("i", 11), (None, 12)) for k in range(m)]
+    df = spark.createDataFrame(rows, "nation string, name string, score double, yaw double, pitch double, scale string, pose_bin string")
+    got = quality.pick_diverse(df, ["nation"]).collect()
+    for g in ("g", "h", "i", None):
+        mine = [dict(zip(("nation", "name", "score", "yaw", "pitch", "scale", "pose_bin"), r, strict=True)) for r in rows if r[0] == g]
+        assert [r.name for r in sorted((r for r in got if r.nation == g), key=lambda r: r.place)] == pick(mine)
