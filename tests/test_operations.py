@@ -9,7 +9,7 @@ import pytest
 from assayer.plans import curation, operations  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("log_stream", "follower_events", "created_sheets", "inspected_files")
+NAMES = ("log_stream", "follower_events", "created_sheets", "inspected_files", "indexed_search")
 
 
 @pytest.mark.parametrize("name", NAMES)
