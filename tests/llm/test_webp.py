@@ -244,3 +244,30 @@ def test_columns(spark, odd, none):
     assert len(pixels) == len(rows) and all(p.error is None for p in pixels)
     broken = spark.createDataFrame([(1, b"RIFF"), (2, None)], "doc_id long, media binary")
     assert [(r.doc_id, r.pixels) for r in webp.read_media(broken).collect()] == [(1, None)]
+
+
+def test_side_by_side_equals_one_by_one():
+    """With copies that reach into themselves, caches of each size, palettes, several files and enough images to be read abreast."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, n, np.uint8)) for n in rng.integers(2, 9, 400)]
+    texts = [b" ".join(words[k] for k in rng.integers(0, 400, n)) for n in rng.integers(1, 900, 90)]
+    texts += [b"", b"a" * 5000, b"abcdef" * 3000, b"\x00\x01" * 700, rng.integers(0, 256, 9000, np.uint8).tobytes(), b"x" * (webp.BLOCK * (webp.MOST_SIDE + 3))]
+    texts += [b"abc" * 200 + t for t in texts[:60]]
+    media = [webp.store(t, webp.compress_stream) for t in texts]
+    asked = []
+    single = webp.read_single
+    try:
+        webp.read_single = lambda *a: asked.append(len(a)) or single(*a)
+        found = webp.load_all(media)
+    finally:
+        webp.read_single = single
+    assert len(asked) < len(media)  # most are read side by side
+    for text, file, pixels in zip(texts, media, found, strict=True):
+        assert (pixels == webp.load(file, arrays=False)).all() and pixels.tobytes()[: len(text)] == text
+
+
+@pytest.mark.parametrize("cut", [40, 200])
+def test_broken_streams_side_by_side(cut):
+    good = webp.compress_stream(np.random.default_rng(1).integers(0, 40, (30, 192, 3), np.uint8))
+    with pytest.raises(ValueError):
+        webp.abreast([webp.decoding(good, False) for _ in range(40)] + [webp.decoding(good[:-cut], False)])
