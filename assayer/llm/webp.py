@@ -10,11 +10,9 @@ that makes the samples shortest, and are read symbol by symbol always.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import hashlib
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +31,8 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: A payload is filled up with FILL to a multiple of BLOCK bytes: rows of PIXELS pixels of three samples.
 BLOCK, FILL, PIXELS = 576, b"\xff", 192
 
-#: The longest copy, and the sizes of the colour cache (in bits) that compress_stream tries.
-MOST_LENGTH, CACHES = 4096, (0, 6, 9)
+#: The longest copy, the farthest, as the largest distance code has it, and the sizes of the colour cache (in bits) that compress_stream tries.
+MOST_LENGTH, MOST_BACK, CACHES = 4096, (1 << 20) - 120, (0, 6, 9)
 
 
 @functools.cache
@@ -100,6 +98,12 @@ class Code:
         in_order = (self.used << 4 | own).astype(np.uint16)[order].repeat(share[order])
         self.entries = in_order[reversed_bits(self.width)]
 
+    @classmethod
+    def made(cls, used: np.ndarray, width: int, even: int | None, entries: np.ndarray) -> Code:
+        code = cls.__new__(cls)
+        code.used, code.width, code.even, code.entries = used, width, even, entries
+        return code
+
     @functools.cached_property
     def table(self) -> list[int]:
         return self.entries.tolist()
@@ -181,6 +185,100 @@ def read_code(bits: Bits, alphabet: int) -> Code:
     return Code((used, own))
 
 
+#: What a symbol of the code of lengths says, shifted: further bits (by 4), the number of lengths without those (by 8), and the length (by
+#: 16; 16: that before).
+SAID = np.array([1 << 8 | n << 16 for n in range(16)] + [2 << 4 | 3 << 8 | 16 << 16, 3 << 4 | 3 << 8, 7 << 4 | 11 << 8])
+
+
+def read_codes(asked: list[tuple[Bits, tuple[int, ...]]]) -> list[list[Code]]:
+    """The next codes of many streams, each as read_code has them. A step reads the next code length of every stream."""
+    out: list[list[Code]] = [[] for _ in asked]
+    sizes = [len(bits.data) for bits, _ in asked]
+    origin = 8 * (np.cumsum(sizes) - sizes)
+    buffer = b"".join(bits.data for bits, _ in asked)
+    words = np.ndarray((len(buffer) - 7,), "<i8", buffer, 0, (1,))
+    for turn in range(max(len(a) for _, a in asked)):
+        lane = np.array([k for k, (bits, _) in enumerate(asked) if not bits.peek() & 1])
+        if len(lane):
+            place = origin[lane] + [asked[k][0].at for k in lane]
+            count = 4 + (words[place >> 3] >> (place & 7) >> 1 & 15)
+            place += 5
+            listed = (words[place >> 3] >> (place & 7))[:, None] >> 3 * np.arange(19) & 7
+            listed[np.arange(19) >= count[:, None]] = 0
+            place += 3 * count
+            all_told = words[place >> 3] >> (place & 7) & 1 == 0  # else read alone
+            lane, place, listed = lane[all_told], place[all_told] + 1, listed[all_told]
+        if len(lane):
+            of_lengths = np.zeros_like(listed)
+            of_lengths[:, LENGTH_ORDER] = listed
+            for k, (code, at) in zip(lane.tolist(), zip(*codes_at(words, place, of_lengths, np.array([asked[k][1][turn] for k in lane])), strict=True), strict=True):
+                asked[k][0].at = int(at - origin[k])
+                if asked[k][0].at > 8 * sizes[k]:
+                    raise ValueError("the stream ends early")
+                out[k].append(code)
+        for k, (bits, alphabets) in enumerate(asked):
+            if len(out[k]) == turn:
+                out[k].append(read_code(bits, alphabets[turn]))
+    return out
+
+
+def tables(lane: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """The tables of Code for codes of two symbols or more each and of this width at most, one row per code."""
+    share = 1 << (width - lengths)
+    if (np.bincount(lane, share) != 1 << width).any():
+        raise ValueError("a prefix code isn't complete")
+    order = np.lexsort((symbols, lengths, lane))
+    return (symbols << 4 | lengths)[order].repeat(share[order]).reshape(-1, 1 << width)[:, reversed_bits(width)]
+
+
+def codes_at(words: np.ndarray, place: np.ndarray, of_lengths: np.ndarray, alphabet: np.ndarray) -> tuple[list[Code], np.ndarray]:
+    """Codes whose lengths, coded by these lengths of 19 symbols, are at the given places, and the places behind them."""
+    count, place = len(place), place.copy()
+    table, several = np.zeros((count, 128), np.int64), (of_lengths > 0).sum(1) > 1
+    table[~several] = (of_lengths[~several] > 0).argmax(1)[:, None] << 4
+    if several.any():
+        row, symbol = of_lengths[several].nonzero()
+        table[several] = tables(row, symbol, of_lengths[several][row, symbol], 7)
+    table = (table & 15 | SAID[table >> 4]).ravel()
+    found, alive, at, before, here, end = [], np.arange(count), np.zeros(count, np.int64), np.full(count, 8), place, alphabet
+    while len(alive):
+        ahead = words[here >> 3] >> (here & 7)
+        said = table[(ahead & 127) + (alive << 7)]
+        n, more, value = said & 15, said >> 4 & 15, said >> 16
+        many = (said >> 8 & 255) + (ahead >> n & (1 << more) - 1)
+        value = np.where(value == 16, before, value)
+        real = value.nonzero()[0]
+        found.append((alive[real], at[real], many[real], value[real]))
+        before[real] = value[real]
+        here, at = here + n + more, at + many
+        going = at < end
+        if not going.all():
+            if (at > end).any():
+                raise ValueError("code lengths run over")
+            place[alive[~going]] = here[~going]
+            alive, at, before, here, end = alive[going], at[going], before[going], here[going], end[going]
+    lane, first, many, value = map(np.concatenate, zip(*found, strict=True))
+    lane, value = lane.repeat(many), value.repeat(many)
+    symbol = first.repeat(many) + np.arange(len(lane)) - (many.cumsum() - many).repeat(many)
+    order = np.lexsort((symbol, lane))
+    lane, symbol, value = lane[order], symbol[order], value[order]
+    bounds = np.searchsorted(lane, np.arange(count + 1))
+    used, codes = np.diff(bounds), np.empty(count, object)
+    for k in (used < 2).nonzero()[0]:
+        codes[k] = Code((symbol[bounds[k] : bounds[k + 1]], value[bounds[k] : bounds[k + 1]]))
+    rest = (used > 1).nonzero()[0]
+    widths, least = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    widths[rest], least[rest] = (f.reduceat(value, bounds[rest]) if len(rest) else 0 for f in (np.maximum, np.minimum))
+    widths[used < 2] = 0
+    for width in np.unique(widths[rest]).tolist():
+        some = (widths == width).nonzero()[0]
+        mine = (widths == width)[lane]
+        entries = tables(np.searchsorted(some, lane[mine]), symbol[mine], value[mine], width).astype(np.uint16)
+        for k, own in zip(some.tolist(), entries, strict=True):
+            codes[k] = Code.made(symbol[bounds[k] : bounds[k + 1]], width, width if least[k] == width else None, own)
+    return codes.tolist(), place
+
+
 #: For every prefix code of a length or a distance its smallest value and the number of further bits.
 AMOUNTS = [(k + 1, 0) if k < 4 else (((2 + (k & 1)) << ((k - 2) >> 1)) + 1, (k - 2) >> 1) for k in range(DISTANCES)]
 
@@ -232,36 +330,41 @@ def read_image(bits: Bits, width: int, height: int, main: bool, arrays: bool = T
 
 
 def alone(steps):
-    """What a generator of images to read gives in the end, each of them read as it comes."""
+    """What a generator of codes and images to read gives in the end, each of them read as it comes."""
     try:
-        image = next(steps)
+        asked = next(steps)
         while True:
-            image = steps.send(read_single(*image))
+            asked = steps.send([read_code(asked[0], n) for n in asked[1]] if len(asked) == 2 else read_single(*asked))
     except StopIteration as e:
         return e.value
 
 
 def abreast(many: list) -> list:
-    """The same for many generators at once; the images that they wait for are read side by side."""
-    out, sent = [None] * len(many), dict.fromkeys(range(len(many)))
-    while sent:
-        images = {}
-        for k, pixels in sent.items():
+    """The same for many generators at once; the codes and images that they wait for are read side by side."""
+    out, sent, images = [None] * len(many), dict.fromkeys(range(len(many))), {}
+    while sent or images:
+        codes = {}
+        for k, found in sent.items():
             try:
-                images[k] = many[k].send(pixels)
+                asked = many[k].send(found)
+                (codes if len(asked) == 2 else images)[k] = asked
             except StopIteration as e:
                 out[k] = e.value
-        fit = [k for k, i in images.items() if i[3][3].width == 0]
         try:
+            if codes:  # images wait for those that still have codes to read
+                sent = dict(zip(codes, read_codes(list(codes.values())), strict=True))
+                continue
+            fit = [k for k, i in images.items() if i[3][3].width == 0]
             sent = dict(zip(fit, read_abreast([images[k] for k in fit]), strict=True)) if len(fit) >= ABREAST else {}
         except IndexError:
             raise ValueError("the stream ends early") from None
         sent |= {k: read_single(*i) for k, i in images.items() if k not in sent}
+        images = {}
     return out
 
 
 def reading(bits: Bits, width: int, height: int, main: bool, arrays: bool):
-    """The steps of read_image: what read_single takes is asked for."""
+    """The steps of read_image: bits and the alphabets of codes to be read, and what read_single takes, are asked for."""
     cache_bits = bits.take(4) if bits.take(1) else 0
     if cache_bits > 11 or cache_bits < 0:
         raise ValueError("colour cache too large")
@@ -273,7 +376,9 @@ def reading(bits: Bits, width: int, height: int, main: bool, arrays: bool):
         groups = int(which.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
     alphabets = (LITERALS + LENGTHS + cache_size, LITERALS, LITERALS, LITERALS, DISTANCES)
-    codes = [[read_code(bits, n) for n in alphabets] for _ in range(groups)]
+    codes = []
+    for _ in range(groups):
+        codes.append((yield bits, alphabets))
     count = width * height
     one = codes[0]
     if arrays and groups == 1 and not cache_bits and all(c.even is not None and c.even <= 8 for c in one[:4]) and one[0].used[-1] < LITERALS:
@@ -371,9 +476,10 @@ def read_single(bits: Bits, width: int, count: int, codes: list[Code], cache_bit
 ABREAST, CACHED, COPIED, KEY = 32, 1 << 30, 3 << 29, (1 << 20) - 1
 
 
-def lane_table(codes: list[Code]) -> np.ndarray:
-    """The tables of green, red and blue in a row: 64 times what an entry adds to a pixel, plus the bits that it takes."""
-    green, red, blue = (c.entries.astype(np.int32) for c in codes[:3])
+def lane_tables(codes: list[list[Code]]) -> np.ndarray:
+    """The tables of green of all images in a row, then those of red, then those of blue: 64 times what an entry adds to a pixel, plus
+    the bits that it takes."""
+    green, red, blue = (np.concatenate([c.entries for c in own]).astype(np.int32) for own in zip(*(c[:3] for c in codes), strict=True))
     symbol = green >> 4
     other = np.where(symbol < LITERALS + LENGTHS, COPIED | (symbol - LITERALS) << 6, CACHED | (symbol - LITERALS - LENGTHS) << 6)
     green = np.where(symbol < LITERALS, symbol << 14, other) | green & 15
@@ -384,14 +490,15 @@ def read_abreast(images: list[tuple]) -> list[np.ndarray]:
     """Pixels of many images, each as read_single has them: (bits, width, count, codes, cache_bits), with one value of alpha each.
     A step reads the next symbol of every image that isn't done; the last few are read one by one."""
     starts = lambda sizes: np.cumsum([0, *sizes])[:-1]
-    count, tables = np.array([i[2] for i in images]), [lane_table(i[3]) for i in images]
-    buffer, table = b"".join(i[0].data for i in images), np.concatenate(tables)
+    count, table = np.array([i[2] for i in images]), lane_tables([i[3] for i in images])
+    buffer = b"".join(i[0].data for i in images)
     words = np.ndarray((len(buffer) - 7,), "<i8", buffer, 0, (1,))
     found, first, origin = np.empty(count.sum(), np.int64), starts(count), 8 * starts(len(i[0].data) for i in images)
-    sizes, greens = np.array([[1 << c.width for c in i[3][:3]] for i in images]).T, starts(map(len, tables))
+    sizes = np.array([[1 << c.width for c in i[3][:3]] for i in images]).T
+    at_tables, far = starts(sizes.ravel()).reshape(3, -1), [(memoryview(i[3][4].entries), (1 << i[3][4].width) - 1) for i in images]
     cache, caches = np.zeros(sum(1 << i[4] for i in images), np.int64), starts(1 << i[4] for i in images)
     lanes = np.stack([
-        np.arange(len(images)), origin + [i[0].at for i in images], first, first + count, greens, greens + sizes[0], greens + sizes[0] + sizes[1], *(sizes - 1),
+        np.arange(len(images)), origin + [i[0].at for i in images], first, first + count, *at_tables, *(sizes - 1),
         caches, np.array([32 - i[4] for i in images]), np.array([int(i[3][3].entries[0]) >> 4 << 24 for i in images])])
     lane, place, at, end, green_at, red_at, blue_at, m_green, m_red, m_blue, in_cache, beside, alpha = lanes
     while len(lane) >= ABREAST:
@@ -416,18 +523,22 @@ def read_abreast(images: list[tuple]) -> list[np.ndarray]:
         found[at] = pixel
         at += 1
         for k in copies:
-            i, start, bits = int(lane[k]), int(at[k]) - 1, Bits(b"")
-            bits.data, bits.at = buffer, int(place[k])
-            length = read_amount(bits, int(symbol[k]) >> 6 & 31)
-            back = read_amount(bits, images[i][3][4].read(bits))
+            i, start, where = int(lane[k]), int(at[k]) - 1, int(place[k])
+            ahead = int(words[where >> 3]) >> (where & 7)
+            least, more = AMOUNTS[int(symbol[k]) >> 6 & 31]
+            length = least + (ahead & (1 << more) - 1)
+            ahead, where = ahead >> more, where + more
+            entry = far[i][0][ahead & far[i][1]]
+            least, more = AMOUNTS[entry >> 4]
+            back = least + (ahead >> (entry & 15) & (1 << more) - 1)
             back = back - 120 if back > 120 else steps_of(images[i][1])[back]
             if back > start - first[i] or start + length > end[k]:
                 raise ValueError("a reference leaves the image")
-            found[start : start + length] = np.resize(found[start - back : start - back + min(back, length)], length)
+            source = found[start - back : start - back + min(back, length)]
+            found[start : start + length] = source if back >= length else np.resize(source, length)
             last = found[start + max(0, length - back) : start + length]
-            for p, where in zip(last.tolist(), (in_cache[k] + ((CACHE_FACTOR * last & 0xFFFFFFFF) >> beside[k])).tolist(), strict=True):
-                cache[where] = p
-            place[k], at[k] = bits.at, start + length
+            cache[in_cache[k] + ((CACHE_FACTOR * last & 0xFFFFFFFF) >> beside[k])] = last  # of values for one place the last stays
+            place[k], at[k] = where + (entry & 15) + more, start + length
         going = at < end
         if not going.all():
             for k in (~going).nonzero()[0].tolist():
@@ -728,113 +839,128 @@ def encode_stream(image: np.ndarray) -> bytes:
     return w.bytes()
 
 
-# The encoder of the whole method: Huffman codes, references, colour cache, and the transform that gives the fewest bits.
+# The encoder of the whole method: Huffman codes, references, colour cache, and the transform that gives the fewest bits. It works
+# on many images at once, each with codes of its own: arrays hold the pixels, symbols or codes of all of them, one image after another.
+
+#: Images and pixels (but for one larger image) that are encoded at once.
+TOGETHER, MOST_PIXELS = 128, 1 << 17
+
+
+def code_lengths(owner: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of at most `most` bits of complete codes for two or more symbols each; `owner` says, in order, whose code a symbol is
+    in, from 0 on. Leaves and inner nodes are two queues, each in order, so the two smallest nodes are at their fronts; a step
+    joins two nodes of every code that has some left."""
+    sizes = np.bincount(owner)
+    row = np.empty(len(sizes), np.int64)
+    row[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes))  # large codes come first
+    order = np.lexsort((counts, owner))
+    widest, falling = int(sizes.max()), -np.sort(-sizes)
+    wide = 2 * widest + 1  # leaves, one place after them, inner nodes
+    leaf = row[owner] * wide + np.arange(len(owner)) - (sizes.cumsum() - sizes)[owner]
+    weights, above = np.full(len(sizes) * wide, 1 << 60), np.zeros(len(sizes) * wide, np.int64)
+    weights[leaf] = counts[order]
+    a = np.arange(len(sizes)) * wide
+    inner = a + widest + 1
+    b = inner.copy()
+    left = np.searchsorted(-falling, -np.arange(1, widest + 1) - 1, "right").tolist()  # codes that have so many steps
+    for new, m in enumerate(left[: widest - 1]):
+        at = inner[:m] + new
+        total = 0
+        for _ in range(2):
+            one, other = weights[a[:m]], weights[b[:m]]
+            first = one <= other
+            above[np.where(first, a[:m], b[:m])] = at
+            total = total + np.minimum(one, other)
+            a[:m] += first
+            b[:m] += ~first
+        weights[at] = total
+    depth = np.ones(len(weights), np.int64)
+    for k in range(widest - 3, -1, -1):
+        at = inner[: left[k + 1]] + k
+        depth[at] = depth[above[at]] + 1
+    lengths = np.empty(len(owner), np.int64)
+    lengths[order] = depth[above[leaf]]
+    over = np.zeros(len(sizes), bool)
+    over[owner[lengths > most]] = True
+    if over.any():
+        again = over[owner]
+        lengths[again] = code_lengths((over.cumsum() - 1)[owner[again]], (counts[again] >> 1) + 1, most)
+    return lengths
 
 
-def code_lengths(counts: list[int], most: int) -> list[int]:
-    """Lengths of at most `most` bits of a complete code for two or more symbols. Leaves and inner nodes are two queues, each in
-    order, so the two smallest nodes are at their fronts."""
-    n, end = len(counts), float("inf")
-    while True:
-        order = sorted(range(n), key=counts.__getitem__)
-        leaves, inner = [*map(counts.__getitem__, order), end], [end] * n
-        of_leaf, of_inner, a, b = [0] * n, [0] * n, 0, 0
-        for new in range(n - 1):
-            x, y = leaves[a], inner[b]
-            if x <= y:
-                of_leaf[a], a, total = new, a + 1, x
-                x = leaves[a]
-            else:
-                of_inner[b], b, total = new, b + 1, y
-                y = inner[b]
-            if x <= y:
-                of_leaf[a], a, inner[new] = new, a + 1, total + x
-            else:
-                of_inner[b], b, inner[new] = new, b + 1, total + y
-        depth = [1] * n
-        for k in range(n - 3, -1, -1):
-            depth[k] = depth[of_inner[k]] + 1
-        if depth[of_leaf[0]] <= most:  # the rarest is among the deepest
-            lengths = [0] * n
-            for k, node in zip(order, of_leaf, strict=True):
-                lengths[k] = depth[node]
-            return lengths
-        counts = [(c >> 1) + 1 for c in counts]
-
-
-def huffman(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """Lengths of at most `most` bits of a complete code; a symbol alone has 1."""
-    used = np.flatnonzero(counts)
-    lengths = np.zeros(len(counts), np.int64)
-    lengths[used] = code_lengths(counts[used].tolist(), most) if len(used) > 1 else 1
-    return lengths
+def canonical(owner: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The code of each symbol as a number whose lowest bit is written first; symbols come in order within their codes."""
+    order = np.lexsort((lengths, owner))
+    share = 1 << (MOST_BITS - lengths[order])
+    ends = share.cumsum()
+    starts = np.append(True, owner[1:] != owner[:-1]).nonzero()[0]  # as whose symbols are together in any order
+    before = (ends - share)[starts].repeat(np.diff(np.append(starts, len(owner))))
+    out = np.empty(len(owner), np.int64)
+    out[order] = reversed_bits(MOST_BITS)[ends - share - before]  # the highest bits come first, and the rest are zeros
+    return out
 
 
-def canonical(lengths: np.ndarray) -> np.ndarray:
-    """The code of each symbol as a number whose lowest bit is written first."""
-    out = np.zeros(len(lengths), np.int64)
-    used = lengths.nonzero()[0]
-    if len(used):
-        own = lengths[used]
-        by = own.argsort(kind="stable")
-        order, own = used[by], own[by]
-        width = int(own[-1])
-        share = 1 << (width - own)
-        out[order] = reversed_bits(width)[share.cumsum() - share]  # the highest bits come first, and the rest are zeros
+@functools.cache
+def zeros() -> np.ndarray:
+    """For every number of symbols without a code what says so in the code of lengths: up to 8 times the symbol, value and further bits."""
+    out = np.full((LITERALS + LENGTHS + (1 << max(CACHES)) + 1, 8, 3), -1)
+    for count in range(len(out)):
+        k, left = 0, count
+        while left:
+            some = min(left, 138) if left >= 3 else 1
+            out[count, k] = (0, 0, 0) if some < 3 else (17, some - 3, 3) if some < 11 else (18, some - 11, 7)
+            k, left = k + 1, left - some
     return out
 
 
-@functools.lru_cache(4096)
-def zeros(count: int) -> list[tuple[int, int, int]]:
-    """What says in the code of lengths that so many symbols have none: symbol, value and number of further bits."""
-    out = []
-    while count >= 3:
-        some = min(count, 138)
-        out.append((17, some - 3, 3) if some < 11 else (18, some - 11, 7))
-        count -= some
-    return out + [(0, 0, 0)] * count
-
-
-def put_huffman(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Write the code for symbols that come so often; gives the code and the number of bits of each symbol."""
-    used = counts.nonzero()[0]
-    if len(used) < 2:
-        w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(int(used[0]) if len(used) else 0, 8)
-        none = np.zeros(len(counts), np.int64)
-        return none, none
-    own = code_lengths(counts[used].tolist(), MOST_BITS)
-    lengths = np.zeros(len(counts), np.int64)
-    lengths[used] = own
-    tokens, at = [], 0
-    for s, n in zip(used.tolist(), own, strict=True):
-        if s > at:
-            tokens += zeros(s - at)
-        tokens.append((n, 0, 0))
-        at = s + 1
-    tokens += zeros(len(lengths) - at)
-    several, often = Counter(tokens), [0] * 19
-    for (s, _, _), n in several.items():
-        often[s] += n
-    kinds = [s for s, n in enumerate(often) if n]
-    of_lengths, codes = [0] * 19, [0] * 19
-    if len(kinds) == 1:
-        of_lengths[kinds[0]] = 1
-    else:
-        for s, n in zip(kinds, code_lengths([often[s] for s in kinds], 7), strict=True):
-            of_lengths[s] = n
-        code = 0  # as its highest bits of 7
-        for n, s in sorted((of_lengths[s], s) for s in kinds):
-            codes[s] = BACKWARDS[code]
-            code += 128 >> n
-    last = max(k for k, x in enumerate(LENGTH_ORDER) if of_lengths[x])
-    w.put(0, 1), w.put(max(0, last - 3), 4)
-    for x in LENGTH_ORDER[: max(4, last + 1)]:
-        w.put(of_lengths[x], 3)
-    w.put(0, 1)
-    sizes = of_lengths if len(kinds) > 1 else [0] * 19
-    written = {t: (codes[t[0]] | t[1] << sizes[t[0]], sizes[t[0]] + t[2]) for t in several}
-    w.few += map(written.__getitem__, tokens)
-    return canonical(lengths), lengths
+def put_codes(code: np.ndarray, symbol: np.ndarray, counts: np.ndarray, alphabets: np.ndarray):
+    """Codes for symbols that come so often. `code` says, in order, which code a symbol is in; `alphabets` has one entry per code.
+
+    Gives what says how the codes are (code, value and bits, in order within a code), and the code and number of bits of each symbol.
+    """
+    used = np.bincount(code, minlength=len(alphabets))
+    several = used > 1
+    heads, head_sizes = np.full(len(used), 0b101), np.full(len(used), 11)  # a symbol alone
+    heads[code] |= np.where(several[code], 0, symbol << 3)
+    values, sizes = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    many = several[code]
+    if not many.any():
+        return np.arange(len(used)), heads, head_sizes, values, sizes
+    owner, at, ids = (several.cumsum() - 1)[code[many]], symbol[many], several.nonzero()[0]
+    own = code_lengths(owner, counts[many], MOST_BITS)
+    values[many], sizes[many] = canonical(owner, own), own
+
+    starts = np.append(True, owner[1:] != owner[:-1])
+    last = np.append(starts[1:], True)
+    gap = at - np.where(starts, -1, np.append(-1, at[:-1])) - 1
+    tail = alphabets[ids] - at[last] - 1
+    # Nine places for each symbol, eight for those between it and the one before it; then eight for those after the last.
+    tokens = np.concatenate([zeros()[gap], np.stack([own, 0 * own, 0 * own], 1)[:, None]], 1).reshape(-1, 3)
+    tokens = np.concatenate([tokens, zeros()[tail].reshape(-1, 3)])
+    whose = np.concatenate([owner.repeat(9), np.arange(len(ids)).repeat(8)])
+    real = (tokens[:, 0] >= 0).nonzero()[0]
+    tokens, whose = tokens[real], whose[real]
+    order = np.argsort(whose, kind="stable")
+    tokens, whose = tokens[order], whose[order]
+    often = np.bincount(whose * 19 + tokens[:, 0], minlength=19 * len(ids)).reshape(-1, 19)
+    of_lengths, codes, taken = np.zeros(often.shape, np.int64), np.zeros(often.shape, np.int64), np.zeros(often.shape, np.int64)
+    of_lengths[often > 0] = 1
+    some = (often > 0).sum(1) > 1
+    if some.any():
+        row, kind = (often * some[:, None]).nonzero()
+        dense = (some.cumsum() - 1)[row]
+        lengths = code_lengths(dense, often[row, kind], 7)
+        of_lengths[row, kind] = taken[row, kind] = lengths
+        codes[row, kind] = canonical(dense, lengths)
+    listed = of_lengths[:, LENGTH_ORDER]
+    count = np.maximum(4, 19 - (listed[:, ::-1] > 0).argmax(1))
+    heads[ids] = count - 4 << 1 | (listed << (5 + 3 * np.arange(19))).sum(1)
+    head_sizes[ids] = 5 + 3 * count + 1
+    kind = tokens[:, 0]
+    shift = taken[whose, kind]
+    all_code = np.concatenate([np.arange(len(used)), ids[whose]])
+    all_values = np.concatenate([heads, codes[whose, kind] | tokens[:, 1] << shift])
+    return all_code, all_values, np.concatenate([head_sizes, shift + tokens[:, 2]]), values, sizes
 
 
 def amounts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -856,39 +982,51 @@ def short_distances(width: int) -> np.ndarray:
     return out
 
 
-def earlier(keys: np.ndarray) -> np.ndarray:
-    """For every place the last one before it with the same key, -1 if there is none."""
+def earlier(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For every place the last one before it with the same key and the same owner, -1 if there is none."""
     order = np.argsort(keys, kind="stable")
+    if owner[0] != owner[-1]:
+        order = order[np.argsort(owner[order], kind="stable")]
     out = np.full(len(keys), -1)
-    same = keys[order[1:]] == keys[order[:-1]]
+    keys, whose = keys[order], owner[order]
+    same = (keys[1:] == keys[:-1]) & (whose[1:] == whose[:-1])
     out[order[1:][same]] = order[:-1][same]
     return out
 
 
-def references(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, lengths and distances of copies of 3 pixels or more, from left to right, each from the last equal triple. A copy
-    goes on as long as the next triples are equal at the same distance."""
+def references(flat: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of copies of 3 pixels or more, from left to right, each from the last equal triple of its image.
+    A copy goes on as long as the next triples are equal at the same distance."""
+    ends = counts.cumsum()
+    own = (np.arange(len(flat)) < (ends - 2)[owner]) & (counts > 3)[owner]  # a triple starts here
+    triple = own.nonzero()[0]
     none = np.zeros(0, np.int64)
-    if len(flat) < 4:
+    if not len(triple):
         return none, none, none
     x = flat.astype(np.uint64)
-    key = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)
+    key = x[triple] * np.uint64(0x9E3779B97F4A7C15) + x[triple + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[triple + 2] * np.uint64(0x165667B19E3779F9)
     key ^= key >> np.uint64(29)
     # Few keys of 16 bits sort fastest, but in a long image they would hide equal triples behind others.
-    short = (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.uint16) if len(key) < 1 << 14 else key
-    before = earlier(short)
-    met = (before >= 0) & (flat[before] == flat[:-2]) & (flat[before + 1] == flat[1:-1]) & (flat[before + 2] == flat[2:])
-    at = met.nonzero()[0]
+    long, before = (counts - 2 >= 1 << 14)[owner[triple]], np.full(len(triple), -1)
+    for part, kind in ((~long).nonzero()[0], np.uint16), (long.nonzero()[0], np.uint64):
+        if len(part):
+            short = key[part] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48) if kind is np.uint16 else key[part]
+            found = earlier(short.astype(kind), owner[triple[part]])
+            before[part] = np.where(found < 0, -1, part[found])
+    have = (before >= 0).nonzero()[0]
+    at, source = triple[have], triple[before[have]]
+    met = (flat[source] == flat[at]) & (flat[source + 1] == flat[at + 1]) & (flat[source + 2] == flat[at + 2]) & (at - source <= MOST_BACK)
+    at, source = at[met], source[met]
     if not len(at):
         return none, none, none
-    back = np.zeros(len(key), np.int64)
-    back[at] = at - before[at]
-    ends = np.append((back[1:] != back[:-1]).nonzero()[0], len(back) - 1)
-    length = np.minimum(ends[np.searchsorted(ends, at)] - at + 3, MOST_LENGTH)
-    chosen, k, all_at, all_length = [], 0, at.tolist(), length.tolist()
-    while k < len(all_at):
+    back = np.zeros(len(flat), np.int64)
+    back[at] = at - source
+    changes = (back[1:] != back[:-1]).nonzero()[0]
+    length = np.minimum(changes[np.searchsorted(changes, at)] - at + 3, MOST_LENGTH)
+    chosen, k, after = [], 0, np.searchsorted(at, at + length).tolist()
+    while k < len(after):
         chosen.append(k)
-        k = bisect.bisect_left(all_at, all_at[k] + all_length[k], k + 1)
+        k = after[k]
     return at[chosen], length[chosen], back[at[chosen]]
 
 
@@ -908,139 +1046,198 @@ def entropies(counts: np.ndarray) -> np.ndarray:
     return total * np.log2(np.maximum(total, 1)) - (c * np.log2(np.maximum(c, 1))).sum(1)
 
 
-def channel_counts(channels: list[np.ndarray]) -> np.ndarray:
-    """How often each value from 0 to 255 is in each of the channels, which are equally long."""
-    values = np.stack(channels).astype(np.int64) + (np.arange(len(channels)) << 8)[:, None]
-    return np.bincount(values.ravel(), minlength=len(channels) << 8).reshape(len(channels), 256)
+def counted(owner: np.ndarray, values: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """How often each owner has each value."""
+    return np.bincount(owner * np.int64(width) + values, minlength=rows * width).reshape(rows, width)
 
 
-def put_pixels(w: Writer, image: np.ndarray, main: bool) -> None:
-    """Write an entropy-coded image of (height, width, 4) samples, with one group of codes."""
-    height, width, _ = image.shape
-    red, green, blue, alpha = np.ascontiguousarray(image.reshape(-1, 4).T).astype(np.int64)
-    varied = [red, blue] if (alpha == alpha[0]).all() else [red, blue, alpha]  # a channel of one value takes no bits
-    flat = alpha << 24 | red << 16 | green << 8 | blue
-    starts, lengths, back = references(flat)
-    edges = np.zeros(len(flat) + 1, np.int64)
+def put_pixels(images: list[np.ndarray], main: np.ndarray, prelude: np.ndarray, prelude_bits: np.ndarray):
+    """What to write for entropy-coded images of (height, width, 4) samples, with one group of codes each, and before them a number of
+    so many bits; `main` says which ones aren't data of transforms. Gives the image, value and bits of all that is to be written."""
+    counts, n = np.array([x.shape[0] * x.shape[1] for x in images]), len(images)
+    owner = np.arange(n, dtype=np.uint8).repeat(counts)
+    red, green, blue, alpha = np.ascontiguousarray(np.concatenate([x.reshape(-1, 4) for x in images]).T)
+    flat = alpha.astype(np.uint32) << 24 | red.astype(np.uint32) << 16 | green.astype(np.uint32) << 8 | blue
+    starts, lengths, back = references(flat, owner, counts)
+    edges = np.zeros(len(flat) + 1, np.int8)
     edges[starts] += 1
     edges[starts + lengths] -= 1
-    single = np.cumsum(edges[:-1]) == 0
-
-    hashes = flat.astype(np.uint32) * np.uint32(CACHE_FACTOR)
+    single = np.cumsum(edges[:-1], dtype=np.int8) == 0
+    lone = single.nonzero()[0]
+    hashes, mine, pixel = flat * np.uint32(CACHE_FACTOR), owner[lone], flat[lone]
+    most, beyond = LITERALS + LENGTHS + (1 << max(CACHES)), LITERALS + LENGTHS
 
     def tokens(bits: int):
-        """The bits of all symbols by entropy, those of the cache, green symbols (-1 in copies), and the places of literals."""
-        symbols, literal = np.where(single, green, -1), single
+        """The bits of all symbols by entropy, the symbols of pixels outside copies, and which of those are literals."""
+        symbols, literal = green[lone].astype(np.int64), np.ones(len(lone), bool)
         if bits:
             key = (hashes >> np.uint32(32 - bits)).astype(np.uint16)
-            before = earlier(key)
-            hit = single & (before >= 0) & (flat[before] == flat)
-            symbols, literal = np.where(hit, key + np.int64(LITERALS + LENGTHS), symbols), single & ~hit
-        kinds, at = np.bincount(symbols[single], minlength=1), literal.nonzero()[0]
-        others = entropies(np.stack([np.bincount(c[at], minlength=256) for c in varied])).sum() if len(at) else 0.0
-        return entropies(kinds[None])[0] + 5 * np.count_nonzero(kinds) + others, bits, symbols, at
-
-    _, bits, symbols, literal = min((tokens(b) for b in CACHES), key=lambda x: x[:2])
-    w.put(1 if bits else 0, 1)
-    if bits:
-        w.put(bits, 4)
-    if main:
-        w.put(0, 1)
-    copies = []  # values and sizes of what follows the symbol of a copy
-    if len(starts):
-        code, *more = amounts(lengths)
-        symbols[starts] = LITERALS + code
-        short = short_distances(width)
-        named = short[np.minimum(back, len(short) - 1)] * (back < len(short))
-        far, *beyond = amounts(np.where(named > 0, named, back + 120))
-        copies = [more, far, beyond]
-    kept = (symbols >= 0).nonzero()[0]
-    code, n = put_huffman(w, np.bincount(symbols[kept], minlength=LITERALS + LENGTHS + (1 << bits if bits else 0)))
-    values, sizes = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)  # a symbol and what belongs to it: 60 bits at most
-    values[kept], sizes[kept] = code[symbols[kept]], n[symbols[kept]]
-    value, size = values[literal], sizes[literal]
-    for channel in (red, blue, alpha):
-        channel = channel[literal]
-        code, n = put_huffman(w, np.bincount(channel, minlength=LITERALS))
-        if n.any():
-            value |= code[channel] << size
-            size += n[channel]
-    values[literal], sizes[literal] = value, size
-    code, n = put_huffman(w, np.bincount(copies[1] if copies else starts, minlength=DISTANCES))
-    if copies:
-        more, far, beyond = copies
-        value, size = values[starts], sizes[starts]
-        for v, k in (more, (code[far], n[far]), beyond):
-            value |= v << size
-            size += k
-        values[starts], sizes[starts] = value, size
-    w.put_all(values[kept], sizes[kept])
-
-
-def transformed(w: Writer, image: np.ndarray) -> np.ndarray:
-    """Write the transform that makes the samples shortest, if any does; gives the image that is left to write."""
+            before = earlier(key, owner)[lone]
+            literal = (before < 0) | (flat[before] != pixel)
+            symbols = np.where(literal, symbols, key[lone] + np.int64(beyond))
+        kinds, at = counted(mine, symbols, n, most), lone[literal]
+        others = sum(entropies(counted(owner[at], c[at], n, LITERALS)) for c in (red, blue, alpha))
+        return entropies(kinds) + 5 * np.count_nonzero(kinds, 1) + others, symbols, literal
+
+    found = [tokens(b) for b in CACHES]
+    best = np.argmin([x[0] for x in found], 0)
+    bits = np.array(CACHES)[best]
+    symbols = np.choose(best[mine], [x[1] for x in found])
+    literal = lone[np.choose(best[mine], [x[2] for x in found])]
+    copier = owner[starts]
+    code, *more = amounts(lengths)
+    named = np.zeros(len(back), np.int64)
+    widths = np.array([x.shape[1] for x in images])[copier]
+    for width in np.unique(widths):
+        short = short_distances(int(width))
+        named = np.where((widths == width) & (back < len(short)), short[np.minimum(back, len(short) - 1)], named)
+    far, *rest = amounts(np.where(named > 0, named, back + 120))
+
+    values = np.zeros(len(flat), np.int64)  # symbols; -1 inside of copies
+    values[:] = -1
+    values[lone], values[starts] = symbols, LITERALS + code
+    kept = (values >= 0).nonzero()[0]
+    # Five codes of each image one after another, in the order of the format.
+    wide = np.array([most, LITERALS, LITERALS, LITERALS, DISTANCES])
+    first = np.append(0, wide.cumsum()[:-1])
+    row = owner.astype(np.int64) * wide.sum()
+    places = [row[kept] + values[kept], *(row[literal] + f + c[literal] for f, c in zip(first[1:4], (red, blue, alpha), strict=True)), row[starts] + first[4] + far]
+    often = np.bincount(np.concatenate(places), minlength=n * wide.sum())
+    used = often.nonzero()[0]
+    image, inside = np.divmod(used, wide.sum())
+    kind = np.searchsorted(first, inside, "right") - 1
+    alphabets = np.tile(wide, (n, 1))
+    alphabets[:, 0] = beyond + np.where(bits > 0, 1 << bits, 0)
+    which, told, told_bits, codes, sizes = put_codes(image * 5 + kind, inside - first[kind], often[used], alphabets.ravel())
+    of, of_bits = np.zeros(len(often), np.int64), np.zeros(len(often), np.int64)
+    of[used], of_bits[used] = codes, sizes
+
+    size = np.zeros(len(flat), np.int64)  # of a symbol and what belongs to it: 60 bits at most
+    values[kept], size[kept] = of[places[0]], of_bits[places[0]]
+    for where, parts in ((literal, [(of[p], of_bits[p]) for p in places[1:4]]), (starts, [more, (of[places[4]], of_bits[places[4]]), rest])):
+        value, width = values[where], size[where]
+        for v, k in parts:
+            value |= v << width
+            width += k
+        values[where], size[where] = value, width
+
+    flags, flag_bits = np.where(bits > 0, 1 | bits << 1, 0), np.where(bits > 0, 5, 1)
+    written = [prelude | flags << prelude_bits, told, values[kept]]
+    written_bits = [prelude_bits + flag_bits + main, told_bits, size[kept]]  # no groups of codes in what isn't data of transforms
+    order = np.argsort(np.concatenate([np.arange(n) * 8, which // 5 * 8 + which % 5 + 1, owner[kept] * np.int64(8) + 6]).astype(np.uint16), kind="stable")
+    whose = np.concatenate([np.arange(n), which // 5, owner[kept]])
+    return whose[order], np.concatenate(written)[order], np.concatenate(written_bits)[order]
+
+
+def packed(owner: np.ndarray, values: np.ndarray, sizes: np.ndarray, count: int) -> list[bytes]:
+    """The bytes of each owner's values, lowest bits first."""
+    ends = sizes.cumsum()
+    last = np.searchsorted(owner, np.arange(count), "right")
+    own = np.diff(np.append(0, np.append(0, ends)[last]))
+    words = (own >> 6) + 1
+    start = words.cumsum() - words
+    at = ends - sizes - (own.cumsum() - own)[owner] + (start << 6)[owner]
+    values, shift, word = values.astype(np.uint64), (at & 63).astype(np.uint64), at >> 6
+    out = np.zeros(words.sum() + 1, "<u8")
+    heads = np.append(True, word[1:] != word[:-1]).nonzero()[0]
+    out[word[heads]] = np.bitwise_or.reduceat(values << shift, heads)
+    over = ((at & 63) + sizes > 64).nonzero()[0]
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    data = out.tobytes()
+    return [data[8 * s : 8 * s + (n + 7 >> 3)] for s, n in zip(start.tolist(), own.tolist(), strict=True)]
+
+
+def with_palette(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The palette, as differences of its neighbours, and the image of indices into it, several to a pixel if they are few."""
     height, width, _ = image.shape
-    flat = image.reshape(-1, 4)
-    red, green, blue, _ = np.ascontiguousarray(flat.T).astype(np.int32)
-    number = red << 16 | green << 8 | blue
-    in_order = np.sort(number)
-    distinct = 1 + np.count_nonzero(in_order[1:] != in_order[:-1])
-    if 1 < distinct <= 256 and 4 * distinct <= len(number):
-        colours, index = np.unique(number, return_inverse=True)
-        w.put(1, 1), w.put(PALETTE, 2), w.put(len(colours) - 1, 8)
-        table = np.stack([colours >> 16, colours >> 8 & 255, colours & 255, np.full(len(colours), 255)], 1).astype(np.uint8)
-        put_pixels(w, np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8))[None], False)
-        share = palette_bits(len(colours))
-        per = 1 << share
-        index = np.pad(index.reshape(height, width), ((0, 0), (0, -width % per)))
-        packed = (index.reshape(height, -1, per) << ((8 >> share) * np.arange(per))).sum(2)
-        image = np.zeros((*packed.shape, 4), np.uint8)
-        image[:, :, 1], image[:, :, 3] = packed, 255
-        return image
-    without = image.copy()
-    without[:, :, 0] -= image[:, :, 1]
-    without[:, :, 2] -= image[:, :, 1]
-    choices = {None: image, SUBTRACT_GREEN: without, **{(PREDICTOR, m): predicted_by(image, m) for m in (1, 2)}}
-    channels = [x[:, :, c].ravel() for x in choices.values() for c in range(3)]
-    bits = dict(zip(choices, entropies(channel_counts(channels)).reshape(-1, 3).sum(1).tolist(), strict=True))
-    best = min(choices, key=lambda k: bits[k] + (0 if k is None else 64))
-    if best == SUBTRACT_GREEN:
-        w.put(1, 1), w.put(SUBTRACT_GREEN, 2)
-    elif best is not None:
-        w.put(1, 1), w.put(PREDICTOR, 2), w.put(7, 3)
-        modes = np.zeros((-(-height >> 9), -(-width >> 9), 4), np.uint8)
-        modes[:, :, 1], modes[:, :, 3] = best[1], 255
-        put_pixels(w, modes, False)
-    return choices[best]
-
-
-def predicted_by(image: np.ndarray, mode: int) -> np.ndarray:
-    """What is left of the samples when each pixel is predicted by its left (1) or upper (2) neighbour."""
-    out = image.copy()
+    red, green, blue = np.ascontiguousarray(image.reshape(-1, 3).T).astype(np.int32)
+    colours, index = np.unique(red << 16 | green << 8 | blue, return_inverse=True)
+    table = np.stack([colours >> 16, colours >> 8 & 255, colours & 255, np.full(len(colours), 255)], 1).astype(np.uint8)
+    share = palette_bits(len(colours))
+    per = 1 << share
+    index = np.pad(index.reshape(height, width), ((0, 0), (0, -width % per)))
+    left = np.zeros((height, index.shape[1] // per, 4), np.uint8)
+    left[:, :, 1], left[:, :, 3] = (index.reshape(height, -1, per) << ((8 >> share) * np.arange(per))).sum(2), 255
+    return np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8))[None], left
+
+
+def predicted_by(tall: np.ndarray, tops: np.ndarray, mode: int) -> np.ndarray:
+    """What is left of the samples of images below each other, whose first rows are `tops`, when each pixel is predicted by its left
+    (1) or upper (2) neighbour; the edges have modes of their own."""
+    out = tall.copy()
     if mode == 1:
-        out[1:, 1:] -= image[1:, :-1]
+        out[:, 1:] -= tall[:, :-1]
+        out[1:, 0] -= tall[:-1, 0]
     else:
-        out[1:, 1:] -= image[:-1, 1:]
-    out[0, 1:] -= image[0, :-1]  # the edges have modes of their own
-    out[1:, 0] -= image[:-1, 0]
-    out[0, 0] -= np.array([0, 0, 0, 255], np.uint8)
+        out[1:] -= tall[:-1]
+        out[tops, 1:] = tall[tops, 1:] - tall[tops, :-1]
+    out[tops, 0] = tall[tops, 0]
     return out
 
 
+def compress_together(images: list[np.ndarray]) -> list[bytes]:
+    """What compress_streams gives, of few enough images."""
+    heights, width = np.array([len(x) for x in images]), images[0].shape[1]
+    tops, tall, n = heights.cumsum() - heights, np.concatenate(images), len(images)
+    owner = np.arange(n).repeat(heights * width)
+    red, green, blue = tall.reshape(-1, 3).T.astype(np.int64)
+    in_order = np.sort(owner << 24 | red << 16 | green << 8 | blue)
+    distinct = np.bincount(in_order[np.append(True, in_order[1:] != in_order[:-1])] >> 24, minlength=n)
+    few = (1 < distinct) & (distinct <= 256) & (4 * distinct <= heights * width)
+    without = tall.copy()
+    without[:, :, ::2] -= tall[:, :, 1:2]
+    choices = [tall, without, predicted_by(tall, tops, 1), predicted_by(tall, tops, 2)]
+    bits = [entropies(counted(owner * 3 + c, x[:, :, c].ravel(), 3 * n, 256)[c::3]) for x in choices for c in range(3)]
+    bits = np.array(bits).reshape(4, 3, n).sum(1)
+    bits[1:] += 64
+    best = bits.argmin(0)
+    left = np.stack(choices)[best.repeat(heights), np.arange(len(tall))]
+
+    coded, main, prelude, prelude_bits, whose = [], [], [], [], []
+
+    def add(k, image, is_main, value, size):
+        coded.append(image), main.append(is_main), prelude.append(value), prelude_bits.append(size), whose.append(k)
+
+    for k, (top, height) in enumerate(zip(tops.tolist(), heights.tolist(), strict=True)):
+        head, size = SIGNATURE | width - 1 << 8 | height - 1 << 22, 40
+        image = np.full((height, width, 4), 255, np.uint8)
+        image[:, :, :3] = left[top : top + height]
+        if few[k]:
+            table, image = with_palette(images[k])
+            add(k, table, False, head | (1 | PALETTE << 1 | table.shape[1] - 1 << 3) << size, size + 11)
+            head = size = 0
+        elif best[k] == 1:
+            head, size = head | (1 | SUBTRACT_GREEN << 1) << size, size + 3
+        elif best[k] > 1:
+            image[:, :, 3] = 0
+            modes = np.zeros((-(-height >> 9), -(-width >> 9), 4), np.uint8)
+            modes[:, :, 1], modes[:, :, 3] = best[k] - 1, 255
+            add(k, modes, False, head | (1 | PREDICTOR << 1 | 7 << 3) << size, size + 6)
+            head = size = 0
+        add(k, image, True, head, size + 1)
+    image, values, sizes = put_pixels(coded, np.array(main), np.array(prelude), np.array(prelude_bits))
+    return packed(np.array(whose)[image], values, sizes, n)
+
+
+def compress_streams(images: list[np.ndarray]) -> list[bytes]:
+    """VP8L streams of (height, width, 3) samples, all of one width, opaque. An image's stream doesn't depend on the others."""
+    out, some, pixels = [], [], 0
+    for image in images:
+        size = image.shape[0] * image.shape[1]
+        if some and (len(some) >= TOGETHER or pixels + size > MOST_PIXELS):
+            out += compress_together(some)
+            some, pixels = [], 0
+        some.append(image)
+        pixels += size
+    return out + (compress_together(some) if some else [])
+
+
 def compress_stream(image: np.ndarray) -> bytes:
-    """A VP8L stream of (height, width, 3) samples, opaque."""
-    height, width, _ = image.shape
-    w = Writer()
-    w.put(SIGNATURE, 8), w.put(width - 1, 14), w.put(height - 1, 14), w.put(0, 4)
-    left = transformed(w, np.concatenate([image, np.full((height, width, 1), 255, np.uint8)], 2))
-    w.put(0, 1)
-    put_pixels(w, left, True)
-    return w.bytes()
+    return compress_streams([image])[0]
 
 
-def encode(samples: np.ndarray, to_stream=encode_stream) -> bytes:
-    """A WebP file of (height, width, 3) samples."""
-    data = to_stream(samples)
+def riff(data: bytes) -> bytes:
+    """A WebP file of a stream."""
     chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + bytes(len(data) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
@@ -1048,11 +1245,23 @@ def encode(samples: np.ndarray, to_stream=encode_stream) -> bytes:
 # Columns of stored media.
 
 
-def store(payload: bytes, to_stream=encode_stream) -> bytes:
-    """The payload, filled up, as images of PIXELS columns; a long one takes several files in a row."""
+def pieces(payload: bytes) -> list[np.ndarray]:
+    """The payload, filled up, as images of PIXELS columns; a long one takes several."""
     rows = max(1, -(-len(payload) // BLOCK))
     samples = np.frombuffer(payload.ljust(rows * BLOCK, FILL), np.uint8).reshape(rows, PIXELS, 3)
-    return b"".join(encode(samples[k : k + MOST_SIDE], to_stream) for k in range(0, rows, MOST_SIDE))
+    return [samples[k : k + MOST_SIDE] for k in range(0, rows, MOST_SIDE)]
+
+
+def store(payload: bytes, to_stream=encode_stream) -> bytes:
+    """The payload as files in a row."""
+    return b"".join(riff(to_stream(x)) for x in pieces(payload))
+
+
+def store_all(payloads: list[bytes]) -> list[bytes]:
+    """Every payload as files in a row, of the whole method."""
+    images = [pieces(p) for p in payloads]
+    streams = iter(compress_streams([x for some in images for x in some]))
+    return [b"".join(riff(next(streams)) for _ in some) for some in images]
 
 
 def load(media: bytes, arrays: bool = True) -> np.ndarray:
@@ -1099,7 +1308,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in in_parts(batches):
             payloads = b.column("payload").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(map(len, payloads), pa.int64()), pa.array([store(p, compress_stream) for p in payloads], pa.binary())],
+                [b.column("doc_id"), pa.array(map(len, payloads), pa.int64()), pa.array(store_all(payloads), pa.binary())],
                 names=["doc_id", "n_bytes", "media"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -1146,9 +1355,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     @frugal
     def run(batches):
-        for b in in_parts(batches, 1024):
+        for b in in_parts(batches, 2048):
             payloads = b.column("payload").to_pylist()
-            media = [store(p, compress_stream) for p in payloads]
+            media = store_all(payloads)
             rows = list(map(row, b.column("doc_id").to_pylist(), payloads, media, load_all(media)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), COLUMNS, strict=True)], schema=COLUMNS)

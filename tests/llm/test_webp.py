@@ -271,3 +271,46 @@ def test_broken_streams_side_by_side(cut):
     good = webp.compress_stream(np.random.default_rng(1).integers(0, 40, (30, 192, 3), np.uint8))
     with pytest.raises(ValueError):
         webp.abreast([webp.decoding(good, False) for _ in range(40)] + [webp.decoding(good[:-cut], False)])
+
+
+def test_streams_together_equal_those_alone():
+    """Of palettes, images of one pixel row, predicted ones and long ones with 64-bit keys, in several batches."""
+    rng = np.random.default_rng(7)
+    images = [x for t in TEXTS for x in webp.pieces(t)]
+    images += [rng.integers(0, k + 2, (int(h), 192, 3), np.uint8) for k, h in enumerate(rng.integers(1, 9, 150))]
+    images += [np.cumsum(rng.integers(0, 3, (12, 192, 3)), axis, np.uint8) for axis in (0, 1)] + [rng.integers(97, 123, (90, 192, 3), np.uint8)]
+    streams = webp.compress_streams(images)
+    for k, (image, data) in enumerate(zip(images, streams, strict=True)):
+        assert (webp.decode_stream(data, False)[:, :, :3] == image).all()
+        assert k % 5 or data == webp.compress_stream(image)
+
+
+def test_code_lengths_are_bounded():
+    counts = [1, 1]
+    while len(counts) < 30:
+        counts.append(counts[-1] + counts[-2])  # as deep as a code can be
+    owner = np.array([0] * 30 + [1] * 2 + [2] * 30)
+    lengths = webp.code_lengths(owner, np.array(counts + [5, 9] + [3] * 30), 15)
+    assert lengths[:30].max() == 15 and lengths[30:32].tolist() == [1, 1] and set(lengths[32:].tolist()) == {4, 5}
+    assert np.bincount(owner, 0.5**lengths).tolist() == [1, 1, 1]
+
+
+def test_codes_are_read_side_by_side(monkeypatch):
+    """Those of streams with several groups, palettes and other encoders' codes too; only single symbols are read alone."""
+    plain = [webp.compress_stream(np.random.default_rng(k).integers(0, 9 + k, (4, 192, 3), np.uint8)) for k in range(40)]
+    other = [stream(picture(9, 13, c), [t], cache_bits=b, side=s) for c, t, b, s in ((None, 2, 4, 2), (5, 3, 0, 0), (None, 0, 0, 3))]
+    alone = [webp.decode_stream(x, False) for x in plain + other]
+    asked, one = [], webp.read_code
+    monkeypatch.setattr(webp, "read_code", lambda bits, n: asked.append(bits.peek() & 1) or one(bits, n))
+    found = webp.abreast([webp.decoding(x, False) for x in plain])
+    assert asked and all(asked)
+    found += webp.abreast([webp.decoding(x, False) for x in other])
+    assert all((a == b).all() for a, b in zip(alone, found, strict=True))
+
+
+def test_copies_beyond_the_largest_distance():
+    rng = np.random.default_rng(8)
+    image = rng.integers(97, 123, (6000, 192, 3), np.uint8)
+    image[5700:5800] = image[10:110]  # 1,092,480 pixels before
+    image[5900:] = image[600:700]
+    assert (webp.decode_stream(webp.compress_stream(image), False)[:, :, :3] == image).all()
