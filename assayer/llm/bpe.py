@@ -17,13 +17,13 @@ The same join serves inside one task for unsplit runs of more than RUN bytes.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ from .common import bounded_batches, frugal, frugal_group, in_parts, kept_for, t
 
 #: Characters of a leaf of the tree, and bytes of a run that is encoded at once.
 LEAF, RUN = 32_768, 2_048
-#: Pre-tokens remembered by a worker, and the most characters of one.
-REMEMBERED, LONGEST = 200_000, 64
+#: Pre-tokens remembered by a worker, in two halves, and the most characters of one.
+REMEMBERED, LONGEST = 340_000, 64
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,25 +41,70 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 COMMON = re.compile("[^\u0000-ԯḀ-⁯₠-₿　-鿿가-힣]")
 
 
+def packed(ids: list[int]) -> bytes:
+    """Tokens as they are remembered: as bytes they take less memory than a tuple of numbers."""
+    return array("i", ids).tobytes()
+
+
+def numbers(tokens: bytes) -> list[int]:
+    return memoryview(tokens).cast("i").tolist()
+
+
+def together(parts: pa.Array) -> bytes:
+    """The bytes of an array's values, one after another; none of them is null."""
+    if not len(parts):
+        return b""
+    _, bounds, data = parts.buffers()
+    first, last = np.frombuffer(bounds, np.int32)[[parts.offset, parts.offset + len(parts)]].tolist()
+    return data.slice(first, last - first).to_pybytes()
+
+
+def characters(found: list[str]) -> str:
+    """What stands in a class of a pattern for these characters, which are in order."""
+    codes = list(map(ord, found))
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True))
+
+
+def common_pattern() -> str:
+    """PATTERN for texts of common blocks only, without classes that the re module, which is faster than regex, doesn't have."""
+    import regex
+
+    common = [c for c in map(chr, range(0x10000)) if COMMON.search(c) is None]
+    letter, digit, space = (characters(list(filter(regex.compile(c).match, common))) for c in (r"\p{L}", r"\p{N}", r"\s"))
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+"
+
+
+class Known(dict):
+    """Tokens by pre-token; those that aren't there are asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes:
+        return self.learn(part)
+
+
 @dataclass
 class Fragment:
-    """A stretch of text with its pre-tokens and, for each of them, its tokens."""
+    """A stretch of text with its pre-tokens and, for each of them, its tokens, packed."""
 
     parts: list[str]
-    tokens: list[tuple[int, ...]]
+    tokens: list[bytes]
 
 
 class ByteBpe:
     """The encoder of a tokenizer file; results equal those of the tokenizers library."""
 
     def __init__(self, path: str, leaf: int = LEAF, run: int = RUN):
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.leaf, self.run = leaf, run
         self.library = Tokenizer.from_file(path)
         self.splitter = self.library.pre_tokenizer
-        self.split_common = regex.compile(PATTERN).findall
+        self.split_common = re.compile(common_pattern()).findall
         self.plain = Tokenizer(self.library.model)  # the same model, not another copy
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bare = Tokenizer(self.library.model)
@@ -75,7 +120,10 @@ class ByteBpe:
             i: bytes(back[c] for c in name) if all(c in back for c in name) else name.encode()
             for i, name in self.names.items()
         }
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known, self.older = Known(self.learn), {}  # when the first is half of what may be remembered, it becomes the second
+        every = range(max(self.names) + 1)
+        self.decimals = pa.array([f"{i}," for i in every], pa.binary())
+        self.raw = pa.array([self.bytes_of.get(i, b"") for i in every], pa.binary())
 
     def split(self, text: str) -> list[str]:
         if COMMON.search(text) is None:
@@ -84,17 +132,20 @@ class ByteBpe:
 
     # Tokens of one pre-token.
 
-    def part(self, part: str) -> tuple[int, ...]:
-        found = self.known.get(part)
+    def part(self, part: str) -> bytes:
+        return self.known[part]
+
+    def learn(self, part: str) -> bytes:
+        found = self.older.pop(part, None)
         if found is None:
             raw = part.encode()
             if len(raw) > self.run:
-                return tuple(self.run_tokens("".join(self.letters[b] for b in raw)))
-            found = tuple(self.plain.encode(part, add_special_tokens=False).ids)
-            if len(part) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[part] = found
+                return packed(self.run_tokens("".join(self.letters[b] for b in raw)))
+            found = packed(self.plain.encode(part, add_special_tokens=False).ids)
+        if len(part) <= LONGEST:
+            if len(self.known) >= REMEMBERED // 2:
+                self.known, self.older = Known(self.learn), self.known
+            self.known[part] = found
         return found
 
     def run_tokens(self, letters: str) -> list[int]:
@@ -148,10 +199,10 @@ class ByteBpe:
             left.parts[:keep] + window + right.parts[met[1] :], left.tokens[:keep] + tokens + right.tokens[met[1] :]
         )
 
-    def spanning(self, part: str, left: Fragment, right: Fragment) -> tuple[int, ...]:
+    def spanning(self, part: str, left: Fragment, right: Fragment) -> bytes:
         """Tokens of a long pre-token that is the last one of the left and the first one of the right put together."""
         if part == left.parts[-1] + right.parts[0]:
-            return tuple(self.join_tokens(list(left.tokens[-1]), list(right.tokens[0])))
+            return packed(self.join_tokens(numbers(left.tokens[-1]), numbers(right.tokens[0])))
         return self.part(part)
 
     def tree(self, fragments: list[Fragment]) -> Fragment:
@@ -174,31 +225,28 @@ class ByteBpe:
         """Stretches of text and added tokens in turn."""
         return self.cut_added.split(text) if self.cut_added and "<" in text else [text]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def tokens(self, text: str) -> bytes:
+        out: list[bytes] = []
         for k, stretch in enumerate(self.stretches(text)):
             if k % 2:
-                out.append(self.added[stretch])
+                out.append(packed([self.added[stretch]]))
             elif len(stretch) > self.leaf:
-                out.extend(chain.from_iterable(self.tree([self.fragment(x) for x in self.leaves(stretch)]).tokens))
+                out += self.tree([self.fragment(x) for x in self.leaves(stretch)]).tokens
             elif stretch:
-                known = self.known.get
-                for part in self.split(stretch):
-                    out += known(part) or self.part(part)
-        return out
+                out += map(self.known.__getitem__, self.split(stretch))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return numbers(self.tokens(text))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    @functools.cached_property
-    def decimal(self) -> dict[int, str]:
-        return {i: str(i) for i in self.names}
-
-    def digest(self, ids: list[int]) -> tuple[int, str, str]:
-        joined = ",".join(map(self.decimal.__getitem__, ids))
-        return (
-            len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest(),
-        )
+    def digest(self, tokens: bytes) -> tuple[int, str, str]:
+        ids = pa.array(np.frombuffer(tokens, np.int32))
+        decoded = together(self.raw.take(ids)).decode("utf-8", "replace")
+        listed = together(self.decimals.take(ids))[:-1]
+        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def encoder(path: str, leaf: int = LEAF) -> ByteBpe:
@@ -210,9 +258,9 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 DDL = {"ids": "doc_id long, ids array<int>", "digest": "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"}
 
 
-def rows_of(bpe: ByteBpe, found: Iterator[tuple[int | None, list[int]]], emit: str) -> pa.RecordBatch:
+def rows_of(bpe: ByteBpe, found: Iterator[tuple[int | None, bytes]], emit: str) -> pa.RecordBatch:
     if emit == "ids":
-        ids, lists = zip(*found, strict=True)
+        ids, lists = zip(*((i, np.frombuffer(x, np.int32)) for i, x in found), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], schema=IDS)
     columns = zip(*[(i, *bpe.digest(x)) for i, x in found], strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, DIGESTS, strict=True)], schema=DIGESTS)
@@ -236,7 +284,7 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
         bpe = encoder(path, leaf)
         for b in in_parts(batches):
             texts = (x.as_py() for x in b.column("text"))
-            yield rows_of(bpe, ((i, bpe.encode(t)) for i, t in zip(b.column("doc_id").to_pylist(), texts, strict=True)), emit)
+            yield rows_of(bpe, ((i, bpe.tokens(t)) for i, t in zip(b.column("doc_id").to_pylist(), texts, strict=True)), emit)
 
     def cut(batches):
         bpe = encoder(path, leaf)
@@ -257,11 +305,11 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
         for b in in_parts(batches, 64):
             lengths, counts, ids = [], [], []
             for k, text in zip(b.column("added").to_pylist(), b.column("text").to_pylist(), strict=True):
-                f = Fragment([text], [(bpe.added[text],)]) if k % 2 else bpe.fragment(text)
-                lengths.append([len(p) for p in f.parts])
-                counts.append([len(t) for t in f.tokens])
-                ids.append(list(chain.from_iterable(f.tokens)))
-            whole = [pa.array(x, pa.list_(pa.int32())) for x in (lengths, counts, ids)]
+                f = Fragment([text], [packed([bpe.added[text]])]) if k % 2 else bpe.fragment(text)
+                lengths.append(packed([len(p) for p in f.parts]))
+                counts.append(packed([len(t) for t in f.tokens]))
+                ids.append(b"".join(f.tokens))
+            whole = [pa.array(x, pa.binary()) for x in (lengths, counts, ids)]
             yield pa.RecordBatch.from_arrays([*b.columns, *whole], names=[*b.schema.names, "lengths", "counts", "ids"])
 
     @frugal_group
@@ -271,18 +319,18 @@ def encode_documents(docs: DataFrame, path: str, emit: str = "ids", leaf: int =
         stretches: dict[int, list[Fragment]] = {}
         for k, text, lengths, counts, ids in zip(*(table.column(c) for c in ("added", "text", "lengths", "counts", "ids")), strict=True):
             text, ids, parts, tokens, a, t = text.as_py(), ids.as_py(), [], [], 0, 0
-            for n, c in zip(lengths.as_py(), counts.as_py(), strict=True):
+            for n, c in zip(numbers(lengths.as_py()), numbers(counts.as_py()), strict=True):
                 parts.append(text[a : a + n])
-                tokens.append(tuple(ids[t : t + c]))
+                tokens.append(ids[t : t + c])
                 a, t = a + n, t + c
             stretches.setdefault(k.as_py(), []).append(Fragment(parts, tokens))
-        ids = [i for k in sorted(stretches) for part in bpe.tree(stretches[k]).tokens for i in part]
+        ids = b"".join(t for k in sorted(stretches) for t in bpe.tree(stretches[k]).tokens)
         return pa.Table.from_batches([rows_of(bpe, iter([(table.column("doc_id")[0].as_py(), ids)]), emit)])
 
     short = rows.where(~long).select("doc_id", "text").mapInArrow(whole, DDL[emit])
     leaf_ddl = "row long, doc_id long, ord int, added int, text string"
     pieces = rows.where(long).mapInArrow(cut, leaf_ddl).repartition("row", "ord")
-    coded = pieces.mapInArrow(encode_leaves, leaf_ddl + ", lengths array<int>, counts array<int>, ids array<int>")
+    coded = pieces.mapInArrow(encode_leaves, leaf_ddl + ", lengths binary, counts binary, ids binary")
     return short.unionByName(coded.groupBy("row").applyInArrow(joined, DDL[emit]))
 
 

@@ -72,3 +72,30 @@ def test_oracle_entries_are_sql():
 
     sql = __spark_entry__.oracle_sql()
     assert all(isinstance(x, str) for x in sql.values()) and "op5_bpe" not in sql
+
+
+def test_frequent_words_stay_remembered(monkeypatch):
+    """Words that come again and again are encoded once, however many others come between them."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 200)
+    own = bpe.ByteBpe(PATH)
+    asked, model = [], own.plain
+
+    class Counting:
+        def encode(self, part, **options):
+            asked.append(part)
+            return model.encode(part, **options)
+
+    own.plain = Counting()
+    for k in range(300):
+        text = f" the quick {'x' * (k % 7)}{k}é fox"
+        assert own.encode(text) == plain(text)
+    assert asked.count(" the") == asked.count(" fox") == 1
+    assert len(own.known) + len(own.older) <= 200
+
+
+def test_digests_of_any_tokens():
+    rng = random.Random(6)
+    for size in (0, 1, 2, 300):
+        ids = [rng.randrange(50257) for _ in range(size)]
+        text = LIBRARY.decode(ids, skip_special_tokens=False)
+        assert SMALL.digest(bpe.packed(ids)) == (size, *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), text)))
