@@ -205,13 +205,14 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
     keyed = rows.withColumn("_d", F.unhex(F.sha2("text", 256)))
     keyed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_d").orderBy("doc_id")))
     same = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_d"] == found["_digest"]) & (keyed["_k"] == found["_nth"])
-    lines = F.split("text", "\n")
+    # The lines come first as a column of their own: within the function for each place the text would be split for every line.
+    both = keyed.join(found, same).select("doc_id", "text", "removed", F.split("text", "\n").alias("_lines"))
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)  # by hashing: linear in the lines
-    left = F.transform(places, lambda k: F.get(lines, k))
-    return keyed.join(found, same).select(
-        "doc_id", F.array_join(left, "\n").alias("text"), F.size(lines).alias("n_lines"), F.size(gone).alias("n_removed"),
-        F.sort_array(gone).alias("removed"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")  # by hashing: linear in the lines
+    left = F.array_join(F.transform(places, lambda k: F.get("_lines", k)), "\n")
+    return both.select(
+        "doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"), F.size("_lines").alias("n_lines"),
+        F.size(gone).alias("n_removed"), F.sort_array(gone).alias("removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

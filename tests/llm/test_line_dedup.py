@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +103,13 @@ def test_a_first_document_of_many_pairs(spark, monkeypatch):
     rows = [(0, "\n".join(base))] + [(k, "\n".join([f"own {k}", *base[rng.randrange(3) :]])) for k in range(1, 60)]
     monkeypatch.setattr(line_dedup, "SIDE", 4)
     assert result(spark, rows, 10) == brute(rows, 10)
+
+
+def test_lines_are_split_once_a_row(spark):
+    """A text isn't split again for every line that stays."""
+    shared = [f"line {k} of a long passage that both of them have" for k in range(500)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(["own", *shared[:250], "own too", *shared[250:], "last"])), (3, "alone")]
+    df = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 10)
+    assert not re.search(r"split\([^()]*\)\[", df._jdf.queryExecution().optimizedPlan().toString())  # as split(text)[place]
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in df.collect()} == {
+        1: (rows[0][1], 500, 0), 2: ("own\nown too\nlast", 503, 500), 3: ("alone", 1, 0)}
